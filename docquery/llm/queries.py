@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquery.llm import decontamination, jaccard, packing, secrets
+from docquery.llm import decontamination, jaccard, language, packing, quality, rules, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,28 @@ FROM words w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS m FROM re
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more, as connected classes."""
     return jaccard.components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules, and the learned decision list."""
+    documents = table(spark, sf_dir, "documents")
+    return rules.apply(documents, rules.fit(documents, table(spark, sf_dir, "labels")), keep=["doc_id"])
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by hashed word n-grams."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_language")
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by hyperdimensional profiles."""
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a weighted lexicon."""
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
