@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from docquery.llm.common import annotate, crc_class, labelled_sample, quoted, written
 
 #: Labelled documents that the lexicon is learned from at most, its entries at most, and what an entry must reach.
-SAMPLE_ROWS, ENTRIES, LEAST_TOXIC, LEAST_SHARE = 20_000, 2000, 6, 0.9
+SAMPLE_ROWS, ENTRIES, LEAST_TOXIC, LEAST_SHARE = 20_000, 2000, 4, 0.9
 #: Length of the word beginnings that can be entries, beside whole words.
 BEGINNINGS = range(4, 8)
 #: Words of a text from which its length begins to tell.
@@ -25,29 +25,39 @@ LENGTH_FROM = 2000
 _LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w",
-    "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 _DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"})
 _HIDDEN = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 _TOKEN = re.compile(r"[a-z0-9@$!|]*[0-9@$!|][a-z0-9@$!|]*[a-z0-9]")
-_REST = re.compile(r"[^a-z]+")
+_REST = re.compile(r"[^a-zß-öø-ɏ]+")
 
 
 class _Fold(dict):
-    """Each character's folded form, made when first seen: lower case, without marks, look-alikes as Latin."""
+    """Each character's folded form, made when first seen: lower case, look-alikes as Latin, a Latin letter's own marks kept."""
 
     def __missing__(self, point: int) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point).lower()) if not unicodedata.combining(c))
-        self[point] = out = "".join(_LOOKALIKES.get(c, c) for c in plain.lower())
+        low = chr(point).lower()
+        if not (0xDF <= ord(low[0]) < 0x250 and low.isalpha()):
+            low = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c)).lower()
+        self[point] = out = "".join(_LOOKALIKES.get(c, c) for c in low)
         return out
 
 
 _FOLD = _Fold(_HIDDEN)
 
 
+def _bare(point: int) -> str:
+    first = unicodedata.normalize("NFKD", chr(point))[0]
+    return {"ł": "l", "ø": "o", "đ": "d", "ı": "i"}.get(first, first)
+
+
+#: Marked Latin letters without their marks, one for one.
+_BARE = {point: _bare(point) for point in range(0xDF, 0x250)}
+
+
 def folded(text: bytes | None) -> str:
     """Latin letters and single spaces, one at each end. Digits and marks are letters where a token has a letter too."""
-    t = (text or b"").decode("utf-8", "replace").translate(_FOLD)
+    t = unicodedata.normalize("NFC", (text or b"").decode("utf-8", "replace")).translate(_FOLD)
     t = _TOKEN.sub(lambda m: m[0].translate(_DIGITS) if any("a" <= c <= "z" for c in m[0]) else m[0], t)
     return " " + _REST.sub(" ", t).strip() + " "
 
@@ -77,17 +87,19 @@ def _counted(sample: DataFrame, only: frozenset | None) -> DataFrame:
     return sample.select(F.col("text").cast("binary").alias("t")).mapInArrow(run, schema).groupBy("entry").agg(F.sum("n").alias("n"))
 
 
-def entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entries and weights: log odds of those that are rarely clean, short beginnings before what they already match."""
-    good = []
+def entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, tried: int) -> dict[str, float]:
+    """Entries and weights: the log odds of those that clean texts of the same number rarely have.
+
+    tried is how many candidates there were: an entry's likelihood ratio against chance must be more than the best of so
+    many would have by chance.
+    """
+    base, out = n_toxic / (n_toxic + n_clean), {}
     for e, a in toxic.items():
-        b = clean.get(e, 0) * n_toxic / max(n_clean, 1)
-        if a >= LEAST_TOXIC and a / (a + b + 0.05 * math.sqrt(a)) >= LEAST_SHARE:
-            good.append((e, math.log((a + 0.5) / (b + 0.5)), a))
-    out: dict[str, float] = {}
-    for e, weight, a in sorted(good, key=lambda x: (len(x[0].strip()), x[0].endswith(" "), x[0])):
-        if not any(e[:k] in out for k in range(2, len(e))):
-            out[e] = weight
+        b = clean.get(e, 0)
+        scaled = b * n_toxic / n_clean
+        ratio = a * math.log(a / (a + b) / base) + (b * math.log(b / (a + b) / (1 - base)) if b else 0)
+        if a / (a + scaled) >= LEAST_SHARE and ratio >= math.log(max(tried, 2)) + 2:
+            out[e] = math.log((a + 0.5) / (scaled + 0.5))
     few = sorted(out, key=lambda e: (-out[e] * toxic[e], e))[:ENTRIES]
     return {e: round(out[e], 6) for e in sorted(few)}
 
@@ -112,7 +124,10 @@ class Matcher:
         """(place, entry, weight), the heaviest entry at each place, but for those inside an exception phrase."""
         best: dict[int, tuple[str, float]] = {}
         spared: list[tuple[int, int]] = []
-        for end, (e, weight) in self.automaton.iter(text) if self.some else ():
+        found = list(self.automaton.iter(text)) if self.some else []
+        if self.some and not text.isascii():  # a marked letter may stand for the bare one, but in whole words only
+            found += [(end, x) for end, x in self.automaton.iter(text.translate(_BARE)) if x[0][-1] == " " and x[0].isascii()]
+        for end, (e, weight) in found:
             start = end - len(e) + 1
             if weight is None:
                 spared.append((start, end))
@@ -148,9 +163,10 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", split: t
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return {}, exceptions, 0.0, -30.0
-    toxic = {r["entry"]: r["n"] for r in _counted(sample.where("label = 1"), None).where(F.col("n") >= LEAST_TOXIC).collect()}
+    counted = written(_counted(sample.where("label = 1"), None), "counted")
+    toxic = {r["entry"]: r["n"] for r in counted.where(F.col("n") >= LEAST_TOXIC).collect()}
     clean = {r["entry"]: r["n"] for r in _counted(sample.where("label = 0"), frozenset(toxic)).collect()}
-    lexicon = entries(toxic, clean, sizes[1], sizes[0])
+    lexicon = entries(toxic, clean, sizes[1], sizes[0], counted.count())
 
     def factory():
         matcher = Matcher(lexicon, exceptions)
