@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from docquery.llm import decontamination, packing, secrets
+from docquery.llm import decontamination, jaccard, packing, quality, secrets
 from docquery.llm.common import quoted, written
 
+#: Columns of the pipeline's own while a stage works.
+_SCORE, _ID = "__score", "__id"
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier gives a score of 0.5 or more."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, column=_SCORE).where(F.col(_SCORE) >= 0.5).select(*[quoted(c) for c in docs.columns])
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents that links connect (five words, 0.8 or more), the row of the least doc_id.
+
+    Of rows that repeat this doc_id one stays, the first by its text; rows without a doc_id link with nothing and stay.
+    """
+    classes = jaccard.components(docs, size=5, num=80, den=100).select(F.col("doc_id").alias(_ID), "component_id").where(F.col(_ID) == F.col("component_id")).select(_ID).distinct()
+    kept = docs.join(classes, quoted("doc_id") == F.col(_ID)).select(*[quoted(c).alias(c) for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    kept = kept.withColumn(_SCORE, first).where(F.col(_SCORE) == 1).drop(_SCORE)
+    return kept.unionByName(docs.where(quoted("doc_id").isNull()))
+
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
@@ -27,6 +48,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_classifier", good_quality),
+    ("ngram_jaccard_join", one_of_near_copies),
     ("benchmark_decontamination", decontaminated),
     ("secret_scans", without_secrets),
     ("best_fit_packing", packed),

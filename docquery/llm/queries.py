@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquery.llm import decontamination, jaccard, language, packing, quality, rules, secrets, toxicity
+from docquery.llm import decontamination, html, jaccard, language, packing, quality, rules, secrets, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +108,52 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a weighted lexicon."""
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_removed")
+
+
+@query(
+    "op7_url_filter",
+    r"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (
+  SELECT *, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block' END AS ruled FROM (
+    SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS p, CASE
+      WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed) x),
+segs AS (SELECT page_id, host, path, rule, ruled, coalesce(regexp_replace(p[1], '[0-9]+', '*', 'g'), '') AS s0, coalesce(regexp_replace(p[2], '[0-9]+', '*', 'g'), '') AS s1, coalesce(regexp_replace(p[3], '[0-9]+', '*', 'g'), '') AS s2, coalesce(regexp_replace(p[4], '[0-9]+', '*', 'g'), '') AS s3, CASE WHEN len(p) > 4 THEN '**' ELSE '' END AS s4 FROM ruled),
+counted AS (SELECT host, s0, s1, s2, s3, s4, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM segs GROUP BY ALL),
+c0 AS (SELECT host, count(DISTINCT s0) AS children FROM counted GROUP BY host),
+l0 AS (SELECT counted.*, CASE WHEN children > 8 AND s0 <> '' THEN '*' ELSE s0 END AS t0 FROM counted JOIN c0 USING (host)),
+c1 AS (SELECT host, t0, count(DISTINCT s1) AS children FROM l0 GROUP BY host, t0),
+l1 AS (SELECT l0.*, CASE WHEN children > 8 AND s1 <> '' THEN '*' ELSE s1 END AS t1 FROM l0 JOIN c1 USING (host, t0)),
+c2 AS (SELECT host, t0, t1, count(DISTINCT s2) AS children FROM l1 GROUP BY host, t0, t1),
+l2 AS (SELECT l1.*, CASE WHEN children > 8 AND s2 <> '' THEN '*' ELSE s2 END AS t2 FROM l1 JOIN c2 USING (host, t0, t1)),
+c3 AS (SELECT host, t0, t1, t2, count(DISTINCT s3) AS children FROM l2 GROUP BY host, t0, t1, t2),
+l3 AS (SELECT l2.*, CASE WHEN children > 8 AND s3 <> '' THEN '*' ELSE s3 END AS t3 FROM l2 JOIN c3 USING (host, t0, t1, t2)),
+c4 AS (SELECT host, t0, t1, t2, t3, count(DISTINCT s4) AS children FROM l3 GROUP BY host, t0, t1, t2, t3),
+l4 AS (SELECT l3.*, CASE WHEN children > 8 AND s4 <> '' THEN '*' ELSE s4 END AS t4 FROM l3 JOIN c4 USING (host, t0, t1, t2, t3)),
+tree AS (SELECT *, concat_ws('/', nullif(t0, ''), nullif(t1, ''), nullif(t2, ''), nullif(t3, ''), nullif(t4, '')) AS template FROM l4),
+leaves AS (SELECT host, template, sum(n) AS n, sum(b) AS b FROM tree GROUP BY ALL),
+hosts AS (SELECT host, sum(n) AS hn, sum(b) / nullif(sum(n), 0) AS share FROM leaves GROUP BY host),
+close AS (SELECT leaves.*, n > 0 AND abs(b - n * share) <= 1.96 * sqrt(n * share * (1 - share)) + 0.5 AS alike FROM leaves JOIN hosts USING (host)),
+merged AS (SELECT host, sum(n) AS mn, sum(b) AS mb FROM close WHERE alike GROUP BY host),
+prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS p FROM counted),
+judged AS (
+  SELECT host, template, (CASE WHEN alike THEN mb ELSE b END + 4.0::DOUBLE * p) / (CASE WHEN alike THEN mn ELSE n END + 4.0::DOUBLE) AS purity
+  FROM close LEFT JOIN merged USING (host), prior)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+FROM segs JOIN tree USING (host, s0, s1, s2, s3, s4) JOIN judged USING (host, template)""",
+)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by rules and by path templates."""
+    return urls.judge(table(spark, sf_dir, "pages"))
