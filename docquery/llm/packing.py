@@ -6,16 +6,20 @@ and do not grow with the corpus.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docquery.llm.common import annotate, written
 
-#: Words whose ids a task remembers; then it begins anew.
-CACHE_WORDS = 300_000
+#: Words, and pieces of words, whose ids a task remembers at once.
+CACHE_WORDS = 500_000
 
 
 def _byte_letters() -> list[str]:
@@ -36,22 +40,39 @@ def _encoder(path: str):
     import regex
     from tokenizers import Tokenizer
 
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        raise NotImplementedError("ids are packed in the machine's own byte order")
     whole = Tokenizer.from_file(path)
     model, letters = whole.model, _byte_letters()
-    plain = regex.compile(r"[!-~¡-įı-ſ]+")
+    plain = re.compile(r"[!-~¡-įı-ſ]+").fullmatch
     pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+    @lru_cache(CACHE_WORDS)
+    def of_piece(piece: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]).tobytes()
+
     class Ids(dict):
+        """Ids by word. When it is full, what it holds is kept aside, and of that what is seen again comes back."""
+
+        aside: dict = {}
+
         def __missing__(self, word: bytes) -> bytes:
             if len(self) >= CACHE_WORDS:
+                self.aside = self.copy()
                 self.clear()
-            text = word.decode("utf-8", "replace")
-            if b"<|" not in word and plain.fullmatch(text):
-                found = [t.id for p in pieces.findall(text.lower()) for t in model.tokenize("".join([letters[b] for b in p.encode()]))]
-            else:
-                found = whole.encode(text, add_special_tokens=False).ids
-            self[word] = ids = np.array(found, "<u4").tobytes()
-            return ids
+            found = self.aside.get(word)
+            if found is None:
+                text = word.decode("utf-8", "replace")
+                if b"<|" in word or not plain(text):
+                    found = array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+                elif text.isalpha():
+                    found = of_piece(text.lower())
+                elif text[:-1].isalpha() and text[-1] in ".,!?;:":
+                    found = of_piece(text[:-1].lower()) + of_piece(text[-1])
+                else:
+                    found = b"".join([of_piece(p) for p in pieces.findall(text.lower())])
+            self[word] = found
+            return found
 
     ids = Ids()
     return lambda text: b"".join(map(ids.__getitem__, text.split()))
