@@ -1,9 +1,10 @@
 """N-gram Jaccard join by a token-group matrix, and the classes that its links make.
 
 Equal shingle sets are one class before anything is joined. Each class keeps a prefix of its set in one order for all
-(tokens that very many texts have come last): two sets that reach the similarity share a token of their prefixes. Classes
-that share prefix tokens are dealt into groups of similar ones. For each group the union of its members' tokens is held;
-a query's overlap with the union bounds its overlap with every member, and only groups that reach the bound are opened.
+(tokens that very many texts have come last): of two sets that reach the similarity, the prefixes share some tokens, a
+number that grows with the sets. Classes that share enough prefix tokens are dealt into groups of similar ones. For each
+group the union of its members' tokens is held, first of their prefixes, then of their sets: a query's overlap with the
+union bounds its overlap with every member, and only groups that reach the bound are sent the query and opened for it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,19 @@ def need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def overlap(n):
+    """How many tokens the prefixes of two sets share at least, the smaller of n tokens: see prefix_length."""
+    return n // 32 + 1
+
+
+def prefix_length(n: int, num: int, den: int) -> int:
+    """Of sets x and y with x & y at least need(x) and need(y), take the first i common tokens, i up to overlap of both.
+
+    After the last of them x has at least need(x) - i tokens, so all i are among its first len(x) - need(x) + i.
+    """
+    return min(n, n - need(n, num, den) + overlap(n))
+
+
 def common_shingles(documents: DataFrame, text: str, size: int) -> np.ndarray:
     """Sorted hashes of shingles that very many texts have. Only the order of tokens depends on it, never a result."""
     schema = T.StructType.fromDDL("token long, n long")
@@ -69,18 +83,26 @@ def common_shingles(documents: DataFrame, text: str, size: int) -> np.ndarray:
 
 
 def signatures(documents: DataFrame, text: str, keep: list[str], size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """keep, n_shingles, class_id (equal for equal sets) and the prefix of the set."""
+    """keep, n_shingles, class_id (equal for equal sets) and the prefix of the set, null where a task has just given it."""
 
     def factory():
+        given: set[int] = set()
+
         def work(texts):
             n, ids, prefixes = [], [], []
             for s in sets_of(texts, size):
                 n.append(len(s))
                 ids.append(class_of(s))
+                if ids[-1] in given:
+                    prefixes.append(None)
+                    continue
+                if len(given) > 200_000:
+                    given.clear()
+                given.add(ids[-1])
                 if len(common):
                     late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
                     s = np.concatenate([s[~late], s[late]])
-                prefixes.append(s[: len(s) - need(len(s), num, den) + 1].view(np.int64) if len(s) else [])
+                prefixes.append(s[: prefix_length(len(s), num, den)].view(np.int64) if len(s) else None)
             return n, ids, prefixes
 
         return work
@@ -193,29 +215,36 @@ def _edges(num: int, den: int):
     return run, schema
 
 
-def links(documents: DataFrame, classes: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
+def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
     """Pairs (u, v) of classes with the similarity, enough of them to connect all classes that links connect.
 
-    classes has class_id, rep (the key of a document with the set), n and prefix.
+    known has the key, class_id, n_shingles and prefix of every document that can link.
     """
     spark = documents.sparkSession
-    tokens = classes.select(F.col("class_id").alias("c"), "rep", "n", F.explode("prefix").alias("token"))
-    tokens = tokens.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least_overlap = F.floor(F.ceil(F.col("n") * num / den) / 32).cast("long") + 1  # of a partner, which has that size at least
+    tokens = known.select(F.col("class_id").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    tokens = tokens.repartition(parallel, "token").dropDuplicates(["token", "c"])
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     shared = written(tokens.join(shared, "token"), "shared")
     # The group of a class: the least of its shared prefix tokens by a hash, and its size in steps of the similarity.
-    base = shared.groupBy("c").agg(F.min("rep").alias("rep"), F.min("n").alias("n"), F.min(F.xxhash64("token")).alias("h"))
+    base = shared.groupBy("c").agg(F.min("n").alias("n"), F.min(F.xxhash64("token")).alias("h"), F.count("*").alias("k")).where(F.col("k") >= least_overlap)
     base = base.withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)) if num < den else F.col("n"))
     parts = base.groupBy("h", "band").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
-    members = base.join(parts, ["h", "band"]).select("c", "rep", "n", F.xxhash64("h", "band", F.pmod(F.xxhash64("c"), "parts")).alias("g"))
+    members = base.join(parts, ["h", "band"]).select("c", "n", F.xxhash64("h", "band", F.pmod(F.xxhash64("c"), "parts")).alias("g"))
     members = written(members, "members")
-    held = shared.select("c", "token").join(members.select("c", "n", "g"), "c")
+    held = shared.select("c", "token").join(members, "c")
     groups = held.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     fits = (F.col("b.g") < F.col("a.g")) & (F.col("a.n") * num <= F.col("b.most") * den) & (F.col("b.least") * num <= F.col("a.n") * den)
-    routes = held.alias("a").join(groups.alias("b"), (F.col("a.token") == F.col("b.token")) & fits).select("a.c", F.col("b.g").alias("to")).distinct()
-    routes = routes.groupBy("c").agg(F.collect_list("to").alias("to"))
-    wanted = members.join(routes, "c", "left").select("c", "rep", "g", F.coalesce("to", F.array().cast("array<long>")).alias("to"))
-    texts = documents.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t")).join(wanted, F.col("k") == F.col("rep")).select("t", "c", "g", "to")
+    routes = held.alias("a").join(groups.alias("b"), (F.col("a.token") == F.col("b.token")) & fits).groupBy("a.c", F.col("b.g").alias("g")).agg(F.min("a.n").alias("n"), F.count("*").alias("k"))
+    routes = written(routes.where(F.col("k") >= least_overlap).select("c", "g"), "routes")
+    # Only groups that have two members or a query are filled.
+    filled = members.select("g").unionByName(routes.select("g")).groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    own = members.join(filled, "g", "left_semi").select("c", "g", F.lit(0).alias("role"))
+    to = own.unionByName(routes.select("c", "g", F.lit(1).alias("role"))).groupBy("c").agg(F.collect_list(F.struct("g", "role")).alias("to"))
+    reps = known.groupBy(F.col("class_id").alias("c")).agg(F.min(quoted(key)).alias("rep"))
+    wanted = reps.join(to, "c")
+    texts = documents.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t")).join(wanted, F.col("k") == F.col("rep")).select("t", "c", "to")
     schema = T.StructType.fromDDL("g long, role int, c long, set array<long>")
     arrow = to_arrow_schema(schema)
 
@@ -223,10 +252,10 @@ def links(documents: DataFrame, classes: DataFrame, text: str, key: str, size: i
         for batch in batches:
             for part in chunks(batch, 0):
                 rows = ([], [], [], [])
-                for s, c, g, to in zip(sets_of(part.column(0).to_pylist(), size), *(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                for s, c, to in zip(sets_of(part.column(0).to_pylist(), size), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if class_of(s) == c:
-                        for role, where in [(0, g), *((1, x) for x in to)]:
-                            for column, value in zip(rows, (where, role, c, s.view(np.int64)), strict=True):
+                        for x in to:
+                            for column, value in zip(rows, (x["g"], x["role"], c, s.view(np.int64)), strict=True):
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, arrow.field(i).type) for i, v in enumerate(rows)], schema=arrow)
 
@@ -269,8 +298,7 @@ def components(documents: DataFrame, text: str = "text", key: str = "doc_id", si
     common = common_shingles(rows, text, size)
     known = written(signatures(rows, text, [key], size, num, den, common), "signatures")
     linked = known.where((F.col("n_shingles") > 0) & quoted(key).isNotNull())
-    classes = linked.groupBy("class_id").agg(F.min(F.struct(quoted(key).alias("rep"), F.col("n_shingles").alias("n"), "prefix")).alias("x")).select("class_id", "x.*")
-    stars = connected(written(links(rows, classes, text, key, size, num, den), "links"))
+    stars = connected(written(links(rows, linked, text, key, size, num, den), "links"))
     ids = linked.groupBy("class_id").agg(F.min(quoted(key)).alias("rep"))
     ids = ids.join(stars, F.col("class_id") == F.col("node"), "left").select("class_id", "rep", F.coalesce("root", "class_id").alias("root"))
     least = ids.groupBy("root").agg(F.min("rep").alias("least"))
