@@ -78,15 +78,15 @@ def sparse(texts: list[bytes | None]) -> tuple[list, list]:
     return [key[a:b] % DIMENSIONS for a, b in zip(at[:-1], at[1:], strict=True)], [value[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def follow(rows: list[tuple], alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> tuple[np.ndarray, float]:
-    """Weights and bias after passes over (dimensions, values, label)."""
+def follow(rows, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights and bias after passes over (dimensions, values, label), which rows() gives anew each time."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
 
     def weights(i):
         return np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(PASSES):
-        for dims, values, label in rows:
+        for dims, values, label in rows():
             i, x = np.append(dims, DIMENSIONS), np.append(values, 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - label) * x
@@ -104,8 +104,16 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", split:
     """
     sample = labelled_sample(documents, labels, target, split, rows)
     found = annotate(sample, "text", ["doc_id", "label"], lambda: sparse, "dims array<int>, vals array<float>")
-    got = found.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    return follow(list(zip(got["dims"], got["vals"].map(lambda v: np.asarray(v, float)), got["label"], strict=True)))
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "dims", "vals").toArrow()
+
+    def vectors():
+        for batch in got.to_batches():
+            ends = batch.column("dims").offsets.to_numpy()
+            dims, vals = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("dims", "vals"))
+            for label, a, b in zip(batch.column("label").to_numpy(), ends[:-1], ends[1:], strict=True):
+                yield dims[a:b], vals[a:b].astype(float), label
+
+    return follow(vectors)
 
 
 def score(documents: DataFrame, model, text: str = "text", keep: list[str] | None = None, column: str = "score") -> DataFrame:
