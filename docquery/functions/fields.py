@@ -27,7 +27,8 @@ def to_date(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """The shortest decimal text without an exponent: 10.0 is 10, 1e7 is 10000000."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
-    plain = F.regexp_replace(F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    digits = F.coalesce(c.try_cast("decimal(38,18)").cast("string"), c.try_cast("decimal(38,0)").cast("string"), c.cast("string"))
+    plain = F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return F.when(whole, c.try_cast("bigint").cast("string")).when(c.cast("string").contains("E"), plain).otherwise(c.cast("string"))
 
 
