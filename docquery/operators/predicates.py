@@ -12,15 +12,19 @@ from docquery.functions.fields import to_date, to_number
 
 @dataclass(frozen=True)
 class Cond:
-    """Whether a row matches, never null, and the score that it gets for it."""
+    """Whether a row matches, never null, the score that it gets for it, and the same as a filter.
+
+    A filter drops what is null anyway, so it is kept bare of coalescing: scans can be given its parts.
+    """
 
     match: Column
     score: Column
+    filter: Column
 
     @staticmethod
-    def of(match: Column, score: Column | float = 0.0) -> Cond:
-        match = F.coalesce(match, F.lit(False))
-        return Cond(match, F.when(match, score if isinstance(score, Column) else F.lit(float(score))).otherwise(F.lit(0.0)))
+    def of(match: Column, score: Column | float = 0.0, filter: Column | None = None) -> Cond:
+        filter, match = match if filter is None else filter, F.coalesce(match, F.lit(False))
+        return Cond(match, F.when(match, score if isinstance(score, Column) else F.lit(float(score))).otherwise(F.lit(0.0)), filter)
 
 
 def _sides(c: Column, value):
@@ -99,11 +103,13 @@ def flag(match: Column) -> Cond:
 
 
 def all_of(*conds: Cond) -> Cond:
-    return Cond.of(reduce(lambda a, b: a & b, [c.match for c in conds], F.lit(True)), reduce(lambda a, b: a + b, [c.score for c in conds], F.lit(0.0)))
+    both = lambda parts: reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+    return Cond.of(both([c.match for c in conds]), reduce(lambda a, b: a + b, [c.score for c in conds], F.lit(0.0)), both([c.filter for c in conds]))
 
 
 def one_of(*conds: Cond) -> Cond:
-    return Cond.of(reduce(lambda a, b: a | b, [c.match for c in conds], F.lit(False)), F.greatest(F.lit(0.0), F.lit(0.0), *[c.score for c in conds]))
+    some = lambda parts: reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
+    return Cond.of(some([c.match for c in conds]), F.greatest(F.lit(0.0), F.lit(0.0), *[c.score for c in conds]), some([c.filter for c in conds]))
 
 
 def none_of(*conds: Cond) -> Cond:

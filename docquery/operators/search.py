@@ -38,7 +38,7 @@ def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 0) ->
 
 def matched(df: DataFrame, cond: Cond) -> DataFrame:
     """Rows that match, with _score."""
-    return df.withColumn("_score", cond.score).where(cond.match)
+    return df.withColumn("_score", cond.score).where(cond.filter)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -87,7 +87,7 @@ def search(queries: list[tuple[DataFrame, Cond]], controls: Controls | None = No
     if c.modifiers:
         rows = rows.withColumn("_score", modified(F.col("_score"), c.modifiers, c.combine))
     if c.post_filter is not None:
-        rows = rows.where(c.post_filter.match)
+        rows = rows.where(c.post_filter.filter)
     hits = None
     if not c.aggregations:
         ordered = page(rows, order_by(rows, c.sorts or [("_score", "desc")], c.tiebreak), c.offset, c.limit)
