@@ -17,7 +17,7 @@ WIDTH, LETTERS, GRAM = 512, 64, 3
 SAMPLE_ROWS = 6000
 
 #: Code points to classes: 0 for what is no letter, a to z, and other letters by their code point.
-_CLASS = np.array([0] + [1 + c % (LETTERS - 1) if chr(c).isalpha() else 0 for c in range(1, 0x3000)], np.int64)
+_CLASS = np.array([0] + [1 + c % (LETTERS - 1) if chr(c).isalpha() else 0 for c in range(1, 0x3000)] + [0], np.int64)
 _SIGNS = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (LETTERS, WIDTH))
 _TURNED = [np.roll(_SIGNS, place, axis=1) for place in range(GRAM)]
 
@@ -33,7 +33,9 @@ def vectors(codes: np.ndarray) -> np.ndarray:
 def grams(text: bytes | None) -> np.ndarray:
     """Codes of a text's n-grams: letters as lower case, every run of other characters as one break; none without letters."""
     points = np.frombuffer((text or b"").decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), "<u4")
-    letters = np.where(points < len(_CLASS), _CLASS[np.minimum(points, len(_CLASS) - 1)], 1 + points % (LETTERS - 1))
+    letters = _CLASS[np.minimum(points, len(_CLASS) - 1)]
+    for point in np.unique(points[points >= len(_CLASS) - 1]):
+        letters[points == point] = 1 + point % (LETTERS - 1) if chr(point).isalpha() else 0
     if not letters.any():
         return np.zeros(0, np.int64)
     letters = np.concatenate([[0], letters, [0]])

@@ -110,6 +110,10 @@ def test_folding_and_exceptions():
     assert toxicity.folded(None) == "  "
 
 
+def test_letters_of_any_script():
+    assert len(language.grams("漢字".encode())) == 2 and len(language.grams("😀 12 、".encode())) == 0 and len(language.grams("\u2fff\u3000".encode())) == 0
+
+
 def test_profiles_are_sums_of_bound_letters():
     code = language.grams(b"Abc, abc")
     assert len(code) == 2 * 3 + 1 and len(set(code.tolist())) == 4  # " ab" "abc" "bc " "c a", two of three kinds twice
