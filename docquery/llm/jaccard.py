@@ -225,18 +225,23 @@ def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int
     least_overlap = F.floor(F.ceil(F.col("n") * num / den) / 32).cast("long") + 1  # of a partner, which has that size at least
     tokens = known.select(F.col("class_id").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     tokens = tokens.repartition(parallel, "token").dropDuplicates(["token", "c"])
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = written(tokens.join(shared, "token"), "shared")
-    # The group of a class: the least of its shared prefix tokens by a hash, and its size in steps of the similarity.
-    base = shared.groupBy("c").agg(F.min("n").alias("n"), F.min(F.xxhash64("token")).alias("h"), F.count("*").alias("k")).where(F.col("k") >= least_overlap)
-    base = base.withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)) if num < den else F.col("n"))
+    # The group of a class: its most shared prefix token, by which near copies meet, and its size in steps of the similarity.
+    base = shared.groupBy("c").agg(F.min("n").alias("n"), F.max(F.struct("df", F.xxhash64("token").alias("h"))).alias("h"), F.count("*").alias("k")).where(F.col("k") >= least_overlap)
+    base = base.withColumn("h", F.col("h.h")).withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)) if num < den else F.col("n"))
     parts = base.groupBy("h", "band").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
     members = base.join(parts, ["h", "band"]).select("c", "n", F.xxhash64("h", "band", F.pmod(F.xxhash64("c"), "parts")).alias("g"))
     members = written(members, "members")
-    held = shared.select("c", "token").join(members, "c")
-    groups = held.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.col("b.g") < F.col("a.g")) & (F.col("a.n") * num <= F.col("b.most") * den) & (F.col("b.least") * num <= F.col("a.n") * den)
-    routes = held.alias("a").join(groups.alias("b"), (F.col("a.token") == F.col("b.token")) & fits).groupBy("a.c", F.col("b.g").alias("g")).agg(F.min("a.n").alias("n"), F.count("*").alias("k"))
+    sizes = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    held = shared.select("c", "token").join(members.join(sizes, "g"), "c")
+    # Tokens that the same groups have count together: a class meets each list of groups once, with the tokens it has of it.
+    lists = held.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("g", "least", "most"))).alias("groups")).where(F.size("groups") > 1)
+    lists = written(lists.withColumn("list", F.xxhash64("groups")), "lists")
+    met = held.select("c", "n", "g", "token").join(lists.select("token", "list"), "token").groupBy("c", "n", "g", "list").agg(F.count("*").alias("k"))
+    met = met.join(lists.groupBy("list").agg(F.first("groups").alias("groups")), "list")
+    fits = lambda x: (x["g"] < F.col("g")) & (F.col("n") * num <= x["most"] * den) & (x["least"] * num <= F.col("n") * den)
+    routes = met.select("c", "n", "k", F.explode(F.filter("groups", fits)).alias("x")).groupBy("c", F.col("x.g").alias("g")).agg(F.min("n").alias("n"), F.sum("k").alias("k"))
     routes = written(routes.where(F.col("k") >= least_overlap).select("c", "g"), "routes")
     # Only groups that have two members or a query are filled.
     filled = members.select("g").unionByName(routes.select("g")).groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
