@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from docquery.llm.common import annotate, crc_class, labelled_sample, quoted, wr
 
 #: Labelled documents that the lexicon is learned from at most, its entries at most, and what an entry must reach.
 SAMPLE_ROWS, ENTRIES, LEAST_TOXIC, LEAST_SHARE = 20_000, 2000, 4, 0.9
+#: Clean texts that must have an exception phrase.
+LEAST_CLEAN = 4
 #: Length of the word beginnings that can be entries, beside whole words.
 BEGINNINGS = range(4, 8)
 #: Words of a text from which its length begins to tell.
@@ -68,16 +71,17 @@ def candidates(text: str) -> set[str]:
     return {f" {w} " for w in words if len(w) > 2} | {f" {w[:k]}" for w in words for k in BEGINNINGS if len(w) > k}
 
 
-def _counted(sample: DataFrame, only: frozenset | None) -> DataFrame:
-    """(entry, n): the texts that have each candidate, or each of the given ones."""
+def _counted(sample: DataFrame, only: frozenset | None, factory: Callable = lambda: candidates) -> DataFrame:
+    """(entry, n): the texts that have each candidate, or each of the given ones; factory() makes a task's way to find them."""
     schema = T.StructType.fromDDL("entry string, n long")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        find = factory()
         counts: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                found = candidates(folded(t))
+                found = find(folded(t))
                 counts.update(found if only is None else found & only)
             if len(counts) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()))], schema=arrow)
@@ -140,6 +144,39 @@ class Matcher:
         return sum(w for _, _, w in found) / (1 + math.log1p(text.count(" ") / LENGTH_FROM)) if found else 0.0
 
 
+def surroundings(text: str, matcher: Matcher) -> set[str]:
+    """The two and three words in a row of a folded text that have an entry's word, with a space at each end."""
+    out = set()
+    for start, _, _ in matcher.hits(text):
+        before, after = text[:start].rsplit(" ", 2)[1:], text[start + 1 :].split(" ", 3)[:3]
+        words, at = [*before, *filter(None, after)], len(before)
+        spans = ((i, i + k) for k in (2, 3) for i in range(max(at - k + 1, 0), at + 1) if i + k <= len(words))
+        out |= {" " + " ".join(words[i:j]) + " " for i, j in spans}
+    return out
+
+
+def phrases(sample: DataFrame, lexicon: dict[str, float], toxic: dict[str, int], clean: dict[str, int]) -> tuple[str, ...]:
+    """Exception phrases: words around an entry that clean texts of the sample have and toxic ones never.
+
+    As for entries, chance must not give the best of so many phrases as often: each of its clean texts, copies counted
+    once, is as likely as the share of clean ones among the texts that have the entry. What has a shorter phrase in it is
+    left out.
+    """
+
+    def factory():
+        matcher = Matcher(lexicon)
+        return lambda text: surroundings(text, matcher)
+
+    seen = {r["entry"]: r["n"] for r in _counted(sample.where("label = 0").select("text").distinct(), None, factory).collect()} if lexicon else {}
+    bad = {r["entry"] for r in _counted(sample.where("label = 1"), frozenset(seen), factory).collect()} if seen else set()
+    out: list[str] = []
+    for phrase, n in sorted(seen.items(), key=lambda x: (x[0].count(" "), x[0])):
+        chance = max(((clean.get(e, 0) + 0.5) / (toxic[e] + clean.get(e, 0) + 1) for e in candidates(phrase) if e in lexicon), default=1.0)
+        if n >= LEAST_CLEAN and phrase not in bad and -n * math.log(chance) >= math.log(max(len(seen), 2)) + 2 and not any(p in phrase for p in out):
+            out.append(phrase)
+    return tuple(p.strip() for p in out)
+
+
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through (strength, label), a little held back so that it is finite."""
     a, b = 1.0, -1.0
@@ -156,7 +193,8 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", split: tuple[int, int] = (3, 1), rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()):
     """(lexicon, exceptions, slope, intercept) learned from at most rows labelled documents outside the held-out class.
 
-    Candidates are counted in toxic texts, those frequent there in clean ones; both counts are of the bounded sample.
+    Candidates are counted in toxic texts, those frequent there in clean ones; both counts are of the bounded sample, from
+    which phrases come too, beside the given exceptions.
     Without labelled rows of both kinds the lexicon is empty and every score 0.
     """
     sample = written(labelled_sample(documents, labels, target, split, rows), "sample")
@@ -167,6 +205,7 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", split: t
     toxic = {r["entry"]: r["n"] for r in counted.where(F.col("n") >= LEAST_TOXIC).collect()}
     clean = {r["entry"]: r["n"] for r in _counted(sample.where("label = 0"), frozenset(toxic)).collect()}
     lexicon = entries(toxic, clean, sizes[1], sizes[0], counted.count())
+    exceptions = tuple(dict.fromkeys([*exceptions, *phrases(sample, lexicon, toxic, clean)]))
 
     def factory():
         matcher = Matcher(lexicon, exceptions)

@@ -110,6 +110,15 @@ def test_folding_and_exceptions():
     assert toxicity.folded(None) == "  "
 
 
+def test_exceptions_are_learned(spark):
+    words = ["river", "stone", "cloud", "paper", "green", "table", "music", "winter"]
+    plain = [" ".join(words[(i * k + k) % 8] for k in range(3, 20)) for i in range(800)]
+    texts = [f"{t} trash {t}" if i % 2 else f"{t} the trash can of {i}" if i % 20 == 0 else t for i, t in enumerate(plain)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(800)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.judged(documents(spark, texts), labels).collect()}
+    assert all(got[i] == (i % 2) for i in range(800))
+
+
 def test_letters_of_any_script():
     assert len(language.grams("漢字".encode())) == 2 and len(language.grams("😀 12 、".encode())) == 0 and len(language.grams("\u2fff\u3000".encode())) == 0
 
