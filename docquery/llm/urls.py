@@ -68,11 +68,12 @@ def segments(path: Column) -> list[Column]:
 
 
 def templates(ruled: DataFrame) -> DataFrame:
-    """host, s0.. (generalised segments), template and purity, from pages with host, s0.., and ruled.
+    """host, s0.. (generalised segments), template, purity and shown, from pages with host, s0.., and ruled.
 
     Down the tree, the children of a node become a wildcard where there are more than CHILDREN. Branches of a host that
     have labelled pages and do not differ from the host's share of blocked ones by chance's measure are one branch for
-    counting. Purity is the smoothed share of blocked pages among a branch's labelled ones.
+    counting. Purity is the smoothed share of blocked pages among a branch's labelled ones; shown is whether its own share,
+    without the overall one, reaches REJECT_FROM.
     """
     steps = [f"s{i}" for i in range(LEVELS + 1)]
     counted = ruled.groupBy("host", *steps).agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
@@ -92,14 +93,16 @@ def templates(ruled: DataFrame) -> DataFrame:
     leaves = leaves.join(merged, "host", "left").withColumns({"n": F.when(F.col("alike"), F.col("mn")).otherwise(F.col("n")), "b": F.when(F.col("alike"), F.col("mb")).otherwise(F.col("b"))})
     total = counted.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     prior = (total["b"] or 0) / total["n"] if total["n"] else 0.0
-    leaves = leaves.select("host", "template", ((F.col("b") + PRIOR_PAGES * prior) / (F.col("n") + PRIOR_PAGES)).alias("purity"))
+    shown = F.coalesce(F.col("b") >= REJECT_FROM * F.col("n"), F.lit(False)) & (F.col("n") > 0)
+    leaves = leaves.select("host", "template", ((F.col("b") + PRIOR_PAGES * prior) / (F.col("n") + PRIOR_PAGES)).alias("purity"), shown.alias("shown"))
     return tree.select("host", *steps, "template").join(leaves, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", key: str = "page_id") -> DataFrame:
     """key, host, path, rule, verdict, template and purity of every page.
 
-    The longest rule that fits decides; of other pages the template, which is rejected from a purity of REJECT_FROM on.
+    The longest rule that fits decides; of other pages the template, which is rejected from a purity of REJECT_FROM on
+    if its branch's own labelled pages reach that too: other hosts' pages never block it.
     A url that is null or has no :// has an empty host and path, and no rule but one for that. Rows come back as often
     as they were given; other columns are not read.
     """
@@ -107,5 +110,5 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", k
     names = [f"s{i}" for i in range(LEVELS + 1)]
     rows = with_rule(rows, rules).withColumns(dict(zip(names, segments(F.col("path")), strict=True)))
     found = rows.join(templates(rows), ["host", *names])
-    verdict = F.coalesce("ruled", F.when(F.col("purity") >= REJECT_FROM, F.lit("block")).otherwise(F.lit("allow")))
+    verdict = F.coalesce("ruled", F.when((F.col("purity") >= REJECT_FROM) & F.col("shown"), F.lit("block")).otherwise(F.lit("allow")))
     return found.select(quoted(key), "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))

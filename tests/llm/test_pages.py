@@ -69,3 +69,12 @@ def test_templates_of_a_host_are_judged(spark):
     assert got[2].template == "bad/*" and got[2].rule is None and got[2].verdict == "block"
     assert got[25].template == "good/*/x" and got[25].verdict == "allow"
     assert got[40].verdict == "allow"
+
+
+def test_a_hot_host_blocks_no_other(spark):
+    few = [f"http://a.org/fr/{i}" for i in range(30)] + [f"http://a.org/en/{i}" for i in range(5)] + ["http://b.org/x", "http://c.org/fr/1"]
+    rules = (*urls.RULES, urls.Rule.of("allow", "one.com/a/1"))
+    few += ["http://one.com/a/1", "http://one.com/a/2"]
+    hot = [f"http://hot.net/{i}" for i in range(1500)]
+    before, after = ({r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(list(enumerate(x)), "page_id long, url string"), rules).collect()} for x in (few, few + hot))
+    assert all(after[i] == before[i] == "allow" for i in range(len(few))) and after[len(few)] == "block"
