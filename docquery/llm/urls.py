@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docquery.llm.common import quoted, written
 from docquery.llm.html import host_of
 
-#: Segments that a template tells apart (what follows is one more), and children from which a node's segments are a wildcard.
+#: Segments after which a template is cut to ** where no page below is labelled, and children from which a node's segments are a wildcard.
 LEVELS, CHILDREN = 4, 8
 #: Pages that the overall share of blocked ones counts as in a template's purity, the purity that rejects, and the normal
 #: deviation up to which branches are alike.
@@ -60,30 +60,49 @@ def with_rule(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return pages.withColumns({"rule": first(lambda r: r.text), "ruled": first(lambda r: r.verdict)})
 
 
-def segments(path: Column) -> list[Column]:
-    """LEVELS segments with runs of digits as *, empty where there are none, and ** if more follow."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    out = [F.coalesce(F.regexp_replace(F.get(parts, F.lit(i)), "[0-9]+", "*"), F.lit("")) for i in range(LEVELS)]
-    return [*out, F.when(F.size(parts) > LEVELS, F.lit("**")).otherwise(F.lit(""))]
+def segments(path: Column) -> Column:
+    """All segments of a path with runs of digits as *."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.regexp_replace(s, "[0-9]+", "*"))
+
+
+def tree_of(counted: DataFrame) -> DataFrame:
+    """host, segs, n, b and template, from distinct host and segs with n, b.
+
+    One level after the other, as deep as the paths go: the children of a node become a wildcard where there are more than
+    CHILDREN. A node of at most CHILDREN paths has no wildcard below and is done at once. From LEVELS segments on a node
+    without a labelled page below is one template, which ends in **: all of it has the same purity and verdict.
+    """
+    done, level = [], 0
+    active = counted.withColumn("node", F.array().cast("array<string>"))
+    while True:
+        step = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
+        nodes = active.groupBy("host", "node").agg(F.count("*").alias("paths"), F.count_distinct(step).alias("children"), F.sum(F.when(F.size("segs") > level, F.col("n"))).alias("labelled"))
+        rest = F.slice("segs", F.lit(level + 1), F.greatest(F.size("segs") - level, F.lit(0)))
+        below = F.concat("node", F.array(F.when((F.col("children") > CHILDREN) & (step != ""), F.lit("*")).otherwise(step)))
+        whole = F.when(F.size("segs") <= level, F.col("node"))
+        if level >= LEVELS:
+            whole = whole.when(F.col("labelled") == 0, F.concat("node", F.array(F.lit("**"))))
+        whole = whole.when(F.col("paths") <= CHILDREN, F.concat("node", rest))
+        if level < LEVELS:  # deeper paths stay until their node below LEVELS segments shows whether it has a labelled page
+            whole = F.when(F.size("segs") <= LEVELS, whole)
+        found = written(active.join(nodes, ["host", "node"]).select("host", "segs", "n", "b", whole.alias("whole"), below.alias("node")), f"level{level}")
+        done.append(found.where("whole is not null").select("host", "segs", "n", "b", F.concat_ws("/", "whole").alias("template")))
+        active = found.where("whole is null").drop("whole")
+        level += 1
+        if active.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def templates(ruled: DataFrame) -> DataFrame:
-    """host, s0.. (generalised segments), template, purity and shown, from pages with host, s0.., and ruled.
+    """host, segs (generalised segments), template, purity and shown, from pages with host, segs and ruled.
 
-    Down the tree, the children of a node become a wildcard where there are more than CHILDREN. Branches of a host that
+    Branches of a host that
     have labelled pages and do not differ from the host's share of blocked ones by chance's measure are one branch for
     counting. Purity is the smoothed share of blocked pages among a branch's labelled ones; shown is whether its own share,
     without the overall one, reaches REJECT_FROM.
     """
-    steps = [f"s{i}" for i in range(LEVELS + 1)]
-    counted = ruled.groupBy("host", *steps).agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b"))
-    tree = counted = written(counted, "counted")
-    for i, step in enumerate(steps):
-        parent = ["host", *(f"t{j}" for j in range(i))]
-        children = tree.select(*parent, step).distinct().groupBy(*parent).agg(F.count("*").alias("children"))
-        tree = tree.join(children, parent).withColumn(f"t{i}", F.when((F.col("children") > CHILDREN) & (F.col(step) != ""), F.lit("*")).otherwise(F.col(step))).drop("children")
-        tree = written(tree, f"level{i}")  # else each level's plan would hold the one above twice
-    tree = tree.withColumn("template", F.concat_ws("/", *[F.when(F.col(f"t{i}") != "", F.col(f"t{i}")) for i in range(LEVELS + 1)]))
+    counted = written(ruled.groupBy("host", "segs").agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b")), "counted")
+    tree = tree_of(counted)
     leaves = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
     share = F.try_divide("hb", "hn")
@@ -95,7 +114,7 @@ def templates(ruled: DataFrame) -> DataFrame:
     prior = (total["b"] or 0) / total["n"] if total["n"] else 0.0
     shown = F.coalesce(F.col("b") >= REJECT_FROM * F.col("n"), F.lit(False)) & (F.col("n") > 0)
     leaves = leaves.select("host", "template", ((F.col("b") + PRIOR_PAGES * prior) / (F.col("n") + PRIOR_PAGES)).alias("purity"), shown.alias("shown"))
-    return tree.select("host", *steps, "template").join(leaves, ["host", "template"])
+    return tree.select("host", "segs", "template").join(leaves, ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -107,8 +126,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", k
     as they were given; other columns are not read.
     """
     rows = pages.select(quoted(key).alias(key), host_of(quoted(url)).alias("host"), path_of(quoted(url)).alias("path"))
-    names = [f"s{i}" for i in range(LEVELS + 1)]
-    rows = with_rule(rows, rules).withColumns(dict(zip(names, segments(F.col("path")), strict=True)))
-    found = rows.join(templates(rows), ["host", *names])
+    rows = with_rule(rows, rules).withColumn("segs", segments(F.col("path")))
+    found = rows.join(templates(rows), ["host", "segs"])
     verdict = F.coalesce("ruled", F.when((F.col("purity") >= REJECT_FROM) & F.col("shown"), F.lit("block")).otherwise(F.lit("allow")))
     return found.select(quoted(key), "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))

@@ -78,3 +78,18 @@ def test_a_hot_host_blocks_no_other(spark):
     hot = [f"http://hot.net/{i}" for i in range(1500)]
     before, after = ({r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(list(enumerate(x)), "page_id long, url string"), rules).collect()} for x in (few, few + hot))
     assert all(after[i] == before[i] == "allow" for i in range(len(few))) and after[len(few)] == "block"
+
+
+def test_deep_branches_are_judged_apart(spark):
+    base = "http://a.com/blog/2024/05/12/x/y"
+    bad, good = [f"{base}/spam/{c}/{c}" for c in "abcdefghijkl"], [f"{base}/ok/{c}/z" for c in "abcdefghijkl"]
+    rules = (*(urls.Rule.of("block", u[7:]) for u in bad[:6]), *(urls.Rule.of("allow", u[7:]) for u in good[:6]))
+    df = spark.createDataFrame(list(enumerate(bad + good + [f"{base}/spam", "http://b.com/1/2/3/4/5/6"])), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df, rules).collect()}
+    assert got[18].verdict == "allow" and got[18].template == "blog/*/*/*/x/y/ok/*/z"
+    assert got[24].template == "blog/*/*/*/x/y/spam" and got[25].template == "*/*/*/*/**"
+    deep = [f"{base}/{k}/{i}" for i in range(9) for k in ("spam", "ok")]
+    rules = (urls.Rule.of("block", "a.com/blog/2024/05/12/x/y/spam/1"), urls.Rule.of("allow", "a.com/blog/2024/05/12/x/y/ok/1"))
+    deep += [f"{base}/{k}/1{c}" for k in ("spam", "ok") for c in "abcdefghijkl"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(deep)), "page_id long, url string"), rules).collect()
+    assert all(r.verdict == ("block" if "/spam/" in r.path else "allow") for r in got)
