@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 import re
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from docquery.llm.common import annotate, quoted
 
-#: Tokens of a repeated run at least (a power of two), pages that must share it, and their share of the pages looked at.
+#: Tokens of a repeated run at least (a power of two), pages that must share it, and their share of the host's pages
+#: without an article; the square root of these pages is enough where it is less.
 RUN_TOKENS, RUN_PAGES, RUN_SHARE = 8, 3, 0.3
-#: Characters of pages of one host that one suffix array covers; a larger host has several, its pages dealt by a hash.
+#: Characters of pages of one host that one suffix array covers; the pages of a larger host are dealt by a hash, its
+#: runs counted over all of them.
 ARRAY_CHARS = 4 << 20
 #: Large hosts whose list is broadcast; a longer list is joined.
 LISTED_HOSTS = 50_000
@@ -133,39 +138,57 @@ def _whole(gone: np.ndarray, tokens: int) -> np.ndarray:
     return out
 
 
-def unique_runs(pages: list[list[tuple[str, bool]]], tokens: int = RUN_TOKENS, least: int = RUN_PAGES, share: float = RUN_SHARE) -> list[tuple[str, int]]:
-    """Text and number of removed tokens of each page of one host.
+def run_hashes(page: list[str], tokens: int = RUN_TOKENS) -> np.ndarray:
+    """Hash of the run of tokens that starts at each place of a page's stream, where each block follows a line end."""
+    stream = [w for text in page for w in ("\n", *text.split(" "))]
+    runs = (" ".join(stream[i : i + tokens]).encode("utf-8", "replace") for i in range(len(stream) - tokens + 1))
+    return np.array([int.from_bytes(blake2b(r, digest_size=8).digest(), "little", signed=True) for r in runs], np.int64)
 
-    Pages of equal text count once. A block of an article stays whole; of another block the tokens outside repeated runs.
+
+def unique_runs(pages: list[tuple[list[str], bool]], common: np.ndarray | None = None, tokens: int = RUN_TOKENS, least: int = RUN_PAGES, share: float = RUN_SHARE) -> list[tuple[str, int]]:
+    """Text and number of removed tokens of each page of one host, from its blocks and whether they are an article's.
+
+    An article's page stays whole; of another page the tokens outside repeated runs stay. Runs are those that the other
+    pages share, equal texts counted once, or, where the pages are only a part of a host's, those of the given hashes.
     """
-    known: dict[str, int] = {"\n": 0}
     distinct: dict[tuple, int] = {}
-    ids, page = [], []
-    for p in pages:
-        if tuple(p) not in distinct:
-            distinct[tuple(p)] = len(ids)
-            start = len(ids)
-            for text, _ in p:
+    known: dict[str, int] = {"\n": 0}
+    ids, page, found = [], [], []
+    for p, article in pages:
+        if not article and tuple(p) not in distinct:
+            distinct[tuple(p)] = start = len(ids)
+            for text in p:
                 ids.append(0)
                 ids += [known.setdefault(t, len(known)) for t in text.split(" ")]
-            ids.append(-1 - len(distinct))
+            ids.append(-len(distinct))
             page += [len(distinct)] * (len(ids) - start)
-    stream = np.array(ids, np.int64)
-    stream[stream < 0] = len(known) - 1 - stream[stream < 0]
-    gone = repeated(stream, np.array(page, np.int64), tokens, max(least, int(np.ceil(share * len(distinct)))))
+            if common is not None:
+                edge = np.zeros(len(ids) - start + 1, np.int64)
+                at = np.flatnonzero(np.isin(run_hashes(p, tokens), common))
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + tokens, -1)
+                found.append(np.cumsum(edge)[:-1] > 0)
+    if common is None:
+        stream = np.array(ids, np.int64)
+        stream[stream < 0] = len(known) - 1 - stream[stream < 0]
+        n = len(distinct)
+        gone = repeated(stream, np.array(page, np.int64), tokens, max(least, math.ceil(min(share * n, math.sqrt(n)))))
+    else:
+        gone = np.concatenate([np.zeros(0, bool), *found])
     out = []
-    for p in pages:
-        at, kept, removed = distinct[tuple(p)], [], 0
-        for text, article in p:
+    for p, article in pages:
+        at, kept, removed = distinct.get(tuple(p), 0), [], 0
+        for text in p:
             words = text.split(" ")
-            here = gone[at + 1 : at + 1 + len(words)]
-            if not article and here.any():
-                here = _whole(here, tokens)
-                removed += int(here.sum())
-                words = [w for w, g in zip(words, here, strict=True) if not g]
+            if not article:
+                here = gone[at + 1 : at + 1 + len(words)]
+                at += 1 + len(here)
+                if here.any():
+                    here = _whole(here, tokens)
+                    removed += int(here.sum())
+                    words = [w for w, g in zip(words, here, strict=True) if not g]
             if words:
                 kept.append(" ".join(words))
-            at += 1 + len(here)
         out.append(("\n".join(kept), removed))
     return out
 
@@ -202,13 +225,32 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "
         parts = F.broadcast(pages.sparkSession.createDataFrame(listed, "host string, parts long"))
     part = F.pmod(F.xxhash64("k", "u"), F.coalesce("parts", F.lit(1)))
     parallel = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.join(parts, "host", "left").withColumn("part", part).drop("parts").repartition(parallel, "host", "part")
+    dealt = found.join(parts, "host", "left").withColumns({"part": part, "dealt": F.col("parts").isNotNull()}).drop("parts").repartition(parallel, "host", "part")
+
+    def hashing():
+        def work(texts):
+            pages = [[] if any(a for _, a in p) else [t for t, _ in p] for p in (blocks((t or b"").decode("utf-8", "replace")) for t in texts)]
+            bodies = [int.from_bytes(blake2b("\n".join(p).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if p else None for p in pages]
+            return bodies, [np.unique(run_hashes(p)).tolist() for p in pages]
+
+        return work
+
+    large = narrow.withColumn("host", host).join(parts, "host").withColumn("part", part)
+    seen = annotate(large, "h", ["host", "part"], hashing, "body long, runs array<long>").where("body is not null")
+    runs = seen.select("host", "part", "body", F.explode("runs").alias("run"))
+    size = seen.groupBy("host").agg(F.count_distinct("body").alias("n"))
+    enough = F.greatest(F.lit(RUN_PAGES), F.ceil(F.least(RUN_SHARE * F.col("n"), F.sqrt("n"))))
+    shared = runs.groupBy("host", "run").agg(F.count_distinct("body").alias("shared")).join(size, "host").where(F.col("shared") >= enough)
+    common = runs.select("host", "part", "run").distinct().join(shared.select("host", "run"), ["host", "run"]).select("host", "part", "run")
 
-    def of_host(frame):
-        runs = unique_runs([[(t, article) for t in b] for b, article in zip(frame["blocks"], frame["article"], strict=True)])
+    def of_host(frame, common):
+        if not len(frame):
+            return pd.DataFrame({"k": [], "u": [], "text": [], "n_removed": []})
+        given = common["run"].to_numpy(np.int64) if frame["dealt"].iloc[0] else None
+        runs = unique_runs(list(zip((list(b) for b in frame["blocks"]), frame["article"], strict=True)), given)
         frame["text"], frame["n_removed"] = [t for t, _ in runs], [n for _, n in runs]
         return frame[["k", "u", "text", "n_removed"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    done = dealt.groupBy("host", "part").applyInPandas(of_host, f"k {kinds['k']}, u string, text string, n_removed long")
+    done = dealt.groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(of_host, f"k {kinds['k']}, u string, text string, n_removed long")
     return done.select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_removed")

@@ -93,3 +93,18 @@ def test_deep_branches_are_judged_apart(spark):
     deep += [f"{base}/{k}/1{c}" for k in ("spam", "ok") for c in "abcdefghijkl"]
     got = urls.judge(spark.createDataFrame(list(enumerate(deep)), "page_id long, url string"), rules).collect()
     assert all(r.verdict == ("block" if "/spam/" in r.path else "allow") for r in got)
+
+
+def test_a_large_host_loses_its_menu(spark):
+    menu = "<div>Welcome to the site of many words, here is all that every page of it says</div>"
+    rows = [(i, "http://a.b/x", f"<body>{menu}<p>Own text {i} of the page</p></body>") for i in range(6)]
+    rows.append((9, "http://a.b/big", "<body><p>big</p><!--" + " " * 20_000_000 + "--></body>"))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i} of the page" for i in range(6)} | {9: "big"}
+
+
+def test_a_section_loses_its_menu(spark):
+    menu = "<div>Welcome to the section of many words, here is all that every page of it says</div>"
+    rows = [(i, "http://a.b/x", f"<body>{menu if i < 20 else ''}<p>Own text {i} of the page</p></body>") for i in range(100)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own text {i} of the page" for i in range(100)}
