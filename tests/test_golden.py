@@ -263,3 +263,12 @@ def test_index_stream_moves_rows(spark, tmp_path):
         streams.index_changes(spark.readStream.schema(schema).parquet(place["in"]), place["out"], place["state"], "id", "k")
     got = spark.read.parquet(place["out"]).select("id", F.col("k").cast("string"), "v").collect()
     assert sorted(tuple(x) for x in got) == [(1, "b", 2), (2, "a", 1), (3, "b", 1)]
+
+
+def test_best_region_reads_all_orders(spark, sf, tmp_path):
+    from docquery.plans.catalogue import QUERIES
+
+    for name in ("nation", "region", "orders"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        (rows.where("o_orderkey >= 40") if name == "orders" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["best_region"](spark, str(tmp_path)).count() == QUERIES["best_region"](spark, sf).count() > 0
