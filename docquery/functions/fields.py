@@ -10,6 +10,14 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 LAYOUTS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX", "yyyy-MM-dd", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss")
 
 
+def spare(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, for a step's own use."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def to_number(c: Column) -> Column:
     """A double from number text, else null (N3 has 0 instead, see to_float)."""
     return F.when(c.rlike(NUMBER), c.try_cast("double"))
@@ -19,11 +27,21 @@ def to_float(c: Column) -> Column:
     return F.coalesce(to_number(c.cast("string")), F.lit(0.0))
 
 
+def numeric(c: Column) -> Column:
+    """A double from a number or number text, else null: what metrics are made of."""
+    return F.when(F.typeof(c) == "string", to_number(c.cast("string"))).otherwise(c.try_cast("double"))
+
+
 def to_date(c: Column) -> Column:
-    """An instant from text in one of LAYOUTS, else null; without an offset it is UTC in a UTC session."""
+    """An instant from text in one of LAYOUTS, else null; without an offset it is UTC in a UTC session."""
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(layout)) for layout in LAYOUTS])
 
 
+def to_time(c: Column) -> Column:
+    """An instant from text in the first of LAYOUTS, else the zero time, the first day of year 1."""
+    return F.coalesce(F.try_to_timestamp(c, F.lit(LAYOUTS[0])), F.make_timestamp_ltz(F.lit(1), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
+
+
 def number_text(c: Column) -> Column:
     """The shortest decimal text without an exponent: 10.0 is 10, 1e7 is 10000000."""
     whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
@@ -46,7 +64,8 @@ def div(a: Column, b: Column) -> Column:
 
 
 def key_text(c: Column) -> Column:
-    return F.trim(c)
+    """A bucket's key without white space at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def raw_at(variant: Column, path: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -40,7 +42,8 @@ def without_stop_words(t: Column) -> Column:
 def without_short_and_numbers(t: Column) -> Column:
     """Tokens of two characters or more that are no number, also not inf, nan or infinity."""
     number = r"^(?:[+-]?(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9_]+)(?:e[+-]?[0-9]+)?|[+-]?(?:inf|infinity|nan)|0x[0-9a-f_]+p[0-9]+)$"
-    return F.filter(t, lambda x: (F.length(x) > 1) & ~x.rlike(number))
+    could_be = lambda x: (x < ":") | x.isin("inf", "infinity", "nan")  # noqa: E731  (digits and signs sort before a colon)
+    return F.filter(t, lambda x: (F.length(x) > 1) & ~(could_be(x) & x.rlike(number)))
 
 
 def _cut(x: Column, n: int) -> Column:
@@ -92,6 +95,24 @@ def _runs(t: Column, k: int) -> Column:
     return F.when(F.size(t) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hash(*words: Column) -> Column:
+    """What stands for an n-gram where only equality counts: a hash of its words, one after the other."""
+    return reduce(lambda h, w: F.xxhash64(h, w), words[1:], F.xxhash64(words[0]))
+
+
+def gram_hashes(t: Column, upto: int = 3) -> Column:
+    """The n-grams of ngrams() as hashes: no text is made for them, so that long documents stay cheap."""
+
+    def longer(x, runs, k):
+        if k > upto:
+            return runs[0] if len(runs) == 1 else F.concat(*runs)
+        n = F.greatest(F.size(x) - (k - 1), F.lit(0))
+        more = F.zip_with(F.slice(runs[-1], F.lit(1), n), F.slice(x, F.lit(k), n), lambda h, w: F.xxhash64(h, w))
+        return bound(more, lambda found: longer(x, [*runs, found], k + 1))
+
+    return F.array_distinct(bound(t, lambda x: bound(F.transform(x, lambda w: F.xxhash64(w)), lambda ones: longer(x, [ones], 2))))
+
+
 def analysed_phrase(c: Column, stem: bool = True) -> Column:
     """Tokens in order, repeats kept (T8); null text has none."""
     t = without_stop_words(F.transform(tokens(normalised(F.coalesce(c, F.lit("")))), F.lower))

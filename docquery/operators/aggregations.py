@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from docquery.functions.fields import key_text, numeric, spare
 
 #: Formats of date-histogram keys.
 INTERVALS = {"minute": "yyyy-MM-dd HH:mm", "hour": "yyyy-MM-dd HH", "day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -15,36 +17,76 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
 
-METRICS: dict[str, Callable[..., Column]] = {
+def _part(p: float) -> float:
+    return (p if 0 < p <= 100 else 50) / 100
+
+
+#: Metrics of the numbers in a field. The exact median and percentile hold a group's distinct values in one task, counted;
+#: the approx ones a bounded sketch.
+NUMERIC: dict[str, Callable[..., Column]] = {
     "sum": lambda x: _zero(F.sum(x)),
     "avg": lambda x: _zero(F.avg(x)),
     "mean": lambda x: _zero(F.avg(x)),
     "median": lambda x: _zero(F.median(x)),
-    "mode": lambda x: F.mode(x, True),
     "min": lambda x: _zero(F.min(x)),
     "max": lambda x: _zero(F.max(x)),
     "std_dev": lambda x: _zero(F.stddev_samp(x)),
-    "percentile": lambda x, p=50: _zero(F.percentile(x, (p if 0 < p <= 100 else 50) / 100)),
-    "cardinality": lambda x: F.countDistinct(x).cast("double"),
-    "unique_count": lambda x: F.countDistinct(x).cast("double"),
-    "approx_cardinality": lambda x: F.approx_count_distinct(x).cast("double"),
+    "percentile": lambda x, p=50: _zero(F.percentile(x, _part(p))),
+    "approx_percentile": lambda x, p=50: _zero(F.percentile_approx(x, _part(p), 10_000)),
     "count": lambda x: F.count(x),
 }
+#: Metrics of any values.
+OTHERS: dict[str, Callable[..., Column]] = {
+    "mode": lambda x: F.mode(x, True),
+    "approx_cardinality": lambda x: F.approx_count_distinct(x).cast("double"),
+    "cardinality": lambda x, nulls=False: (F.count_distinct(x) + (F.coalesce(F.max(x.isNull().cast("int")), F.lit(0)) if nulls else 0)).cast("double"),
+}
+METRICS = NUMERIC | OTHERS | {"unique_count": OTHERS["cardinality"]}
+
 
+def metric(kind: str, field: str | Column, name: str, **options) -> Column | None:
+    """A named metric; without values 0, and the least of equally common modes (A6-A15). An unknown kind is none.
 
-def metric(kind: str, field: str | Column, name: str, **options) -> Column:
-    """A named metric of a numeric column; without values 0, and the least of equally common modes."""
-    return METRICS[kind](F.col(field) if isinstance(field, str) else field, **options).alias(name)
+    Numeric metrics skip text that is no number. cardinality(nulls=True) counts null as one value, for fields where it is
+    not just missing; the elements of arrays are counted by the function cardinality.
+    """
+    if kind not in METRICS:
+        return None
+    c = F.col(field) if isinstance(field, str) else field
+    return METRICS[kind](numeric(c) if kind in NUMERIC else c, **options).alias(name)
+
+
+def _known(metrics) -> list[Column]:
+    return [m for m in metrics if m is not None]
+
+
+def _bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with all keys; text keys without white space at their ends."""
+    texts = [k for k in keys if isinstance(df.schema[k].dataType, T.StringType)]
+    return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).withColumns({k: key_text(F.col(k)) for k in texts})
 
 
-def terms(df: DataFrame, keys: list[str], *metrics: Column) -> DataFrame:
-    """A bucket for each combination of keys, missing ones dropped (A1)."""
-    return df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(F.count("*").alias("count"), *metrics)
+def terms(df: DataFrame, keys: list[str], *metrics: Column | None) -> DataFrame:
+    """A bucket for each combination of keys, missing ones dropped (A1); text keys are trimmed."""
+    return _bucketed(df, keys).groupBy(*keys).agg(F.count("*").alias("count"), *_known(metrics))
+
+
+def cardinality(df: DataFrame, keys: list[str], array: str, name: str) -> DataFrame:
+    """keys and the number of distinct elements of an array field, null as one value.
+
+    A row whose array is missing or empty adds nothing. Elements are counted by group and value before anything is gathered.
+    """
+    value = spare("_x", df)
+    rows = _bucketed(df, keys) if keys else df
+    held = rows.select(*keys, F.explode(F.coalesce(array, F.array())).alias(value)).groupBy(*keys, value).agg(F.lit(1).alias("_n"))
+    groups = rows.select(*keys).distinct() if keys else None
+    counts = held.groupBy(*keys).agg(F.count("*").cast("double").alias(name))
+    return counts if groups is None else groups.join(counts, keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
-def whole(df: DataFrame, *metrics: Column) -> DataFrame:
+def whole(df: DataFrame, *metrics: Column | None) -> DataFrame:
     """One bucket of all rows (A5)."""
-    return df.agg(F.count("*").alias("count"), *metrics)
+    return df.agg(F.count("*").alias("count"), *_known(metrics))
 
 
 def ranges(df: DataFrame, field: str, buckets: list[tuple[str, float, float]], *metrics: Column) -> DataFrame:
@@ -53,17 +95,18 @@ def ranges(df: DataFrame, field: str, buckets: list[tuple[str, float, float]], *
     which = F.lit(None).cast("int")
     for i, (_, start, end) in reversed(list(enumerate(buckets))):
         which = F.when((x >= start) & (x < end) if end else x >= start, F.lit(i)).otherwise(which)
-    held = df.withColumn("_i", which).where("_i is not null").groupBy("_i").agg(F.count("*").alias("count"), *metrics)
-    declared = df.sparkSession.createDataFrame([(i, k) for i, (k, _, _) in enumerate(buckets)], "_i int, key string")
-    names = [c for c in held.columns if c not in ("_i", "count")]
-    return declared.join(held, "_i", "left").orderBy("_i").select("key", F.coalesce("count", F.lit(0)).alias("count"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
+    at = spare("_i", df)
+    held = df.withColumn(at, which).where(F.col(at).isNotNull()).groupBy(at).agg(F.count("*").alias("count"), *_known(metrics))
+    declared = df.sparkSession.createDataFrame([(i, k) for i, (k, _, _) in enumerate(buckets)], f"{at} int, key string")
+    names = [c for c in held.columns if c not in (at, "count")]
+    return declared.join(held, at, "left").orderBy(at).select("key", F.coalesce("count", F.lit(0)).alias("count"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
 def date_histogram(df: DataFrame, ts: str, interval: str, *metrics: Column) -> DataFrame:
     """Buckets by formatted time; no empty ones, none at all for an unknown interval (A3)."""
     if interval not in INTERVALS:
-        return df.limit(0).groupBy(F.lit("").alias("key")).agg(F.count("*").alias("count"), *metrics)
-    return df.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, INTERVALS[interval]).alias("key")).agg(F.count("*").alias("count"), *metrics)
+        return df.limit(0).groupBy(F.lit("").alias("key")).agg(F.count("*").alias("count"), *_known(metrics))
+    return df.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, INTERVALS[interval]).alias("key")).agg(F.count("*").alias("count"), *_known(metrics))
 
 
 def nested(df: DataFrame, array: str, keep: list[str] = ()) -> DataFrame:
@@ -96,9 +139,9 @@ def bucket_scripts(buckets: DataFrame, *scripts: tuple[str, str, dict[str, str]]
     """(name, code, {variable: metric}) over finished buckets, in order, later ones seeing earlier ones; failure is 0."""
     for name, code, paths in scripts:
         held = buckets.withColumns({v: (F.coalesce(F.col(m).cast("double"), F.lit(0.0)) if m in buckets.columns else F.lit(0.0)) for v, m in paths.items()})
-        made = F.coalesce(F.expr(code).cast("double"), F.lit(0.0))
+        made, own = F.coalesce(F.expr(code).cast("double"), F.lit(0.0)), spare("_made", held)
         others = [c for c in buckets.columns if c != name]
-        buckets = held.withColumn("_made", made).select(*others, F.col("_made").alias(name))
+        buckets = held.withColumn(own, made).select(*others, F.col(own).alias(name))
     return buckets
 
 

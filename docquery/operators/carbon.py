@@ -11,6 +11,7 @@ CLOUD_REGIONS = {"us-east-1": "eastus"}
 FALLBACK_ZONES = {"norway": "NO"}
 DEFAULT_REGION = "eastus"
 
+# Labels of a usage line's texts and numbers; headers have any prefix.
 TEXTS = {
     "request_id": "RequestId:",
     "function": "Function:",
@@ -18,12 +19,12 @@ TEXTS = {
     "resource": "Resource:",
     "organization": "Organization:",
     "repository": "Repository:",
-    "service": "X-HEDGE-SERVICE:",
+    "service": r"X-\w+-SERVICE:",
     "userId": "UserId:",
     "username": "Username:",
-    "region": "X-HEDGE-REGION:",
-    "regions": "X-HEDGE-REGIONS:",
-    "intensities": "X-HEDGE-INTENSITIES:",
+    "region": r"X-\w+-REGION:",
+    "regions": r"X-\w+-REGIONS:",
+    "intensities": r"X-\w+-INTENSITIES:",
 }
 NUMBERS = {
     "duration": r"(?<!Billed )(?<!Init )\bDuration:",
@@ -34,19 +35,22 @@ NUMBERS = {
 }
 
 
-def parsed_lines(lines: DataFrame) -> DataFrame:
+def parsed_lines(lines: DataFrame, keep: tuple[str, ...] = ("batch_id", "line_no")) -> DataFrame:
     """Labelled values of each usage line (batch_id, line_no, message); null, the word, is no value (K1)."""
     value = lambda label: F.nullif(F.nullif(F.regexp_extract("message", rf"(?:^|\s){label}\s+(\S+)", 1), F.lit("")), F.lit("null"))
     number = lambda label: F.round(F.nullif(F.regexp_extract("message", rf"{label}\s+([0-9.]+)", 1), F.lit("")).try_cast("double")).cast("int")
-    return lines.select("batch_id", "line_no", *[value(x).alias(k) for k, x in TEXTS.items()], *[number(x).alias(k) for k, x in NUMBERS.items()])
+    return lines.select(*keep, *[value(x).alias(k) for k, x in TEXTS.items()], *[number(x).alias(k) for k, x in NUMBERS.items()])
 
 
 def records(lines: DataFrame) -> DataFrame:
     """One record a batch: of each label the last line's value (K1-K3)."""
-    parsed = parsed_lines(lines)
-    names = [*TEXTS, *NUMBERS]
-    folded = parsed.groupBy("batch_id").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in names])
-    return folded.withColumns({"hedged": F.col("region").isNotNull(), "grid": header_map(F.col("regions"), F.col("intensities"))}).drop("regions", "intensities")
+    return folded(parsed_lines(lines), ["batch_id"])
+
+
+def folded(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """Parsed lines of one key as a record: of each label the last line's value, routed if a region was named."""
+    lasts = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in [*TEXTS, *NUMBERS]]
+    return parsed.groupBy(*keys).agg(*lasts).withColumns({"routed": F.col("region").isNotNull(), "grid": header_map(F.col("regions"), F.col("intensities"))}).drop("regions", "intensities")
 
 
 def header_map(regions: Column, intensities: Column) -> Column:
@@ -117,14 +121,15 @@ def savings(choices: DataFrame, grid: DataFrame) -> DataFrame:
 def interval_report(regions: DataFrame, primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """A row for each region and interval: the last primary rating, else the fallback zone's, else 0 (K8, K9).
 
-    regions: region; primary: region, ts, rating; fallback: zone, ts, rating. Intervals of five minutes that primary has.
+    regions: region; primary: region, ts, rating; fallback: zone, ts, rating. Intervals of five minutes that either has,
+    so that an outage of the primary still has its rows.
     """
     zones = F.create_map(*[F.lit(x) for pair in FALLBACK_ZONES.items() for x in pair])
     window = F.window("ts", "5 minutes")
     found = primary.groupBy(window.alias("w"), "region").agg(F.max_by("rating", "ts").alias("first_rating"))
     spare = fallback.groupBy(window.alias("w"), "zone").agg(F.max_by("rating", "ts").alias("spare_rating"))
     names = F.array(*[F.lit(r[0]) for r in regions.select("region").distinct().orderBy("region").collect()])  # a few dozen by nature
-    every = found.select("w").distinct().select("w", F.explode(names).alias("region"))
+    every = found.select("w").unionByName(spare.select("w")).distinct().select("w", F.explode(names).alias("region"))
     out = every.join(found, ["w", "region"], "left").withColumn("zone", zones[F.col("region")]).join(spare, ["w", "zone"], "left")
     return out.select(F.col("w.start").alias("start_date"), F.col("w.end").alias("end_date"), "region", F.coalesce("first_rating", "spare_rating", F.lit(0.0)).alias("rating"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from docquery.functions.fields import spare
 from docquery.operators.joins import GRANT_KEYS, with_flag
 
 # Attribute kinds.
@@ -18,13 +20,21 @@ FORMATS = {
 }
 
 
-def leaves(array: Column, children: str) -> Column:
-    """Leaves of a two-level tree in an array of structs: the children of a node, or the node itself without any (L1).
+def depth_of(kind: T.DataType, children: str) -> int:
+    """How many levels of children the type of an array of structs has below its own."""
+    below = kind.elementType[children].dataType if isinstance(kind, T.ArrayType) and children in kind.elementType.names else None
+    return 0 if below is None else 1 + depth_of(below, children)
 
-    Children have the node's fields but for the last.
+
+def leaves(array: Column, children: str, depth: int = 1) -> Column:
+    """Leaves of a tree in an array of structs with so many levels below: a node's leaves, or itself without children (L1).
+
+    Nodes of all levels have the same fields beside their children, which the lowest level has not. A null tree stays null.
     """
-    bare = lambda x: x.dropFields(children)
-    return F.flatten(F.transform(array, lambda a: F.when(F.size(F.coalesce(a[children], F.array())) > 0, a[children]).otherwise(F.array(bare(a)))))
+    if not depth:
+        return array
+    some = lambda a: F.size(F.coalesce(a[children], F.array())) > 0
+    return F.flatten(F.transform(array, lambda a: F.when(some(a), leaves(a[children], children, depth - 1)).otherwise(F.array(a.dropFields(children)))))
 
 
 def typed_values(attributes: Column, kind: str = "type", value: str = "value") -> Column:
@@ -34,16 +44,18 @@ def typed_values(attributes: Column, kind: str = "type", value: str = "value") -
     return F.transform(attributes, lambda a: a.withField("intValue", whole(a)).withField("floatValue", real(a)))
 
 
-def selected_terms(terms: Column, children: str = "terms", only_selected: bool = True) -> Column:
+def selected_terms(terms: Column, children: str = "terms", only_selected: bool = True, depth: int = 1) -> Column:
     """Leaf terms, optionally those selected (L3)."""
-    found = leaves(terms, children)
+    found = leaves(terms, children, depth)
     return F.filter(found, lambda t: t["selected"]) if only_selected else found
 
 
 def listing(df: DataFrame) -> DataFrame:
-    """Attributes flattened and typed, each feature set's terms flattened to the selected leaves (L4)."""
-    sets = F.transform("featureSets", lambda s: s.withField("terms", selected_terms(s["terms"])))
-    return df.withColumns({"attributes": typed_values(leaves(F.col("attributes"), "attributes")), "featureSets": sets})
+    """Attributes flattened and typed, each feature set's terms flattened to the selected leaves (L4), as deep as they go."""
+    inner = df.schema["featureSets"].dataType.elementType["terms"].dataType
+    sets = F.transform("featureSets", lambda s: s.withField("terms", selected_terms(s["terms"], depth=depth_of(inner, "terms"))))
+    flat = leaves(F.col("attributes"), "attributes", depth_of(df.schema["attributes"].dataType, "attributes"))
+    return df.withColumns({"attributes": typed_values(flat), "featureSets": sets})
 
 
 def required_errors(df: DataFrame, rules: dict[str, list[str]]) -> Column:
@@ -153,20 +165,50 @@ def composite_key(df: DataFrame, fields: list[str], name: str = "composite_key")
 
 def upserted(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """The latest version of each key of both."""
-    latest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))
-    return old.unionByName(new).withColumn("_n", latest).where("_n = 1").drop("_n")
+    latest, n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version))), spare("_n", old, new)
+    return old.unionByName(new).withColumn(n, latest).where(F.col(n) == 1).drop(n)
+
 
+#: Changed keys, or partitions that they touch, that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
-def write_changed(old: DataFrame, new: DataFrame, key: str, partition: str, path: str) -> None:
-    """Partitions of an index that new, changed or moved rows touch, written anew; others stay as they are.
 
-    The index at path is partitioned by its composite key; a row moves where that changes.
+def read_index(spark: SparkSession, path: str, key: str = "id", schema: T.StructType | None = None) -> DataFrame:
+    """The rows of an index; the row of nulls that keeps an emptied partition is left out.
+
+    An index that is not there yet is empty if its schema is given.
+    """
+    try:
+        found = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        return found.where(F.col(key).isNotNull())
+    except AnalysisException as missing:
+        if schema is None or missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_changed(old: DataFrame, new: DataFrame, key: str, partition: str, path: str, gone: DataFrame | None = None) -> None:
+    """Partitions of an index that new, changed, moved or deleted rows touch, written anew; others stay as they are.
+
+    The index at path is partitioned by its composite key; a row moves where that changes. gone has keys to delete. Rows
+    without a key or partition are not indexed. Only the keys of the change meet the index, broadcast up to BROADCAST_KEYS,
+    and of its rows only touched partitions are read whole. A partition that is left empty holds one row of nulls, which
+    read_index leaves out: an overwrite cannot take a folder away. Writing the same change twice changes nothing.
     """
-    touched = changes(old, new, key).where("action in ('new', 'changed')").select(key)
-    moved = old.join(touched, key, "left_semi").select(partition).unionByName(new.join(touched, key, "left_semi").select(partition)).distinct()
-    kept = old.join(moved, partition, "left_semi").join(touched, key, "left_anti")
-    rows = kept.unionByName(new.join(touched, key, "left_semi"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    new = new.where(F.col(key).isNotNull() & F.col(partition).isNotNull() & (F.col(partition) != ""))
+    keys = (new.select(key) if gone is None else new.select(key).unionByName(gone.select(key))).distinct()
+    small = keys.count() <= BROADCAST_KEYS
+    near = F.broadcast if small else lambda d: d
+    held = old.join(near(keys), key, "left_semi")
+    was, now = held.select(F.col(key), F.col(partition).alias("_was"), row_hash(held).alias("_old")), new.select(F.col(key), F.col(partition).alias("_now"), row_hash(new).alias("_new"))
+    moves = was.join(now, key, "full").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    touched = moves.select(key).distinct()
+    parts = moves.select(F.explode(F.array_compact(F.array("_was", "_now"))).alias(partition)).distinct()
+    kept = old.join(near(parts), partition, "left_semi").join(near(touched), key, "left_anti")
+    rows = kept.unionByName(new.join(near(touched), key, "left_semi"))
+    empty = parts.join(rows.select(partition).distinct(), partition, "left_anti")
+    nulls = empty.select(*[F.col(c) if c == partition else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in rows.columns])
+    rows.unionByName(nulls).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def with_timestamps(df: DataFrame) -> DataFrame:
@@ -181,10 +223,12 @@ def expanded(df: DataFrame, array: str | None = None) -> DataFrame:
     found = array or next(f.name for f in df.schema if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType))
     others = [c for c in df.columns if c != found]
     inner = df.schema[found].dataType.elementType.names
-    return df.select(*others, F.explode(found).alias("_x")).select(*[c for c in others if c not in inner], "_x.*")
+    one = spare("_x", df)
+    return df.select(*others, F.explode(found).alias(one)).select(*[c for c in others if c not in inner], f"{one}.*")
 
 
 def writable(df: DataFrame, user: str, owner: str, key: str, grants: DataFrame, kind: int, asset: str, op: int) -> DataFrame:
     """Rows that the user owns or has a grant to write."""
     held = grants.where((F.col("user") == user) & (F.col("type") == kind) & (F.col("asset") == asset) & (F.col("op") == op)).select(GRANT_KEYS[2])
-    return with_flag(df, "_granted", key, held, GRANT_KEYS[2]).where((F.col(owner) == user) | F.col("_granted")).drop("_granted")
+    flag = spare("_granted", df)
+    return with_flag(df, flag, key, held, GRANT_KEYS[2]).where((F.col(owner) == user) | F.col(flag)).drop(flag)

@@ -131,6 +131,17 @@ def boolean(All=(), One=(), None_=(), Not=(), strict: bool = False) -> Cond:
     return given[0][0](*given[0][1]) if given else Cond.of(F.lit(True))
 
 
+# The kinds of conditions that a case can hold; the first of them that it has decides.
+CASE_ORDER = ("bool", "range", "geo_distance", "geo_polygon", "geo_line", "geo_multi_polygon", "nested", "exists", "missing", "template", "match", "match_phrase", "term", "filter")
+
+
+def case(**given: Cond | None) -> Cond:
+    """The one condition of a case that counts, by CASE_ORDER, whatever order they are given in; an empty case is true."""
+    if unknown := set(given) - set(CASE_ORDER):
+        raise ValueError(f"no such conditions: {sorted(unknown)}")
+    return next((given[k] for k in CASE_ORDER if given.get(k) is not None), Cond.of(F.lit(True)))
+
+
 def nested_any(array: Column, condition) -> Cond:
     """Whether any element of an array of structs matches, with the best score; condition maps an element to a Cond."""
     hits = F.filter(F.coalesce(array, F.array()), lambda x: x.isNotNull() & condition(x).match)

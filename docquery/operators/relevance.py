@@ -24,11 +24,20 @@ def length_factor(n: Column) -> Column:
 
 def match(analysed: Column, query: list[str], boost: float = 1.0) -> Cond:
     """At least one n-gram in common; analysed is a column of distinct n-grams, written once for many queries."""
-    wanted = F.array(*[F.lit(q) for q in query]) if query else F.array().cast("array<string>")
+    return _shared(analysed, F.array(*[F.lit(q) for q in query]) if query else F.array().cast("array<string>"), boost)
+
+
+def _shared(analysed: Column, wanted: Column, boost: float) -> Cond:
     score = tx.bound(analysed, lambda g: tx.bound(F.size(F.array_intersect(g, wanted)), lambda n: F.when(n > 0, n * length_factor(F.size(g)) * boost)))
     return Cond.of(score.isNotNull(), score)
 
 
+def match_hashed(hashes: Column, query: list[str], boost: float = 1.0) -> Cond:
+    """match() over the hashes of a document's n-grams (text.gram_hashes); a query's n-grams are hashed alike."""
+    wanted = F.array(*[tx.gram_hash(*[F.lit(w) for w in q.split(" ")]) for q in query]) if query else F.array().cast("array<bigint>")
+    return _shared(hashes, wanted, boost)
+
+
 def words(c: Column) -> Column:
     """Runs of letters and digits of any script, lower case."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")

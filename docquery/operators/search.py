@@ -54,6 +54,34 @@ def piped(df: DataFrame, *steps: Callable[[DataFrame], DataFrame | None]) -> Dat
     return df
 
 
+#: Rows that list queries give at most, and those over vocabularies: a feature of these listings.
+LIST_CAP, VOCABULARY_CAP = 1000, 100
+
+
+def listed(df: DataFrame, order: list[Column], cap: int = LIST_CAP) -> DataFrame:
+    """The first rows of a listing, as many as such a query gives at most."""
+    return page(df, order, 0, cap)
+
+
+@dataclass
+class Hooks:
+    """What a caller hangs around writes and finds (N11): callables from rows to rows, None for no change."""
+
+    before_save: tuple[Callable[[DataFrame], DataFrame | None], ...] = ()
+    after_save: tuple[Callable[[DataFrame], DataFrame | None], ...] = ()
+    after_find: tuple[Callable[[DataFrame], DataFrame | None], ...] = ()
+
+    def saved(self, df: DataFrame, save: Callable[[DataFrame], None]) -> DataFrame:
+        """The rows after the hooks before the save are saved; what the hooks after it make of them is returned."""
+        rows = piped(df, *self.before_save)
+        save(rows)
+        return piped(rows, *self.after_save)
+
+    def found(self, df: DataFrame) -> DataFrame:
+        """A find's rows after its hooks."""
+        return piped(df, *self.after_find)
+
+
 @dataclass
 class Controls:
     """What applies to a union of queries: all of it lazy but the plan."""

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Query vectors that one pass over the data compares at once.
-QUERY_BLOCK = 1024
+#: Query vectors that go to all tasks in one pass over the data, and those that a task compares at once.
+QUERY_BLOCK, COMPARED = 16_384, 512
 
 
 def min_max(df: DataFrame, vector: str) -> DataFrame:
@@ -51,46 +51,59 @@ def nearest(df: DataFrame, key: str, vector: str, query: list[float], k: int, me
 
 
 def nearest_of_each(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
-    """(query, key, distance, rank) of the k nearest rows of every query, exact (V4).
+    """(query, key, distance, rank) of the k nearest rows of every query, exact, ties by key (V4).
 
-    A block of queries at a time goes to all tasks, whose partitions keep the k best of their own rows; only these are
-    shuffled. queries has key and vector columns of the same names.
+    A block of queries at a time, by a hash of the key, goes to all tasks, whose partitions keep the k best of their own
+    rows; only these are shuffled. queries has key and vector columns of the same names; keys are of any type with an
+    order. Queries and rows whose key is null, or whose vector is null, has a null in it or another length than the first
+    query's, take no part.
     """
-    ids = [r[0] for r in queries.select(key).orderBy(key).collect()]
     schema = T.StructType([T.StructField("query", df.schema[key].dataType), T.StructField(key, df.schema[key].dataType), T.StructField("distance", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    out = None
-    for at in range(0, len(ids), QUERY_BLOCK):
-        block = ids[at : at + QUERY_BLOCK]
-        held = queries.where(F.col(key).between(block[0], block[-1])).select(key, vector).toPandas().sort_values(key)
-        best = df.select(key, vector).mapInArrow(_best_of(held[key].tolist(), np.array([list(v) for v in held[vector]], float), k, metric, arrow), schema)
-        out = best if out is None else out.unionByName(best)
-    if out is None:
+    sound = F.col(key).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    asked = queries.where(sound).select(key, vector)
+    size = asked.agg(F.count("*").alias("n"), F.min_by(F.size(vector), key).alias("d")).first()
+    if not size["n"]:
         return df.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    asked, rows = (d.where(sound & (F.size(vector) == size["d"])).select(key, vector) for d in (queries, df))
+    blocks, out = -(-size["n"] // QUERY_BLOCK), None
+    for b in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).toPandas()
+        if len(held):
+            best = rows.mapInArrow(_best_of(held[key].tolist(), np.array([list(v) for v in held[vector]], float), k, metric, arrow), schema)
+            out = best if out is None else out.unionByName(best)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _best_of(ids, q, k, metric, arrow):
-    def distances(x):
+    def distances(q, x):
         if metric == "cosine":
             size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)
             return 1 - np.divide(q @ x.T, size, out=np.zeros((len(q), len(x))), where=size > 0)
-        step = np.stack([np.abs(q - row).sum(axis=1) if metric == "manhattan" else np.sqrt(((q - row) ** 2).sum(axis=1)) for row in x], axis=1)
-        return step
+        return np.stack([np.abs(q - row).sum(axis=1) if metric == "manhattan" else np.sqrt(((q - row) ** 2).sum(axis=1)) for row in x], axis=1)
 
     def run(batches):
-        keys, found = np.zeros((len(ids), 0), object), np.zeros((len(ids), 0))
+        known: list = []  # keys that are still among the best of a query, in their order
+        at, found = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for batch in batches:
             x = np.array(batch.column(1).to_pylist(), float)
             if not len(x):
                 continue
-            keys = np.concatenate([keys, np.tile(np.array(batch.column(0).to_pylist(), object), (len(ids), 1))], axis=1)
-            found = np.concatenate([found, distances(x)], axis=1)
-            order = np.stack([np.lexsort((keys[i].astype(np.int64), found[i]))[:k] for i in range(len(ids))])
-            keys, found = np.take_along_axis(keys, order, 1), np.take_along_axis(found, order, 1)
+            here = [*known, *batch.column(0).to_pylist()]
+            place = np.empty(len(here), np.int64)
+            place[sorted(range(len(here)), key=here.__getitem__)] = np.arange(len(here))
+            parts = []
+            for i in range(0, len(ids), COMPARED):
+                d = np.concatenate([found[i : i + COMPARED], distances(q[i : i + COMPARED], x)], axis=1)
+                of = np.concatenate([at[i : i + COMPARED], np.broadcast_to(np.arange(len(known), len(here)), (len(d), len(x)))], axis=1)
+                order = np.lexsort((place[of], d), axis=1)[:, :k]
+                parts.append((np.take_along_axis(of, order, 1), np.take_along_axis(d, order, 1)))
+            at, found = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            kept, at = np.unique(at, return_inverse=True)
+            at, known = at.reshape(found.shape), [here[j] for j in kept]
         n = found.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), n).tolist(), arrow.field(0).type), pa.array(keys.ravel().tolist(), arrow.field(1).type), pa.array(found.ravel())], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), n).tolist(), arrow.field(0).type), pa.array([known[j] for j in at.ravel()], arrow.field(1).type), pa.array(found.ravel())], schema=arrow)
 
     return run
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquery.operators import aggregations as a, vectors as v
+from docquery.operators import aggregations as a, predicates as p, search as s, vectors as v
 from docquery.plans.registry import query, table
 from docquery.plans.search import order_documents
 
@@ -221,3 +221,53 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.scaled_columns(table(spark, sf_dir, "part"), ["p_retailprice"])
     rows = v.with_inks(rows.withColumns({"r": F.col("p_size") * 3, "g": F.col("p_size"), "b": F.col("p_size") * 2}), "r", "g", "b")
     return rows.select("p_partkey", F.round("p_retailprice", 8).alias("scaled"), "cyan")
+
+
+@query(
+    "messy_metrics",
+    """WITH m AS (SELECT l_returnflag AS k, l_orderkey % 7 AS o, l_quantity AS q, l_linenumber AS i FROM lineitem),
+       v AS (SELECT k, CASE WHEN o = 0 THEN NULL WHEN o = 1 THEN NULL ELSE q END AS x, CASE WHEN o = 0 THEN NULL ELSE i END AS tag FROM m),
+       e AS (SELECT DISTINCT k, unnest(CASE WHEN o = 0 THEN [] WHEN o = 1 THEN [NULL, i] ELSE [i, i + 1] END) AS t FROM m),
+       c AS (SELECT k, CAST(count(*) AS DOUBLE) AS tags FROM e GROUP BY k)
+       SELECT k, count(*) AS count, round(coalesce(sum(x), 0), 4) AS total, round(coalesce(avg(x), 0), 6) AS mean, coalesce(min(x), 0) AS low, coalesce(max(x), 0) AS high, round(coalesce(median(x), 0), 6) AS middle,
+       count(x) AS n, CAST(count(DISTINCT tag) + max(CASE WHEN tag IS NULL THEN 1 ELSE 0 END) AS DOUBLE) AS kinds, any_value(c.tags) AS tags FROM v JOIN c USING (k) GROUP BY k""",
+)
+def messy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with blanks, text that is no number, nulls, arrays, a metric that is none."""
+    o = F.col("l_orderkey") % 7
+    number = F.when(o == 0, F.lit(None)).when(o == 1, F.lit("n/a")).otherwise(F.col("l_quantity").cast("string"))
+    key = F.when(o < 3, F.concat(F.lit(" "), "l_returnflag")).otherwise(F.concat(F.col("l_returnflag"), F.lit("\t ")))
+    i = F.col("l_linenumber").cast("int")
+    tags = F.when(o == 0, F.array().cast("array<int>")).when(o == 1, F.array(F.lit(None).cast("int"), i)).otherwise(F.array(i, i + 1))
+    rows = table(spark, sf_dir, "lineitem").select(key.alias("k"), number.alias("x"), F.when(o != 0, i).alias("tag"), tags.alias("tags"))
+    m = a.metric
+    out = a.terms(rows, ["k"], m("sum", "x", "total"), m("avg", "x", "mean"), m("min", "x", "low"), m("max", "x", "high"), m("median", "x", "middle"), m("count", "x", "n"), m("cardinality", "tag", "kinds", nulls=True), m("no_such", "x", "none"))
+    out = out.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6), "middle": F.round("middle", 6)})
+    return out.join(a.cardinality(rows, ["k"], "tags", "tags"), "k")
+
+
+@query(
+    "capped_listing",
+    "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000",
+)
+def capped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing has at most 1000 rows; the cap is the feature."""
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return s.listed(rows, s.order_by(rows, [("o_totalprice", "desc")], ["o_orderkey"])).select("o_orderkey")
+
+
+@query(
+    "case_precedence",
+    """SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice >= 100000 AND o_totalprice < 200000 WHEN o_orderkey % 4 = 1 THEN o_orderstatus = 'F' WHEN o_orderkey % 4 = 2 THEN o_orderstatus IN ('P', 'O') ELSE true END""",
+)
+def case_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a range before a term, a term before a filter, and an empty case, each over a quarter of the rows."""
+    status, price, part = F.col("o_orderstatus"), F.col("o_totalprice"), F.col("o_orderkey") % 4
+    cases = [
+        p.case(term=p.equal(status, "F"), range=p.within_range(price, 100000, 200000)),
+        p.case(filter=p.equal(status, "P"), term=p.equal(status, "F")),
+        p.case(filter=p.within_list(status, "P, O")),
+        p.case(),
+    ]
+    rows = table(spark, sf_dir, "orders")
+    return rows.where(p.one_of(*[p.all_of(p.flag(part == i), c) for i, c in enumerate(cases)]).filter).select("o_orderkey")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.functions import fields as fx
 from docquery.operators import aggregations as a, carbon as c, entities as e, joins, predicates as p, search as s
-from docquery.plans.jobs import _place
 from docquery.plans.registry import query, table
+from docquery.session import shared_dir
 from docquery.sources import documents as src
 
 
@@ -22,7 +22,7 @@ def decoded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("composite_scan", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
 def composite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index written by its composite key, and one key's partition read."""
-    place = _place(spark)
+    place = shared_dir(spark)
     fields = ("o_orderstatus", "o_orderpriority")
     definitions = spark.createDataFrame([("by_state", "order", place, list(fields)), ("other", "customer", "", [])], "id string, entity string, path string, fields array<string>")
     e.composite_key(table(spark, sf_dir, "orders"), list(fields)).repartition("composite_key").write.partitionBy("composite_key").parquet(place)
@@ -33,7 +33,7 @@ def composite_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("numbers_round_trip", "SELECT round(CAST(embedding[1] AS DOUBLE), 6) AS a, round(CAST(embedding[2] AS DOUBLE), 6) AS b FROM embeddings")
 def numbers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed decimals as CSV, read again as a matrix."""
-    place = _place(spark)
+    place = shared_dir(spark)
     src.write_numbers(table(spark, sf_dir, "embeddings").select(F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b")), place)
     return src.matrix(spark, place, 2).select(F.get("v", F.lit(0)).alias("a"), F.get("v", F.lit(1)).alias("b"))
 
@@ -41,7 +41,7 @@ def numbers_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stored_entities", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def stored_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzipped JSON, and the rows of a table of ids."""
-    place = _place(spark)
+    place = shared_dir(spark)
     src.write_json(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), place, compressed=True)
     ids = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey")
     return src.by_ids(src.read_entities(spark, place, "c_custkey long, c_mktsegment string"), "c_custkey", ids)
@@ -70,25 +70,25 @@ def unwrapped_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.unwrapped(pages, "hits.hits", "_source")
 
 
-@query("landed_index", "SELECT n_name AS name, CASE WHEN n_nationkey % 5 <> 4 THEN CAST(n_nationkey * 3 AS INT) END AS percent FROM nation")
+@query("landed_index", "SELECT s_name AS name, CASE WHEN s_suppkey % 5 <> 4 THEN CAST(s_suppkey * 3 AS INT) END AS percent FROM supplier")
 def landed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses with text fields, two for each region, one of them with a percent that is none."""
-    key = F.col("n_nationkey")
+    key = F.col("s_suppkey")
     def reply(percent, day):
-        return F.to_json(F.struct(F.col("n_name").alias("ba"), percent.cast("string").alias("percent"), F.lit("1.5").alias("moer"), F.lit(f"2024-01-0{day}T00:00:00Z").alias("point_time")))
+        return F.to_json(F.struct(F.col("s_name").alias("ba"), percent.cast("string").alias("percent"), F.lit("1.5").alias("moer"), F.lit(f"2024-01-0{day}T00:00:00Z").alias("point_time")))
 
-    rows = table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "supplier")
     bodies = rows.select(F.explode(F.array(reply(key, 1), reply(F.when(key % 5 != 4, key * 3).cast("string"), 2))).alias("body"))
-    regions = rows.select(F.col("n_name").alias("ba"), F.col("n_name").alias("name"))
+    regions = rows.select(F.col("s_name").alias("ba"), F.col("s_name").alias("name"))
     return c.current_index(regions, src.landed_index(bodies, "body")).select("name", "percent")
 
 
-@query("landed_emissions", "SELECT n_nationkey, n_name AS location, CAST(n_nationkey AS DOUBLE) + 0.5 AS rating FROM nation WHERE n_nationkey % 3 <> 0")
+@query("landed_emissions", "SELECT c_custkey, c_name AS location, CAST(c_custkey AS DOUBLE) + 0.5 AS rating FROM customer WHERE c_custkey % 3 <> 0")
 def landed_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first element of each response, none from an empty one."""
-    one = F.struct(F.col("n_name").alias("location"), (F.col("n_nationkey") + 0.5).cast("double").alias("rating"))
-    body = F.when(F.col("n_nationkey") % 3 != 0, F.to_json(F.array(one, one))).otherwise(F.lit("[]"))
-    return src.landed_emissions(table(spark, sf_dir, "nation").select("n_nationkey", body.alias("body")), "body")
+    one = F.struct(F.col("c_name").alias("location"), (F.col("c_custkey") + 0.5).cast("double").alias("rating"))
+    body = F.when(F.col("c_custkey") % 3 != 0, F.to_json(F.array(one, one))).otherwise(F.lit("[]"))
+    return src.landed_emissions(table(spark, sf_dir, "customer").select("c_custkey", body.alias("body")), "body")
 
 
 @query("attribute_kinds", "SELECT l_orderkey AS id, 'line' AS name, CAST(l_linenumber AS VARCHAR) AS value, CAST(l_orderkey % 3 AS INT) AS kind FROM lineitem WHERE l_orderkey % 3 <> 2")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.functions import fields as fx
 from docquery.operators import carbon as c, entities as e, joins, predicates as p
+from docquery.operators.search import Hooks
 from docquery.plans.registry import query, table
+from docquery.session import shared_dir
+from docquery.sources import documents as src
 from docquery.streaming import jobs as streams
 
 #: Regions and intensities that the rendered usage lines carry.
@@ -21,7 +21,7 @@ def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     ms = F.floor(F.abs("value") * 1000).cast("int")
     first = F.concat(F.lit("REPORT RequestId: "), F.col("event_id"), F.lit(" Duration: "), ms, F.lit(".4 ms Billed Duration: "), ms + 1, F.lit(" ms Memory Size: 512 MB Max Memory Used: 90 MB"))
-    head = F.concat(F.lit(" X-HEDGE-REGIONS: " + ",".join(GRID) + " X-HEDGE-INTENSITIES: " + ",".join(str(v) for v in GRID.values()) + " X-HEDGE-REGION: norway"))
+    head = F.concat(F.lit(" X-Grid-REGIONS: " + ",".join(GRID) + " X-Grid-INTENSITIES: " + ",".join(str(v) for v in GRID.values()) + " X-Grid-REGION: norway"))
     second = F.concat(F.lit("REPORT RequestId: "), F.col("event_id"), F.lit(" Function: "), F.col("event_type"), F.lit(" Path: /x UserId: null"), F.when(F.col("event_id") % 2 == 0, head).otherwise(F.lit("")))
     return ev.select(F.col("event_id").alias("batch_id"), F.col("ts").cast("timestamp").alias("ts"), F.posexplode(F.array(first, second)).alias("line_no", "message"))
 
@@ -32,12 +32,12 @@ _MS = "CAST(floor(abs(value) * 1000) AS INT)"
 @query(
     "carbon_records",
     f"""SELECT CAST(event_id AS VARCHAR) AS request_id, event_type AS function, {_MS} AS duration, {_MS} + 1 AS billed_duration, 512 AS memory_size,
-        CASE WHEN event_id % 2 = 0 THEN 'norway' ELSE 'eastus' END AS region, event_id % 2 = 0 AS hedged, CASE WHEN event_id % 2 = 0 THEN 3 END AS n_regions FROM events""",
+        CASE WHEN event_id % 2 = 0 THEN 'norway' ELSE 'eastus' END AS region, event_id % 2 = 0 AS routed, CASE WHEN event_id % 2 = 0 THEN 3 END AS n_regions FROM events""",
 )
 def carbon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1 K2 K3."""
     made = c.with_region(c.records(usage_lines(spark, sf_dir)).withColumn("aws", F.lit("us-east-1")), "aws")
-    return made.select("request_id", "function", "duration", "billed_duration", "memory_size", "region", "hedged", F.when(F.col("grid").isNotNull(), F.size("grid")).alias("n_regions"))
+    return made.select("request_id", "function", "duration", "billed_duration", "memory_size", "region", "routed", F.when(F.col("grid").isNotNull(), F.size("grid")).alias("n_regions"))
 
 
 @query(
@@ -48,7 +48,7 @@ def carbon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def carbon_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4 K5 J4 J6."""
-    rows = c.actual_and_others(c.records(usage_lines(spark, sf_dir)).where("hedged"))
+    rows = c.actual_and_others(c.records(usage_lines(spark, sf_dir)).where("routed"))
     return rows.select("request_id", "region", "called", F.round("electricity", 10).alias("electricity"), F.round("carbon", 8).alias("carbon"))
 
 
@@ -56,7 +56,7 @@ def carbon_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     "best_region",
     """WITH grid AS (SELECT n_name AS region, CAST(n_nationkey AS DOUBLE) - 3 AS intensity, n_regionkey FROM nation),
        offers AS (SELECT r_name AS service, g.region, intensity FROM region JOIN grid g ON g.n_regionkey = r_regionkey),
-       calls AS (SELECT DISTINCT r_name AS service, '/api/' || CAST(o_orderkey % 4 AS VARCHAR) AS path FROM region, orders WHERE o_orderkey < 40)
+       calls AS (SELECT DISTINCT r_name AS service, '/api/' || CAST(o_orderkey % 4 AS VARCHAR) AS path FROM region, orders)
        SELECT c.service, c.path, coalesce((SELECT o.region FROM offers o WHERE o.service = c.service AND o.intensity > 0 AND (c.path LIKE '/api/%' AND (o.intensity % 2 = 0 OR c.path = '/api/1'))
        ORDER BY o.intensity, o.region LIMIT 1), 'eastus') AS region FROM calls c""",
 )
@@ -73,13 +73,13 @@ def best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "saving_report",
-    """WITH g AS (SELECT n_regionkey AS report, n_name AS region, CAST(n_nationkey AS DOUBLE) AS intensity FROM nation), b AS (SELECT report, min(intensity) AS m FROM g WHERE intensity > 0 GROUP BY report)
-       SELECT report, region, intensity - m AS difference, CASE WHEN intensity > m THEN 'improvable' WHEN intensity = m THEN 'best' ELSE 'unknown' END AS message FROM g JOIN b USING (report)""",
+    """WITH g AS (SELECT o_custkey AS report, o_orderkey AS region, o_totalprice - 100000 AS intensity FROM orders), b AS (SELECT report, min(intensity) AS m FROM g WHERE intensity > 0 GROUP BY report)
+       SELECT report, region, round(intensity - coalesce(m, 0), 6) AS difference, CASE WHEN intensity > coalesce(m, 0) THEN 'improvable' WHEN intensity = coalesce(m, 0) THEN 'best' ELSE 'unknown' END AS message FROM g LEFT JOIN b USING (report)""",
 )
 def saving_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7."""
-    grid = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("report"), F.col("n_name").alias("region"), F.col("n_nationkey").cast("double").alias("intensity"))
-    return c.savings(grid.select("report", "region"), grid).select("report", "region", "difference", "message")
+    """K7: a customer's orders as the regions of a report."""
+    grid = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("report"), F.col("o_orderkey").alias("region"), (F.col("o_totalprice") - 100000).alias("intensity"))
+    return c.savings(grid.select("report", "region"), grid).select("report", "region", F.round("difference", 6).alias("difference"), "message")
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +131,13 @@ def grant_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "two_hop_nav",
-    """WITH n AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END AS parent FROM nation), roots AS (SELECT DISTINCT coalesce(parent, id) AS root FROM n WHERE id < 15)
+    """WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey // 8 END AS parent, c_acctbal > 5000 AS mine FROM customer), roots AS (SELECT DISTINCT coalesce(parent, id) AS root FROM n WHERE mine)
        SELECT id, parent FROM n WHERE id IN (SELECT root FROM roots) OR parent IN (SELECT root FROM roots)""",
 )
 def two_hop_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J8 J9."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_regionkey")).alias("parent"))
-    return joins.two_hops(rows, "id", "parent", joins.root_ids(rows.where("id < 15"), "id", "parent")).select("id", "parent")
+    """Customers as a tree, of whom those with a large balance are readable."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.floor(F.col("c_custkey") / 8).cast("long")).alias("parent"), (F.col("c_acctbal") > 5000).alias("mine"))
+    return joins.two_hops(rows, "id", "parent", joins.root_ids(rows.where("mine"), "id", "parent")).select("id", "parent")
 
 
 _SENT = "event_type = 'purchase'"
@@ -259,27 +259,28 @@ def stamped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "status", F.col("entityPermissions.writeUserIds")[0].alias("owner"), "id")
 
 
-def _place(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docquery-")
-    return f"{base.rstrip('/')}/docquery-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A table as a file stream: written once in order of time, and read as files."""
-    path = f"{_place(spark)}/source"
+    path = f"{shared_dir(spark)}/source"
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 
 
 @query(
     "stream_carbon_records",
-    """SELECT CAST(event_id AS VARCHAR) AS request_id, g.region, g.region = 'norway' AS called FROM events, (VALUES ('eastus'), ('norway'), ('westeurope')) g(region) WHERE event_id % 2 = 0""",
+    f"""WITH r AS (SELECT event_id, floor({_MS} / 1000) % 60 AS s FROM events)
+        SELECT CAST(event_id AS VARCHAR) AS request_id, region, coalesce(region = 'norway', true) AS called, round(2.12 * s / 3600 * 512 / 1792, 10) AS electricity, round(2.12 * s / 3600 * 512 / 1792 * intensity, 8) AS carbon
+        FROM r, (VALUES ('eastus', 400, true), ('norway', 30, true), ('westeurope', 250, true), (NULL, 0, false)) g(region, intensity, named) WHERE (event_id % 2 = 0) = named""",
 )
 def stream_carbon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines with headers as a stream, to one row for each request and region."""
-    lines = usage_lines(spark, sf_dir).where("line_no = 1 and batch_id % 2 = 0")
-    place = _place(spark)
-    return streams.run_available(streams.carbon_records(streamed(spark, lines), "60 days"), f"{place}/out", f"{place}/state").select("request_id", "region", "called")
+    """All lines as a stream, those of a call folded, to one row for each call and region.
+
+    A call is over when a later line comes: the last one's is an empty line a day later.
+    """
+    place, lines = shared_dir(spark), usage_lines(spark, sf_dir)
+    last = lines.agg(F.lit(-1).cast("long").alias("batch_id"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(0).alias("line_no"), F.lit("REPORT").alias("message"))
+    out = streams.run_available(streams.carbon_records(streamed(spark, lines.unionByName(last)), "0 seconds"), f"{place}/out", f"{place}/state")
+    return out.select("request_id", "region", "called", F.round("electricity", 10).alias("electricity"), F.round("carbon", 8).alias("carbon"))
 
 
 @query(
@@ -289,7 +290,7 @@ def stream_carbon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_interval_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2: intervals that are over by the watermark of a day."""
-    place = _place(spark)
+    place = shared_dir(spark)
     out = streams.run_available(streams.interval_ratings(streamed(spark, _readings(spark, sf_dir)), "1 day"), f"{place}/out", f"{place}/state")
     return out.select(F.col("start_date").cast("timestamp_ntz").alias("start_date"), "region", F.round("rating", 6).alias("rating"))
 
@@ -301,7 +302,7 @@ def stream_interval_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_with_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream joined with the report's table."""
     report = _readings(spark, sf_dir).select("region").distinct().where("region < 'r3'").withColumn("rating", F.substring("region", 2, 1).cast("double"))
-    place = _place(spark)
+    place = shared_dir(spark)
     return streams.run_available(streams.with_current_report(streamed(spark, _readings(spark, sf_dir)), report), f"{place}/out", f"{place}/state").select("event_id", "intensity")
 
 
@@ -309,7 +310,7 @@ def stream_with_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval join of two streams."""
     sent, live = _messages(spark, sf_dir)
-    place = _place(spark)
+    place = shared_dir(spark)
     out = streams.run_available(streams.delivered(streamed(spark, sent), streamed(spark, live), "40 days"), f"{place}/out", f"{place}/state")
     return out.select("id", "user", "conn_id")
 
@@ -318,9 +319,9 @@ def stream_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A change stream into an index that is partitioned by its composite key."""
     rows = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), "o_orderstatus", "o_orderpriority")
-    place = _place(spark)
+    place = shared_dir(spark)
     streams.index_changes(streamed(spark, rows), f"{place}/index", f"{place}/state", "id", "composite_key", lambda d: e.composite_key(d, ["o_orderstatus", "o_orderpriority"]))
-    return spark.read.parquet(f"{place}/index").select("id", F.col("composite_key").cast("string").alias("composite_key"))
+    return e.read_index(spark, f"{place}/index").select("id", F.col("composite_key").cast("string").alias("composite_key"))
 
 
 @query("recent_events", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 11:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND event_type IN ('signup', 'view')")
@@ -329,3 +330,81 @@ def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     cond = p.all_of(p.recent(F.col("ts"), F.lit("2024-01-20 12:00:00").cast("timestamp")), p.within_list(F.col("event_type"), ["signup", "view"]))
     return rows.where(cond.match).select("event_id")
+
+
+@query(
+    "stream_index_moves",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE o_orderstatus END AS composite_key FROM orders WHERE o_totalprice < 200000""",
+)
+def stream_index_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second batch empties a partition by moving its rows, and deletes others."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(False).alias("deleted"), "o_totalprice")
+    change = rows.where("status = 'F' or o_totalprice >= 200000").withColumns({"status": F.when(F.col("status") == "F", "O").otherwise(F.col("status")), "deleted": F.col("o_totalprice") >= 200000})
+    place = shared_dir(spark)
+    for batch in (rows, change):
+        batch.drop("o_totalprice").write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema("id long, status string, deleted boolean").parquet(f"{place}/in")
+        streams.index_changes(stream, f"{place}/index", f"{place}/state", "id", "composite_key", lambda d: e.composite_key(d, ["status"]), "deleted")
+    return e.read_index(spark, f"{place}/index").select("id", F.col("composite_key").cast("string").alias("composite_key"))
+
+
+@query(
+    "usage_log_records",
+    f"""SELECT CAST(event_id AS VARCHAR) AS request_id, {_MS} AS duration FROM events""",
+)
+def usage_log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage lines from text files, where other lines are left out."""
+    place = shared_dir(spark)
+    lines = usage_lines(spark, sf_dir).where("line_no = 0")
+    lines.select(F.explode(F.array("message", F.lit("START of a call"))).alias("value")).write.text(place)
+    return c.parsed_lines(src.usage_lines(spark, place)).select("request_id", "duration")
+
+
+@query("region_dimension", "SELECT s_suppkey, s_name AS region, round(s_acctbal / 100, 4) AS lat, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE round(s_acctbal / 50, 4) END AS lon FROM supplier")
+def region_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates are text in the landed file; what is no number is null."""
+    place = shared_dir(spark)
+    text = lambda by: F.round(F.col("s_acctbal") / by, 4).cast("string")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("RegionName"), text(100).alias("Latitude"), F.when(F.col("s_suppkey") % 3 == 0, "unknown").otherwise(text(50)).alias("Longitude"))
+    rows.write.json(place)
+    found = src.regions(spark, place, lines=True).withColumnRenamed("RegionName", "region")
+    return found.join(table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("region")), "region").select("s_suppkey", "region", "lat", "lon")
+
+
+@query("static_rows", "SELECT r_regionkey AS id, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey")
+def static_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows at hand, five regions, next to a table."""
+    held = src.static(spark, [tuple(x) for x in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()], "id int, name string")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("id"))
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(held), "id")
+    return rows.groupBy("id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "row_hooks",
+    "SELECT o_orderkey, round(o_totalprice * 2, 2) AS price FROM orders WHERE o_orderstatus <> 'P'",
+)
+def row_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hook before the save drops rows, one after it changes nothing, one after the find changes a value."""
+    place = shared_dir(spark)
+    hooks = Hooks(before_save=(lambda d: d.where("o_orderstatus <> 'P'"),), after_save=(lambda d: None,), after_find=(lambda d: d.withColumn("price", F.round(F.col("o_totalprice") * 2, 2)),))
+    hooks.saved(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), lambda d: d.write.parquet(place))
+    return hooks.found(spark.read.parquet(place)).select("o_orderkey", "price")
+
+
+@query("random_ids", "SELECT count(*) AS n, count(*) AS n_ids, true AS all_are_ids FROM customer")
+def random_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random id for each row; all differ."""
+    rows = e.stamped(table(spark, sf_dir, "customer"), "me", F.lit("2024-01-01").cast("timestamp"))
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_ids"), F.every(F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("all_are_ids"))
+
+
+@query(
+    "zero_times",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) ELSE TIMESTAMP '0001-01-01' END AS at FROM orders",
+)
+def zero_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text with an offset is a time, a bare date is the zero time."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.concat(day, F.lit("T00:00:00Z"))).otherwise(day)
+    return table(spark, sf_dir, "orders").select("o_orderkey", fx.to_time(text).cast("timestamp_ntz").alias("at"))

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy work on each row.
+
+    One that has no more splits than there are cores is dealt anew, as a split can hold all of its rows; larger ones are
+    read as they are, so that what is shuffled here never grows with the input.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query under a name, with its SQL if there is one."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.functions import text as tx
 from docquery.operators import relevance as r, search as s
-from docquery.plans.registry import query, table
+from docquery.plans.registry import query, spread_table
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 #: Analysis without stemming, as SQL over documents.
@@ -24,13 +24,13 @@ _TOKENS = rf"""toks AS (
 def analyze_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T4 T6-T8 without stems, which SQL cannot express."""
     t = tx.analysed_phrase(F.col("text"), stem=False)
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(tx.ngrams(F.col("t"))).alias("n_grams"))
+    return spread_table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(tx.gram_hashes(F.col("t"))).alias("n_grams"))
 
 
 @query("stemmed_vocabulary")
 def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: the stem of every distinct word, and the documents that have it; tests hold it against a plain version."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(tx.tokens(tx.normalised(F.col("text"))), F.lower))).alias("word"))
+    words = spread_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(tx.tokens(tx.normalised(F.col("text"))), F.lower))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("documents")).withColumn("stem", F.get(tx.stemmed(F.array("word")), F.lit(0)))
 
 
@@ -44,8 +44,8 @@ def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared n-grams of a three-word query."""
     wanted = r.query_tokens(spark, "Reer, ereaes the onor", stem=False)
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.analysed(F.col("text"), stem=False).alias("g"))
-    return s.matched(docs, r.match(F.col("g"), wanted, 1.5)).select("doc_id", F.round("_score", 8).alias("score"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.gram_hashes(tx.analysed_phrase(F.col("text"), stem=False)).alias("g"))
+    return s.matched(docs, r.match_hashed(F.col("g"), wanted, 1.5)).select("doc_id", F.round("_score", 8).alias("score"))
 
 
 @query(
@@ -55,7 +55,7 @@ def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def doc_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T16."""
-    out = tx.inverse_document_frequency(table(spark, sf_dir, "documents"), tx.analysed_phrase(F.col("text"), stem=False))
+    out = tx.inverse_document_frequency(spread_table(spark, sf_dir, "documents"), tx.analysed_phrase(F.col("text"), stem=False))
     return out.withColumn("idf", F.round("idf", 8))
 
 
@@ -67,21 +67,21 @@ def doc_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def phrase_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11 without slop: two words next to each other, stop words between them dropped."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
     return s.matched(docs, r.phrase(F.col("t"), r.query_tokens(spark, "attion to thanedble", phrase=True, stem=False))).select("doc_id", F.round("_score", 8).alias("score"))
 
 
 @query("phrase_slop")
 def phrase_slop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11 T13 with slop and fuzziness; tests hold it against a plain version."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
     return s.matched(docs, r.phrase(F.col("t"), ["attion", "anea", "eriner"], slop=3, fuzz=1)).select("doc_id", F.round("_score", 8).alias("score"))
 
 
 @query("fuzzy_match")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A word within two edits of the whole value; tests hold it against a plain version."""
-    return r.fuzzy_frame(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "Thanedble", 2)
+    return r.fuzzy_frame(spread_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "Thanedble", 2)
 
 
 @query(
@@ -95,7 +95,7 @@ def full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter and phrase, a weight, a post-filter, order by score, a page."""
     from docquery.operators import predicates as p
 
-    docs = table(spark, sf_dir, "documents").withColumn("t", tx.analysed_phrase(F.col("text"), stem=False))
+    docs = spread_table(spark, sf_dir, "documents").withColumn("t", tx.analysed_phrase(F.col("text"), stem=False))
     cond = p.boolean(All=[p.equal(F.col("lang"), "en"), r.phrase(F.col("t"), ["attion", "thanedble"])])
     controls = s.Controls(tiebreak=["doc_id"], limit=40, post_filter=p.not_equal(F.col("source"), "src1"), modifiers=[(F.lit(1.0), 3.0)], source=["doc_id", "source"])
     return s.search([(docs, cond)], controls).hits.select("doc_id", "source", F.round("_score", 8).alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset a local session gets a temporary one; on a cluster that is an error, as executors would write where
+    nobody reads.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="docquery-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/docquery-{uuid.uuid4().hex}"

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 @dataclass(frozen=True)
 class Index:
-    """A named collection: where it is, and the fields of its composite key."""
+    """A named collection: where it is, the fields of its composite key, and its key."""
 
     path: str
     fields: tuple[str, ...]
     entity: str = ""
+    key: str = "id"
 
 
 def decoded(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,9 @@ def composite(index: Index, values: dict[str, str]) -> str:
 def scan(spark: SparkSession, indexes: dict[str, Index], name: str, values: dict[str, str]) -> DataFrame:
     """The documents of one composite key: a pruned partition of the index."""
     index = indexes[name]
-    return spark.read.parquet(index.path).where(F.col("composite_key") == composite(index, values))
+    rows = spark.read.parquet(index.path)
+    rows = rows.where(F.col(index.key).isNotNull()) if index.key in rows.columns else rows  # see entities.write_changed
+    return rows.where(F.col("composite_key") == composite(index, values))
 
 
 def indexes_of(definitions: DataFrame, entity: str) -> DataFrame:
@@ -96,9 +99,9 @@ def landed_index(df: DataFrame, body: str) -> DataFrame:
     return df.select(x.alias("_x")).select(*typed)
 
 
-def regions(spark: SparkSession, path: str) -> DataFrame:
-    """The region dimension with numeric coordinates, from a JSON array of objects."""
-    return spark.read.option("multiLine", True).json(path).select("RegionName", F.col("Latitude").try_cast("double").alias("lat"), F.col("Longitude").try_cast("double").alias("lon"))
+def regions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The region dimension with numeric coordinates, from a JSON array of objects, or of one object a line."""
+    return spark.read.option("multiLine", not lines).json(path).select("RegionName", F.col("Latitude").try_cast("double").alias("lat"), F.col("Longitude").try_cast("double").alias("lon"))
 
 
 def reports(df: DataFrame, body: str) -> DataFrame:

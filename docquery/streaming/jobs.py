@@ -6,24 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquery.operators.carbon import actual_and_others, header_map, parsed_lines
-from docquery.operators.entities import write_changed
+from docquery.operators.carbon import actual_and_others, folded, parsed_lines
+from docquery.operators.entities import read_index, write_changed
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything that is there now, to Parquet, and the sink read back; a later call goes on where this one ended."""
-    df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", on_late: Callable[[int], None] | None = None) -> DataFrame:
+    """Everything that is there now, to Parquet, and the sink read back; a later call goes on where this one ended.
+
+    on_late is told how many rows came after the watermark and were dropped (R2).
+    """
+    query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    if on_late is not None:
+        on_late(sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def carbon_records(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Usage lines (ts, batch_id, line_no, message) as one carbon record for each request and region.
+    """Usage lines (ts, batch_id, line_no, message) as one carbon record for each batch and region.
 
-    A line is a request; repeats within the watermark are dropped.
+    The lines of one batch, which came at one time, are folded as records() folds them, once that time is over; a line
+    that comes again changes nothing before, and is dropped after.
     """
-    parsed = parsed_lines(lines.withColumn("batch_id", F.struct("ts", "batch_id"))).select(F.col("batch_id.ts").alias("ts"), "*").drop("batch_id", "line_no")
-    once = parsed.withWatermark("ts", late).dropDuplicatesWithinWatermark(["request_id", "region"])
-    return actual_and_others(once.withColumn("grid", header_map(F.col("regions"), F.col("intensities"))).drop("regions", "intensities"))
+    parsed = parsed_lines(lines.withWatermark("ts", late), ("ts", "batch_id", "line_no"))
+    return actual_and_others(folded(parsed, ["ts", "batch_id"]))
 
 
 def interval_ratings(readings: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -46,18 +52,17 @@ def delivered(messages: DataFrame, connections: DataFrame, late: str = "5 minute
     return ends.join(live, near).select("id", "user", "conn_id", "created", "ts")
 
 
-def index_changes(changed: DataFrame, path: str, checkpoint: str, key: str, partition: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> None:
-    """A change stream into an index, one upsert for each micro-batch (R5). Of one batch the last row of a key should be alone."""
+def index_changes(changed: DataFrame, path: str, checkpoint: str, key: str, partition: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, deleted: str | None = None) -> None:
+    """A change stream into an index, one upsert for each micro-batch (R5). Of one batch the last row of a key should be alone.
+
+    Rows in which the column deleted is true take their key out of the index; the column itself is not indexed.
+    """
 
     def apply(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        new = prepare(batch)
-        old = spark.read.schema(new.schema).parquet(path).select(*new.columns) if _has(spark, path) else new.limit(0)
-        write_changed(old, new, key, partition, path)
+        gone = batch.where(F.col(deleted)).select(key) if deleted else None
+        new = prepare(batch.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else batch)
+        old = read_index(spark, path, key, new.schema).select(*new.columns)
+        write_changed(old, new, key, partition, path, gone)
 
     changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def _has(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

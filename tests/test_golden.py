@@ -198,12 +198,12 @@ def test_vectors(spark):
 def test_carbon_lines(spark):
     lines = [
         (1, 0, "REPORT RequestId: r1 Duration: 61000.6 ms Billed Duration: 61001 ms Memory Size: 512 MB Max Memory Used: 80 MB Init Duration: 9.5 ms"),
-        (1, 1, "REPORT RequestId: r1 Function: f Path: null X-HEDGE-REGIONS: a,b X-HEDGE-INTENSITIES: 1.6,2 X-HEDGE-REGION: b"),
+        (1, 1, "REPORT RequestId: r1 Function: f Path: null X-Any-REGIONS: a,b X-Any-INTENSITIES: 1.6,2 X-Any-REGION: b"),
         (2, 0, "REPORT RequestId: r2 Path: /p"),
     ]
     got = {x.batch_id: x for x in c.records(spark.createDataFrame(lines, "batch_id int, line_no int, message string")).collect()}
     assert (got[1].duration, got[1].billed_duration, got[1].init_duration, got[1].memory_size, got[1].max_memory_used) == (61001, 61001, 10, 512, 80)
-    assert (got[1].path, got[1].hedged, got[1].grid, got[2].path, got[2].hedged, got[2].grid) == (None, True, {"a": 2, "b": 2}, "/p", False, None)
+    assert (got[1].path, got[1].routed, got[1].grid, got[2].path, got[2].routed, got[2].grid) == (None, True, {"a": 2, "b": 2}, "/p", False, None)
     e1, e2 = spark.range(1).select(c.electricity(F.lit(61000), F.lit(1792)), c.electricity(F.lit(61000), F.lit(1792), False)).first()
     assert e1 == pytest.approx(2.12 / 3600) and e2 == pytest.approx(61 * 2.12 / 3600)
     grid = spark.createDataFrame([("a", 0.0), ("b", -1.0)], "region string, intensity double")
