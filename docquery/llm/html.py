@@ -1,4 +1,10 @@
-"""Main text of pages: what the markup calls article stays; other text goes where a host's suffix array finds it repeated."""
+"""Main text of pages: a host's suffix array finds what its pages repeat, markup tells what is article and what is none.
+
+Every block that is shown has a kind: plain, article, or marked as a menu, advert and the like. The streams of a host's
+pages without their article text are sorted as one suffix array; long runs that distinct pages share are boilerplate. What
+is left of plain text is a page's main text if no article is named. Article text itself is exempt: see the README for what
+its repeated runs would cost.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +17,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.llm.common import annotate, quoted
+from docquery.llm.common import annotate, quoted, written
 
-#: Tokens of a repeated run at least (a power of two), pages that must share it, and their share of the host's pages
-#: without an article; the square root of these pages is enough where it is less.
+#: Tokens of a repeated run at least, distinct pages that must share it, and their share of the host's pages; the square
+#: root of these pages is enough where it is less.
 RUN_TOKENS, RUN_PAGES, RUN_SHARE = 8, 3, 0.3
-#: Characters of pages of one host that one suffix array covers; the pages of a larger host are dealt by a hash, its
-#: runs counted over all of them.
-ARRAY_CHARS = 4 << 20
+#: Characters of pages of one host that one suffix array covers. The pages of a larger host are dealt by a hash of their
+#: text, and the runs that its parts' arrays find are counted over all parts: the limit changes no result.
+ARRAY_CHARS = 1 << 18
 #: Large hosts whose list is broadcast; a longer list is joined.
 LISTED_HOSTS = 50_000
+#: Characters of pages that a task of the last shuffle is given, about.
+TASK_CHARS = 1 << 25
+#: Kinds of blocks.
+PLAIN, ARTICLE, MARKED = 0, 1, 2
 
 # Elements whose text is never shown, those that hold no article text, and those that end a line.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -34,6 +44,14 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dia
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)(?:>|\Z)|</(?=\Z)|<(?=\Z)""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+# What a name may have beside such words and still be one of them.
+_BESIDE = set("area bar block body bottom box btn button container content copy fixed float group header holder icon id inner item items large left link links list main middle mobile module outer overlay page panel post right row section site slot small sticky text title top unit wrap wrapper zone".split())
+
+
+def _names_chrome(name: str) -> bool:
+    """Whether a class or id says so as a whole: one of its words does, and all others may stand beside it."""
+    words = [w.lower() for w in _PARTS.split(name) if w]
+    return any(w in _WORDS for w in words) and all(w in _WORDS or w in _BESIDE for w in words)
 
 
 def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
@@ -43,14 +61,14 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(w.lower() in _WORDS for w in _PARTS.split(value)):
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(map(_names_chrome, value.split())):
             return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, bool]]:
-    """(text, whether in an article) of every block that is not in a menu or the like, in page order."""
-    out: list[tuple[str, bool]] = []
+def shown(html: str) -> list[tuple[str, int]]:
+    """(text, kind) of every block that is shown, in page order: PLAIN, ARTICLE or MARKED as a menu or the like."""
+    out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether they hold no article text
     text: list[str] = []
     chrome = article = 0
@@ -60,16 +78,15 @@ def blocks(html: str) -> list[tuple[str, bool]]:
         if text:
             found = " ".join(unescape("".join(text)).split())
             if found:
-                out.append((found, article > 0))
+                out.append((found, MARKED if chrome else ARTICLE if article else PLAIN))
             text.clear()
 
     while at < n:
         m = _MARKUP.search(html, at)
         if m is None:
-            if not chrome:
-                text.append(html[at:])
+            text.append(html[at:])
             break
-        if not chrome and m.start() > at:
+        if m.start() > at:
             text.append(html[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -104,31 +121,62 @@ def blocks(html: str) -> list[tuple[str, bool]]:
     return out
 
 
-def repeated(ids: np.ndarray, page: np.ndarray, tokens: int, pages: int) -> np.ndarray:
-    """Which tokens lie in a run of at least so many tokens that at least so many pages share.
+def blocks(html: str) -> list[tuple[str, bool]]:
+    """(text, whether in an article) of every block that is not in a menu or the like, in page order."""
+    return [(text, kind == ARTICLE) for text, kind in shown(html) if kind != MARKED]
 
-    The suffixes of the joined streams are ranked by doubling their compared length until it is that of a run: equal
-    ranks are equal runs, and longer runs are chains of them. Streams end in tokens of their own, so no run spans two.
+
+def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes in their order, and of each the length of the prefix it shares with the one before.
+
+    Ranks by doubling the compared length until all differ, which they do if the stream ends in a token of its own; the
+    ranks of each length are kept, from which shared lengths are put together.
     """
-    n, rank, size = len(ids), ids.astype(np.int64), 1
-    while size < tokens:
+    n = len(ids)
+    _, rank = np.unique(ids, return_inverse=True)
+    levels, size = [rank.astype(np.int64)], 1
+    while n and levels[-1].max() < n - 1:
         following = np.full(n, -1, np.int64)
-        following[: max(n - size, 0)] = rank[size:]
-        _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + following + 1, return_inverse=True)
+        following[: max(n - size, 0)] = levels[-1][size:]
+        _, rank = np.unique(levels[-1] * (n + 1) + following + 1, return_inverse=True)
+        levels.append(rank.astype(np.int64))
         size *= 2
-    order = np.lexsort((page, rank))
-    ranks, owners = rank[order], page[order]
-    new = np.concatenate([[True], ranks[1:] != ranks[:-1]])[:n]
-    other = np.concatenate([[True], owners[1:] != owners[:-1]])[:n] | new
-    group = np.cumsum(new) - 1
-    many = np.bincount(group, other)[group] >= pages if n else np.zeros(0, bool)
-    start = order[many & True]
-    edge = np.zeros(n + size + 1, np.int64)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + size, -1)
+    order = np.argsort(levels[-1], kind="stable")
+    shared, here, before = np.zeros(n, np.int64), order[1:].copy(), order[:-1].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        step, level = 1 << k, np.append(levels[k], [-1, -2])
+        same = level[np.minimum(here, n)] == level[np.where(before < n, before, n + 1)]
+        shared[1:] += same * step
+        here, before = here + same * step, before + same * step
+    return order, shared
+
+
+def intervals(ids: np.ndarray, page: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffix array the suffixes of at least so many tokens before their page ends: starts, the interval of each
+    whose members share as many tokens, and of each interval the number of distinct pages."""
+    order, shared = suffix_array(ids)
+    group = np.cumsum(shared < tokens) - 1
+    long = (order + tokens <= len(ids)) & (page[np.minimum(order + tokens - 1, len(page) - 1)] == page[order]) if len(ids) else np.zeros(0, bool)
+    order, group = order[long], group[long]
+    _, group = np.unique(group, return_inverse=True)
+    pairs = np.unique(group * (int(page.max(initial=0)) + 1) + page[order])
+    return order, group, np.bincount(pairs // (int(page.max(initial=0)) + 1), minlength=int(group.max(initial=-1)) + 1)
+
+
+def covered(n: int, starts: np.ndarray, tokens: int) -> np.ndarray:
+    """Which of n places lie in a run of so many tokens from one of the starts."""
+    edge = np.zeros(n + tokens + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + tokens, -1)
     return np.cumsum(edge)[:n] > 0
 
 
+def repeated(ids: np.ndarray, page: np.ndarray, tokens: int, pages: int) -> np.ndarray:
+    """Which tokens lie in a run of at least so many tokens that at least so many pages share."""
+    starts, group, shared = intervals(ids, page, tokens)
+    return covered(len(ids), starts[shared[group] >= pages], tokens)
+
+
 def _whole(gone: np.ndarray, tokens: int) -> np.ndarray:
     """Of a block's covered stretches those of a run's length, or of the whole block: less is the edge of a run beside it."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
@@ -138,58 +186,75 @@ def _whole(gone: np.ndarray, tokens: int) -> np.ndarray:
     return out
 
 
-def run_hashes(page: list[str], tokens: int = RUN_TOKENS) -> np.ndarray:
-    """Hash of the run of tokens that starts at each place of a page's stream, where each block follows a line end."""
-    stream = [w for text in page for w in ("\n", *text.split(" "))]
-    runs = (" ".join(stream[i : i + tokens]).encode("utf-8", "replace") for i in range(len(stream) - tokens + 1))
-    return np.array([int.from_bytes(blake2b(r, digest_size=8).digest(), "little", signed=True) for r in runs], np.int64)
+def enough(n, share: float = RUN_SHARE, least: int = RUN_PAGES) -> int:
+    """Distinct pages of n that make a run they share boilerplate."""
+    return max(least, math.ceil(min(share * n, math.sqrt(n))))
+
+
+class Streams:
+    """The token streams of some pages of one host, distinct pages once, each closed by a token of its own."""
 
+    def __init__(self, pages: list[list[tuple[str, int]]], bodies: list | None = None):
+        self.start: dict = {}
+        self.bodies = [body_of(p) for p in pages] if bodies is None else bodies
+        known: dict[str, int] = {"\n": 0}
+        ids, page = [], []
+        for body, p in zip(self.bodies, pages, strict=True):
+            if body not in self.start:
+                self.start[body] = at = len(ids)
+                for text, kind in p:
+                    if kind != ARTICLE:
+                        ids.append(0)
+                        ids += [known.setdefault(t, len(known)) for t in text.split(" ")]
+                ids.append(-len(self.start))
+                page += [len(self.start) - 1] * (len(ids) - at)
+        self.ids, self.page = np.array(ids, np.int64), np.array(page, np.int64)
+        self.words = list(known)
 
-def unique_runs(pages: list[tuple[list[str], bool]], common: np.ndarray | None = None, tokens: int = RUN_TOKENS, least: int = RUN_PAGES, share: float = RUN_SHARE) -> list[tuple[str, int]]:
-    """Text and number of removed tokens of each page of one host, from its blocks and whether they are an article's.
+    def runs(self, tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of all runs of so many tokens, the interval of each, and of the intervals pages and hashes of the text."""
+        start, group, shared = intervals(self.ids, self.page, tokens)
+        first = np.zeros(len(shared), np.int64)
+        first[group] = start
+        text = (" ".join(self.words[i] for i in self.ids[a : a + tokens].tolist()).encode("utf-8", "replace") for a in first.tolist())
+        return start, group, shared, np.array([int.from_bytes(blake2b(t, digest_size=8).digest(), "little", signed=True) for t in text], np.int64)
 
-    An article's page stays whole; of another page the tokens outside repeated runs stay. Runs are those that the other
-    pages share, equal texts counted once, or, where the pages are only a part of a host's, those of the given hashes.
+
+def body_of(page: list[tuple[str, int]]) -> bytes:
+    """What tells distinct pages apart: a digest of all their blocks."""
+    return blake2b("\n".join(t for t, _ in page).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def unique_runs(pages: list[list[tuple[str, int]]], common: np.ndarray | None = None, tokens: int = RUN_TOKENS, least: int = RUN_PAGES, share: float = RUN_SHARE) -> list[tuple[str, int]]:
+    """Text and number of removed tokens of each page of one host, from its blocks.
+
+    Runs outside articles that enough distinct pages share go; where the pages are only a part of a host's, those of the
+    given hashes. Then an article's page keeps its article, and plain text too if it has more of that than of article:
+    there the article is a teaser. Another page keeps its plain text. Marked text goes, whether repeated or not.
     """
-    distinct: dict[tuple, int] = {}
-    known: dict[str, int] = {"\n": 0}
-    ids, page, found = [], [], []
-    for p, article in pages:
-        if not article and tuple(p) not in distinct:
-            distinct[tuple(p)] = start = len(ids)
-            for text in p:
-                ids.append(0)
-                ids += [known.setdefault(t, len(known)) for t in text.split(" ")]
-            ids.append(-len(distinct))
-            page += [len(distinct)] * (len(ids) - start)
-            if common is not None:
-                edge = np.zeros(len(ids) - start + 1, np.int64)
-                at = np.flatnonzero(np.isin(run_hashes(p, tokens), common))
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + tokens, -1)
-                found.append(np.cumsum(edge)[:-1] > 0)
+    streams = Streams(pages)
     if common is None:
-        stream = np.array(ids, np.int64)
-        stream[stream < 0] = len(known) - 1 - stream[stream < 0]
-        n = len(distinct)
-        gone = repeated(stream, np.array(page, np.int64), tokens, max(least, math.ceil(min(share * n, math.sqrt(n)))))
+        gone = repeated(streams.ids, streams.page, tokens, enough(len(streams.start), share, least))
     else:
-        gone = np.concatenate([np.zeros(0, bool), *found])
+        start, group, _, hashes = streams.runs(tokens)
+        gone = covered(len(streams.ids), start[np.isin(hashes, common)[group]] if len(start) else start, tokens)
     out = []
-    for p, article in pages:
-        at, kept, removed = distinct.get(tuple(p), 0), [], 0
-        for text in p:
-            words = text.split(" ")
-            if not article:
+    for body, p in zip(streams.bodies, pages, strict=True):
+        at, removed = streams.start[body], 0
+        left: list[tuple[str, int]] = []
+        for text, kind in p:
+            if kind != ARTICLE:
+                words = text.split(" ")
                 here = gone[at + 1 : at + 1 + len(words)]
                 at += 1 + len(here)
                 if here.any():
                     here = _whole(here, tokens)
                     removed += int(here.sum())
-                    words = [w for w, g in zip(words, here, strict=True) if not g]
-            if words:
-                kept.append(" ".join(words))
-        out.append(("\n".join(kept), removed))
+                    text = " ".join(w for w, g in zip(words, here, strict=True) if not g)
+            if text and kind != MARKED:
+                left.append((text, kind))
+        size = [sum(len(t) for t, k in left if k == kind) for kind in (PLAIN, ARTICLE)]
+        out.append(("\n".join(t for t, k in left if k == ARTICLE or size[0] > size[1]), removed))
     return out
 
 
@@ -198,59 +263,82 @@ def host_of(url):
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", array_chars: int = ARRAY_CHARS) -> DataFrame:
     """key, url, text and n_removed of every page.
 
-    text has the article's blocks, one a line, white space within a block as one space, character references decoded. A
-    page whose markup names no article has all its blocks but for menus, forms, adverts and the like, less the runs that
-    its host's pages repeat (n_removed tokens). A null or empty page has the empty text. Rows come back as often as they
-    were given; a null url is the host of all such pages; other columns are not read.
+    text has the main text's blocks, one a line, white space within a block as one space, character references decoded;
+    n_removed is how many tokens outside articles the host's suffix array took as repeated. Pages of a host that name an
+    article in their markup and those that do not are told apart and judged among themselves. A null or empty page has the
+    empty text. Whole pages count, however long. Pages of equal text count once as evidence and get equal texts; rows come
+    back as often as they were given; a null url is the host of all such pages; other columns are not read.
     """
+    spark = pages.sparkSession
 
-    def factory():
-        def work(texts):
-            found = [blocks((t or b"").decode("utf-8", "replace")) for t in texts]
-            articles = [any(a for _, a in p) for p in found]
-            kept = [[(t, a) for t, a in p if a or not some] for p, some in zip(found, articles, strict=True)]
-            return [[t for t, _ in p] for p in kept], articles
-
-        return work
+    def parsed(texts):
+        return [shown((t or b"").decode("utf-8", "replace")) for t in texts]
 
-    narrow = pages.select(quoted(key).alias("k"), quoted(url).alias("u"), quoted(html).alias("h"))
-    host = host_of(F.col("u"))
-    parts = narrow.groupBy(host.alias("host")).agg(F.ceil(F.sum(F.length("h")) / ARRAY_CHARS).alias("parts")).where("parts > 1")
-    listed = [(r["host"], r["parts"]) for r in parts.limit(LISTED_HOSTS + 1).collect()]
-    found = annotate(narrow, "h", ["k", "u"], factory, "blocks array<string>, article boolean").withColumn("host", host)
-    if len(listed) <= LISTED_HOSTS:
-        parts = F.broadcast(pages.sparkSession.createDataFrame(listed, "host string, parts long"))
-    part = F.pmod(F.xxhash64("k", "u"), F.coalesce("parts", F.lit(1)))
-    parallel = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.join(parts, "host", "left").withColumns({"part": part, "dealt": F.col("parts").isNotNull()}).drop("parts").repartition(parallel, "host", "part")
-
-    def hashing():
+    def factory():
         def work(texts):
-            pages = [[] if any(a for _, a in p) else [t for t, _ in p] for p in (blocks((t or b"").decode("utf-8", "replace")) for t in texts)]
-            bodies = [int.from_bytes(blake2b("\n".join(p).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if p else None for p in pages]
-            return bodies, [np.unique(run_hashes(p)).tolist() for p in pages]
+            found = parsed(texts)
+            return [[t for t, _ in p] for p in found], [[k for _, k in p] for p in found], [int.from_bytes(body_of(p)[:8], "little", signed=True) for p in found]
 
         return work
 
-    large = narrow.withColumn("host", host).join(parts, "host").withColumn("part", part)
-    seen = annotate(large, "h", ["host", "part"], hashing, "body long, runs array<long>").where("body is not null")
-    runs = seen.select("host", "part", "body", F.explode("runs").alias("run"))
-    size = seen.groupBy("host").agg(F.count_distinct("body").alias("n"))
-    enough = F.greatest(F.lit(RUN_PAGES), F.ceil(F.least(RUN_SHARE * F.col("n"), F.sqrt("n"))))
-    shared = runs.groupBy("host", "run").agg(F.count_distinct("body").alias("shared")).join(size, "host").where(F.col("shared") >= enough)
-    common = runs.select("host", "part", "run").distinct().join(shared.select("host", "run"), ["host", "run"]).select("host", "part", "run")
+    # A site is a host's pages with an article, or those without; its size is known before anything is parsed.
+    names_article = F.coalesce(quoted(html).rlike(r"(?i)<(article|main)[\s/>]"), F.lit(False))
+    narrow = pages.select(quoted(key).alias("k"), quoted(url).alias("u"), quoted(html).alias("h"), F.xxhash64(host_of(quoted(url)), names_article).alias("site"))
+    parts = narrow.groupBy("site").agg(F.sum(F.length("h")).alias("chars")).select("site", "chars", F.ceil(F.col("chars") / array_chars).alias("parts"))
+    sizes = parts.agg(F.sum("chars").alias("chars"), F.count_if(F.col("parts") > 1).alias("large")).first()
+    large = parts.where("parts > 1").select("site", "parts")
+    if sizes["large"] <= LISTED_HOSTS:
+        large = F.broadcast(spark.createDataFrame([(r["site"], r["parts"]) for r in large.collect()], "site long, parts long"))
+    part = F.pmod("body", F.coalesce("parts", F.lit(1)))
+    found = annotate(narrow, "h", ["k", "u", "site"], factory, "blocks array<string>, kinds array<int>, body long")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes["chars"] or 0) // TASK_CHARS))
+    dealt = found.join(large, "site", "left").withColumns({"part": part, "dealt": F.col("parts").isNotNull()}).drop("parts", "body").repartition(tasks, "site", "part")
+
+    def together(frame):
+        return [list(zip(b, k, strict=True)) for b, k in zip(frame["blocks"], frame["kinds"], strict=True)]
 
     def of_host(frame, common):
         if not len(frame):
             return pd.DataFrame({"k": [], "u": [], "text": [], "n_removed": []})
         given = common["run"].to_numpy(np.int64) if frame["dealt"].iloc[0] else None
-        runs = unique_runs(list(zip((list(b) for b in frame["blocks"]), frame["article"], strict=True)), given)
+        runs = unique_runs(together(frame), given)
         frame["text"], frame["n_removed"] = [t for t, _ in runs], [n for _, n in runs]
         return frame[["k", "u", "text", "n_removed"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema}
-    done = dealt.groupBy("host", "part").cogroup(common.groupBy("host", "part")).applyInPandas(of_host, f"k {kinds['k']}, u string, text string, n_removed long")
+    schema = f"k {kinds['k']}, u string, text string, n_removed long"
+    if not sizes["large"]:
+        common = spark.createDataFrame([], "site long, part long, run long")
+    else:
+        common = _common_runs(narrow.join(large, "site"), factory, part, tasks)
+    done = dealt.groupBy("site", "part").cogroup(common.groupBy("site", "part")).applyInPandas(of_host, schema)
     return done.select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_removed")
+
+
+def _common_runs(large: DataFrame, factory, part, tasks: int) -> DataFrame:
+    """(site, part, run): the hashes of runs that enough pages of a site share, for each part that has them.
+
+    Each part's suffix array gives its distinct runs and the pages that have them. As equal pages are in one part, the
+    parts' counts add up. A run of one page of one part is no row until another part has it too: it is counted by Spark.
+    """
+
+    def runs_of(frame):
+        streams = Streams([[(t, k) for t, k in zip(b, ks, strict=True) if k != ARTICLE] for b, ks in zip(frame["blocks"], frame["kinds"], strict=True)], frame["body"].tolist())
+        _, _, shared, hashes = streams.runs(RUN_TOKENS)
+        whole = frame["body"].nunique()
+        made = pd.DataFrame({"run": np.append(hashes, 0), "n": np.append(shared, whole), "whole": np.append(np.zeros(len(hashes), bool), True)})
+        made["site"], made["part"] = frame["site"].iloc[0], frame["part"].iloc[0]
+        return made[["site", "part", "run", "n", "whole"]]
+
+    found = annotate(large, "h", ["site", "parts"], factory, "blocks array<string>, kinds array<int>, body long").withColumn("part", part)
+    outside = F.filter(F.arrays_zip("blocks", "kinds"), lambda x: x["kinds"] != ARTICLE)
+    found = found.select("site", "part", "body", F.transform(outside, lambda x: x["blocks"]).alias("blocks"), F.transform(outside, lambda x: x["kinds"]).alias("kinds"))
+    runs = written(found.repartition(tasks, "site", "part").groupBy("site", "part").applyInPandas(runs_of, "site long, part long, run long, n long, whole boolean"), "runs")
+    size = runs.where("whole").groupBy("site").agg(F.sum("n").alias("size"))
+    least = F.greatest(F.lit(RUN_PAGES), F.ceil(F.least(RUN_SHARE * F.col("size"), F.sqrt("size"))))
+    shared = runs.where("not whole").groupBy("site", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= RUN_PAGES)
+    shared = shared.join(size, "site").where(F.col("n") >= least).select("site", "run")
+    return runs.where("not whole").join(shared, ["site", "run"], "left_semi").select("site", "part", "run")

@@ -1,4 +1,7 @@
+import itertools
+import math
 import random
+import re
 
 import numpy as np
 
@@ -108,3 +111,88 @@ def test_a_section_loses_its_menu(spark):
     rows = [(i, "http://a.b/x", f"<body>{menu if i < 20 else ''}<p>Own text {i} of the page</p></body>") for i in range(100)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Own text {i} of the page" for i in range(100)}
+
+
+def test_suffix_array_is_brute_force():
+    r = random.Random(5)
+    for _ in range(80):
+        ids = [r.randrange(3) for _ in range(r.randrange(0, 40))] + [-1]
+        order, shared = html.suffix_array(np.array(ids))
+        want = sorted(range(len(ids)), key=lambda i: ids[i:])
+        assert order.tolist() == want
+        prefix = lambda a, b: next((k for k in range(len(ids)) if max(a, b) + k >= len(ids) or ids[a + k] != ids[b + k]), 0)
+        assert shared.tolist() == [0] + [prefix(a, b) for a, b in zip(want, want[1:], strict=False)]
+
+
+def plain_extract(rows):
+    """The operator's rows without arrays, hashes or parts: every run is looked up on every page."""
+    parsed = [(k, u, html.shown(h or ""), bool(re.search(r"<(article|main)[\s/>]", h or "", re.I))) for k, u, h in rows]
+    host = lambda u: (re.match(r"(?s).*?://([^/?#]*)", u or "") or [None, ""])[1].lower()
+    out = []
+    for k, u, page, names in parsed:
+        peers = {tuple(p) for _, v, p, n in parsed if host(v) == host(u) and n == names}
+        streams = [[w for t, kind in p if kind != html.ARTICLE for w in ("\n", *t.split(" "))] for p in peers]
+        seen = {}
+        for i, s in enumerate(streams):
+            for a in range(len(s) - 7):
+                seen.setdefault(tuple(s[a : a + 8]), set()).add(i)
+        least = max(3, math.ceil(min(0.3 * len(peers), math.sqrt(len(peers)))))
+        own = [w for t, kind in page if kind != html.ARTICLE for w in ("\n", *t.split(" "))]
+        gone = [any(len(seen.get(tuple(own[a : a + 8]), ())) >= least for a in range(max(i - 7, 0), min(i, len(own) - 8) + 1)) for i in range(len(own))]
+        at, removed, left = 0, 0, []
+        for t, kind in page:
+            if kind != html.ARTICLE:
+                words = t.split(" ")
+                here = gone[at + 1 : at + 1 + len(words)]
+                at += 1 + len(words)
+                runs = [(g, len(list(x))) for g, x in itertools.groupby(here)]
+                here = [g and n >= min(8, len(words)) for g, n in runs for _ in range(n)]
+                removed += sum(here)
+                t = " ".join(w for w, g in zip(words, here, strict=True) if not g)
+            if t and kind != html.MARKED:
+                left.append((t, kind))
+        plain, article = (sum(len(t) for t, k in left if k == kind) for kind in (html.PLAIN, html.ARTICLE))
+        out.append((k, "\n".join(t for t, k in left if k == html.ARTICLE or plain > article), removed))
+    return out
+
+
+def made_pages(seed, n=60):
+    r = random.Random(seed)
+    said = [" ".join(r.choice("abcdefgh") * 2 for _ in range(r.randrange(4, 20))) for _ in range(8)]
+    rows = []
+    for i in range(n):
+        body = [f"<{t}>{r.choice(said) if r.random() < 0.6 else ' '.join(r.choice('xyzuvw') + str(r.randrange(9)) for _ in range(r.randrange(1, 15)))}</{t}>" for t in r.choices(["div", "p", "li", "nav", "footer"], k=r.randrange(0, 6))]
+        if r.random() < 0.4:
+            body.insert(len(body) // 2, f"<article><p>Article {i % 7} {r.choice(said)}</p></article>")
+        rows.append((i, r.choice(["http://a.b/x", "http://A.b/y", "https://c.d", None, "none"]), "".join(body)))
+    return rows + [(n, "http://a.b/z", rows[0][2]), (n + 1, "http://a.b/null", None), (n + 2, "http://a.b/e", "")]
+
+
+def test_extract_is_brute_force_whatever_an_array_covers(spark):
+    for seed in range(2):
+        rows = made_pages(seed)
+        df = spark.createDataFrame([(*x, "clash", "clash") for x in rows], "page_id long, url string, html string, text string, site string")
+        want = sorted(plain_extract(rows))
+        assert sum(n for _, _, n in want) > 0
+        for limit in (1 << 22, 1000, 50):
+            got = sorted((x.page_id, x.text, x.n_removed) for x in html.extract(df, array_chars=limit).collect())
+            assert got == want
+
+
+def test_words_of_a_name_must_all_fit():
+    for name in ("social-history", "related-work", "menu-prices", "adaptive"):
+        assert html.blocks(f'<article><div class="{name}">x</div></article>') == [("x", True)]
+    for name in ("cookie-notice", "adBanner", "sidebar left", "ad-slot-3", "x share-buttons comments"):
+        assert html.blocks(f'<article><div class="{name}">x</div></article>') == []
+
+
+def test_a_teaser_is_not_all_of_a_page(spark):
+    page = "<article>Short</article><div>The main text of this page is much longer</div>"
+    df = spark.createDataFrame([(1, "http://a.b", page)], "page_id long, url string, html string")
+    assert html.extract(df).first().text == "Short\nThe main text of this page is much longer"
+
+
+def test_long_pages(spark):
+    rows = [(i, "http://a.b", "<p>" + f"w{i} " * 300_000 + "</p>") for i in range(3)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: " ".join([f"w{i}"] * 300_000) for i in range(3)}
