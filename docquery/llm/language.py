@@ -11,22 +11,39 @@ from pyspark.sql import DataFrame, functions as F
 
 from docquery.llm.common import annotate, crc_class, quoted
 
-#: Length of the vectors, letters that have one of their own or share one, and letters of an n-gram.
-WIDTH, LETTERS, GRAM = 512, 64, 3
+#: Length of the vectors, and letters of an n-gram.
+WIDTH, GRAM = 512, 3
+#: Bits of a code point in the code of an n-gram.
+BITS = 21
 #: Documents that the profiles are learned from at most.
 SAMPLE_ROWS = 6000
+#: N-grams whose vectors are made at once.
+AT_ONCE = 4096
 
-#: Code points to classes: 0 for what is no letter, a to z, and other letters by their code point.
-_CLASS = np.array([0] + [1 + c % (LETTERS - 1) if chr(c).isalpha() else 0 for c in range(1, 0x3000)] + [0], np.int64)
-_SIGNS = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (LETTERS, WIDTH))
-_TURNED = [np.roll(_SIGNS, place, axis=1) for place in range(GRAM)]
+#: Code points below this limit that are letters, as themselves, others 0.
+_CLASS = np.array([c if chr(c).isalpha() else 0 for c in range(0x3000)], np.int64)
+
+
+class _Signs(dict):
+    """The vector of each letter, drawn when first seen with its code point as the seed; 0 stands for a break."""
+
+    def __missing__(self, point: int) -> np.ndarray:
+        bits = np.random.Generator(np.random.PCG64([7, int(point)])).integers(0, 256, WIDTH // 8, dtype=np.uint8)
+        self[int(point)] = out = np.unpackbits(bits).astype(np.int8) * 2 - 1
+        return out
+
+
+_SIGNS = _Signs()
 
 
 def vectors(codes: np.ndarray) -> np.ndarray:
     """The vectors of n-grams given by their codes."""
+    points = np.stack([codes >> BITS * (GRAM - 1 - place) & (1 << BITS) - 1 for place in range(GRAM)])
+    letters, at = np.unique(points, return_inverse=True)
+    table, at = np.array([_SIGNS[p] for p in letters.tolist()], np.int8).reshape(-1, WIDTH), at.reshape(points.shape)
     out = np.ones((len(codes), WIDTH), np.int8)
     for place in range(GRAM):
-        out *= _TURNED[place][codes // LETTERS ** (GRAM - 1 - place) % LETTERS]
+        out *= np.roll(table, place, axis=1)[at[place]]
     return out
 
 
@@ -34,15 +51,15 @@ def grams(text: bytes | None) -> np.ndarray:
     """Codes of a text's n-grams: letters as lower case, every run of other characters as one break; none without letters."""
     points = np.frombuffer((text or b"").decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), "<u4")
     letters = _CLASS[np.minimum(points, len(_CLASS) - 1)]
-    for point in np.unique(points[points >= len(_CLASS) - 1]):
-        letters[points == point] = 1 + point % (LETTERS - 1) if chr(point).isalpha() else 0
+    for point in np.unique(points[points >= len(_CLASS) - 1]).tolist():
+        letters[points == point] = point if chr(point).isalpha() else 0
     if not letters.any():
         return np.zeros(0, np.int64)
     letters = np.concatenate([[0], letters, [0]])
     letters = letters[np.concatenate([[True], (letters[1:] > 0) | (letters[:-1] > 0)])]
     code = np.zeros(len(letters) - GRAM + 1, np.int64)
     for place in range(GRAM):
-        code = code * LETTERS + letters[place : len(code) + place]
+        code = (code << BITS) + letters[place : len(code) + place]
     return code
 
 
@@ -64,11 +81,11 @@ def fit(documents: DataFrame, text: str = "text", language: str = "lang", split:
 
         return work
 
-    counts = annotate(sample, "text", ["lang"], factory, "g array<struct<c: int, v: double>>").select("lang", F.explode("g").alias("g"))
+    counts = annotate(sample, "text", ["lang"], factory, "g array<struct<c: long, v: double>>").select("lang", F.explode("g").alias("g"))
     sums = counts.groupBy("lang", "g.c").agg(F.round(F.sum("g.v"), 6).alias("v")).toPandas().sort_values(["lang", "c"])
     names, profiles = [], []
     for name, part in sums.groupby("lang"):
-        total = sum(part["v"].to_numpy()[i : i + 4096] @ vectors(part["c"].to_numpy()[i : i + 4096].astype(np.int64)) for i in range(0, len(part), 4096))
+        total = sum(part["v"].to_numpy()[i : i + AT_ONCE] @ vectors(part["c"].to_numpy()[i : i + AT_ONCE].astype(np.int64)) for i in range(0, len(part), AT_ONCE))
         names.append(name)
         profiles.append(total / (np.linalg.norm(total) or 1))
     return names, np.array(profiles, np.float32).reshape(-1, WIDTH)
@@ -89,8 +106,8 @@ def identify(documents: DataFrame, model, text: str = "text", keep: list[str] |
             owner = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
             total = np.zeros((len(texts), WIDTH), np.float32)
             times = np.bincount(owner * max(len(distinct), 1) + at, minlength=len(texts) * len(distinct)).reshape(len(texts), -1) if len(distinct) else None
-            for i in range(0, len(distinct), 4096):
-                total += times[:, i : i + 4096].astype(np.float32) @ vectors(distinct[i : i + 4096]).astype(np.float32)
+            for i in range(0, len(distinct), AT_ONCE):
+                total += times[:, i : i + AT_ONCE].astype(np.float32) @ vectors(distinct[i : i + AT_ONCE]).astype(np.float32)
             size = np.linalg.norm(total, axis=1)
             if not names:
                 return [unknown] * len(texts), [0.0] * len(texts)

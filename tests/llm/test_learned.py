@@ -129,3 +129,28 @@ def test_profiles_are_sums_of_bound_letters():
     v = language.vectors(code[1:2])[0]
     a, b, c = (language._SIGNS[language._CLASS[ord(x)]] for x in "abc")
     assert (v == a * np.roll(b, 1) * np.roll(c, 2)).all()
+
+
+def test_letters_have_vectors_of_their_own(spark):
+    shared = [abs(int(language._SIGNS[ord(a)].astype(int) @ language._SIGNS[ord(b)])) for a, b in ("ék", "ßa", "àb", "äf", "ñs", "öx", "漢字", "ab")]
+    assert max(shared) < language.WIDTH // 4
+    letters = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзиклмнопрстуфхцчшщ", "zh": "漢字文化学校電話天気明日先生", "en": "abcdefghijklmnopqrstuvwxyz"}
+    rng = np.random.default_rng(1)
+    words = {k: ["".join(rng.choice(list(x), 4)) for _ in range(12)] for k, x in letters.items()}
+    rows = [(i, " ".join(rng.choice(words[k], 10)), k) for i in range(240) for k in [sorted(letters)[i % 4]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == dict((a, c) for a, _, c in rows)[r.doc_id] for r in language.predicted(docs).collect())
+
+
+def test_cosines_are_brute_force(spark, tables):
+    docs = tables[0].limit(120).cache()
+    names, profiles = language.fit(docs)
+    for r in language.identify(docs, (names, profiles)).collect():
+        text = " " + re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).strip() + " "
+        total = np.zeros(language.WIDTH)
+        for i in range(len(text) - 2):
+            if text.strip():
+                parts = [language._SIGNS[0 if x == " " else ord(x)].astype(int) for x in text[i : i + 3]]
+                total += parts[0] * np.roll(parts[1], 1) * np.roll(parts[2], 2)
+        cosine = profiles @ total / max(np.linalg.norm(total), 1e-9)
+        assert not text.strip() or abs(r.score - max(0, cosine.max())) < 1e-4 and r.lang_pred == names[int(cosine.argmax())]

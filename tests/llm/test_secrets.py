@@ -57,3 +57,30 @@ def test_redaction(spark):
     out = s.scan(docs)
     got = [r.t for r in out.select("doc_id", s.redacted(s.F.col("text"), s.F.col("spans")).alias("t")).orderBy("doc_id").collect()]
     assert got == ["é [SECRET], x [SECRET]", "clean", "[SECRET]"]
+
+
+def test_an_append_that_is_run_twice_counts_once(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    docs = documents(spark, SECRETS)
+    first = s.digest(s.scan(docs, ledger=path)).collect()
+    spark.read.parquet(path).write.mode("append").partitionBy("version").parquet(path)
+    assert spark.read.parquet(path).count() == 2 * len(SECRETS)
+    assert sorted(s.digest(s.scan(docs, ledger=path)).collect()) == sorted(first)
+    assert spark.read.parquet(path).count() == 2 * len(SECRETS)
+
+
+def test_version_follows_from_the_rules(monkeypatch):
+    assert s.rules_version() == s.RULES_VERSION
+    monkeypatch.setitem(s._LEAST, "hex", 20)
+    assert s.rules_version() != s.RULES_VERSION
+
+
+def test_findings_reach_all_paths_of_all_versions(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    rows = [("a", 1, SECRETS[0]), ("a", 2, "clean"), ("b", 7, SECRETS[0]), (None, None, SECRETS[2]), ("c", 1, None)]
+    got = s.history(spark.createDataFrame(rows, "path string, revision int, text string"), ledger=path).collect()
+    assert {(r.path, r.revision) for r in got} == {("a", 1), ("b", 7), (None, None)}
+    assert spark.read.parquet(path).count() == 4
+    more = spark.createDataFrame([*rows, ("d", 1, SECRETS[1])], "path string, revision int, text string")
+    assert {r.path for r in s.history(more, ledger=path).collect()} == {"a", "b", "d", None}
+    assert spark.read.parquet(path).count() == 5
