@@ -15,14 +15,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from docquery.llm.common import annotate, crc_class, labelled_sample, quoted, written
 
-#: Labelled documents that the lexicon is learned from at most, its entries at most, and what an entry must reach.
-SAMPLE_ROWS, ENTRIES, LEAST_TOXIC, LEAST_SHARE = 20_000, 2000, 4, 0.9
+#: Labelled documents that the lexicon is learned from at most, and what an entry must reach: texts and share of toxic ones.
+SAMPLE_ROWS, LEAST_TOXIC, LEAST_SHARE = 20_000, 4, 0.9
 #: Clean texts that must have an exception phrase.
 LEAST_CLEAN = 4
 #: Length of the word beginnings that can be entries, beside whole words.
 BEGINNINGS = range(4, 8)
-#: Words of a text from which its length begins to tell.
-LENGTH_FROM = 2000
+#: Words of a text from which its length begins to tell: the one that suits the sample best is taken.
+LENGTHS = (25, 50, 100, 200, 400, 800, 1600, 3200, 6400)
 
 # Letters that look like a Latin one, digits and marks written for a letter.
 _LOOKALIKES = {
@@ -104,8 +104,7 @@ def entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         ratio = a * math.log(a / (a + b) / base) + (b * math.log(b / (a + b) / (1 - base)) if b else 0)
         if a / (a + scaled) >= LEAST_SHARE and ratio >= math.log(max(tried, 2)) + 2:
             out[e] = math.log((a + 0.5) / (scaled + 0.5))
-    few = sorted(out, key=lambda e: (-out[e] * toxic[e], e))[:ENTRIES]
-    return {e: round(out[e], 6) for e in sorted(few)}
+    return {e: round(out[e], 6) for e in sorted(out)}
 
 
 class Matcher:
@@ -139,9 +138,10 @@ class Matcher:
                 best[start] = (e, weight)
         return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and s + len(e.rstrip()) - 1 <= b for a, b in spared)]
 
-    def strength(self, text: str) -> float:
-        found = self.hits(text)
-        return sum(w for _, _, w in found) / (1 + math.log1p(text.count(" ") / LENGTH_FROM)) if found else 0.0
+
+def strength(hits: list[tuple[int, str, float]], text: str, length_from: float) -> float:
+    """The weights of what was found in a folded text, divided by what grows with its length."""
+    return sum(w for _, _, w in hits) / (1 + math.log1p(text.count(" ") / length_from)) if hits else 0.0
 
 
 def surroundings(text: str, matcher: Matcher) -> set[str]:
@@ -191,7 +191,7 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", split: tuple[int, int] = (3, 1), rows: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = ()):
-    """(lexicon, exceptions, slope, intercept) learned from at most rows labelled documents outside the held-out class.
+    """(lexicon, exceptions, length, slope, intercept) learned from at most rows labelled documents outside the held-out class.
 
     Candidates are counted in toxic texts, those frequent there in clean ones; both counts are of the bounded sample, from
     which phrases come too, beside the given exceptions.
@@ -200,7 +200,7 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", split: t
     sample = written(labelled_sample(documents, labels, target, split, rows), "sample")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
-        return {}, exceptions, 0.0, -30.0
+        return {}, exceptions, LENGTHS[0], 0.0, -30.0
     counted = written(_counted(sample.where("label = 1"), None), "counted")
     toxic = {r["entry"]: r["n"] for r in counted.where(F.col("n") >= LEAST_TOXIC).collect()}
     clean = {r["entry"]: r["n"] for r in _counted(sample.where("label = 0"), frozenset(toxic)).collect()}
@@ -209,28 +209,43 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", split: t
 
     def factory():
         matcher = Matcher(lexicon, exceptions)
-        return lambda texts: ([matcher.strength(folded(t)) for t in texts],)
 
-    got = annotate(sample, "text", ["doc_id", "label"], factory, "x double").orderBy("doc_id", "label").toPandas()
-    return lexicon, exceptions, *calibrated(got["x"].to_numpy(float), got["label"].to_numpy(float))
+        def work(texts):
+            found = [(matcher.hits(f), f) for f in map(folded, texts)]
+            return ([[strength(h, f, n) for n in LENGTHS] for h, f in found],)
+
+        return work
+
+    got = annotate(sample, "text", ["doc_id", "label"], factory, "x array<double>").orderBy("doc_id", "label").toPandas()
+    x, y = np.array(got["x"].tolist(), float).reshape(-1, len(LENGTHS)), got["label"].to_numpy(float)
+    tried = [(likelihood(x[:, i], y, *(curve := calibrated(x[:, i], y))), -n, curve) for i, n in enumerate(LENGTHS)]
+    _, length, curve = max(tried)
+    return lexicon, exceptions, -length, *curve
+
+
+def likelihood(x: np.ndarray, y: np.ndarray, slope: float, intercept: float) -> float:
+    """The logarithm of how likely the labels are on a logistic curve; rounded, so that machines agree on the best."""
+    z = np.clip(slope * x + intercept, -30, 30)
+    return round(float((y * z - np.log1p(np.exp(z))).sum()), 6)
 
 
 def score(documents: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all by default), score of each whole text (0 to 1) and hits, the entries found in it.
 
-    A null or empty text has no hits and the score that no hits have. A kept column of either name is replaced.
+    A null or empty text has no hits and the score that no hits have. Of entries at one place the heaviest counts, of equally
+    heavy ones the first that ends. A kept column of either name is replaced.
     """
-    lexicon, exceptions, slope, intercept = model
+    lexicon, exceptions, length, slope, intercept = model
 
     def factory():
         matcher = Matcher(lexicon, exceptions)
 
         def work(texts):
             out, found = [], []
-            for t in texts:
-                f = folded(t)
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, slope * matcher.strength(f) + intercept)))))
-                found.append([e.strip() for _, e, _ in matcher.hits(f)])
+            for f in map(folded, texts):
+                hits = matcher.hits(f)
+                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, slope * strength(hits, f, length) + intercept)))))
+                found.append([e.strip() for _, e, _ in hits])
             return out, found
 
         return work

@@ -154,3 +154,30 @@ def test_cosines_are_brute_force(spark, tables):
                 total += parts[0] * np.roll(parts[1], 1) * np.roll(parts[2], 2)
         cosine = profiles @ total / max(np.linalg.norm(total), 1e-9)
         assert not text.strip() or abs(r.score - max(0, cosine.max())) < 1e-4 and r.lang_pred == names[int(cosine.argmax())]
+
+
+def test_toxicity_finds_nine_of_ten():
+    """Held-out recall at 0.7 on the largest table; no clean text of it is called toxic."""
+    from docquery.session import local_session
+
+    spark, sf = local_session(), "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    _, both = held_out(toxicity.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels), labels, "toxic")
+    assert (both[both.toxic == 1].predicted == 1).mean() >= 0.9
+    assert (both[both.toxic == 0].predicted == 0).mean() > 0.99
+
+
+def test_scores_are_brute_force(spark):
+    lexicon, exceptions = {" idiot ": 5.0, " idi": 2.0, " trash ": 4.0}, ("trash can",)
+    texts = ["IDIOT of a trash can", "idiom and tr4sh", "", None, "trash " * 50, "an 1d10t, an 1d10t", "a trash can trash"]
+    want = [5.0, 6.0, 0, 0, 200.0, 10.0, 4.0]
+    got = toxicity.score(documents(spark, texts), (lexicon, exceptions, 100, 0.5, -2.0)).orderBy("doc_id").collect()
+    for r, w in zip(got, want, strict=True):
+        n = len((r.text or "").split()) + 1
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(0.5 * w / (1 + np.log1p(n / 100)) - 2))), abs=1e-9)
+
+
+def test_equally_heavy_entries_are_stable(spark):
+    model = ({" ab": 1.0, " abc ": 1.0, " abcd": 1.0}, (), 100, 1.0, 0.0)
+    got = toxicity.score(documents(spark, ["abc abcd ab"] * 20), model).collect()
+    assert {tuple(r.hits) for r in got} == {("ab", "ab", "ab")}
