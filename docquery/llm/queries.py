@@ -156,4 +156,4 @@ FROM segs JOIN tree USING (host, s0, s1, s2, s3, s4) JOIN judged USING (host, te
 )
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by rules and by path templates."""
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).drop("expected")

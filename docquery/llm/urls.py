@@ -16,9 +16,12 @@ from docquery.llm.html import host_of
 
 #: Segments after which a template is cut to ** where no page below is labelled, and children from which a node's segments are a wildcard.
 LEVELS, CHILDREN = 4, 8
-#: Pages that the overall share of blocked ones counts as in a template's purity, the purity that rejects, and the normal
-#: deviation up to which branches are alike.
-PRIOR_PAGES, REJECT_FROM, ALIKE = 4.0, 0.6, 1.96
+#: Pages that the overall share of blocked ones counts as in a template's purity, and branches that what is expected
+#: above counts as in what a node makes expect of a new branch; the share that rejects, and the normal deviation up to
+#: which branches are alike.
+PRIOR_PAGES, PRIOR_BRANCHES, REJECT_FROM, ALIKE = 4.0, 4.0, 0.6, 1.96
+#: The most that is expected of a host before its own pages are seen: two branches of its own must be blocked to reject others.
+PRIOR_MOST = 0.4
 
 
 @dataclass(frozen=True)
@@ -93,13 +96,40 @@ def tree_of(counted: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, done)
 
 
+def expected_of(leaves: DataFrame, prior: Column) -> DataFrame:
+    """host, template, expected and near, from host, template, n and b: what the tree above a template makes expect of it.
+
+    From the root down, a node's expectation for a new branch is the mean share of blocked pages over its labelled branches,
+    each of them once however many pages it has, smoothed by its own parent's with PRIOR_BRANCHES; the root's parent is the
+    prior. A template with labelled pages has its own share, smoothed by its parent's expectation with PRIOR_PAGES. near is
+    the share of blocked pages among those labelled at the template or the nearest node above that has any, null without.
+    """
+    step = F.when(F.col("template") == "", F.array().cast("array<string>")).otherwise(F.split("template", "/"))
+    path = leaves.select("host", "template", "n", "b", step.alias("step"))
+    # Node i of a template is what its first i steps lead to: the root has none of them.
+    ways = path.select("host", "template", "n", "b", F.size("step").alias("depth"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("step")), lambda i: F.array_join(F.slice("step", F.lit(1), i), "/"))).alias("i", "node"))
+    nodes = ways.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.max("i").alias("i"))
+    above = F.when(F.col("i") > 1, F.regexp_replace("node", "/[^/]*$", "")).otherwise(F.lit(""))
+    branches = nodes.where("i > 0 and n > 0").groupBy("host", above.alias("node")).agg(F.sum(F.col("b") / F.col("n")).alias("shares"), F.count("*").alias("branches"))
+    told = nodes.select("host", "node", "n", "b").join(branches, ["host", "node"], "left")
+    chain = ways.select("host", "template", "depth", "i", "node").join(told, ["host", "node"])
+    of = F.struct("i", "n", "b", F.coalesce("shares", F.lit(0.0)).alias("shares"), F.coalesce("branches", F.lit(0)).alias("branches"))
+    whole = chain.groupBy("host", "template").agg(F.array_sort(F.collect_list(of)).alias("chain"), F.first("depth").alias("depth"))
+    inner = F.slice("chain", F.lit(1), F.greatest(F.col("depth"), F.lit(1)))
+    parents = F.when(F.col("depth") > 0, inner).otherwise(F.array().cast(whole.schema["chain"].dataType))
+    expected = F.aggregate(parents, prior.cast("double"), lambda m, x: (x["shares"] + PRIOR_BRANCHES * m) / (x["branches"] + PRIOR_BRANCHES))
+    near = F.aggregate("chain", F.lit(None).cast("double"), lambda m, x: F.when(x["n"] > 0, x["b"] / x["n"]).otherwise(m))
+    # Pages labelled at the template itself, not at templates that go on below it.
+    return whole.join(leaves.select("host", "template", "n", "b"), ["host", "template"]).select("host", "template", ((F.col("b") + PRIOR_PAGES * expected) / (F.col("n") + PRIOR_PAGES)).alias("expected"), near.alias("near"))
+
+
 def templates(ruled: DataFrame) -> DataFrame:
-    """host, segs (generalised segments), template, purity and shown, from pages with host, segs and ruled.
+    """host, segs (generalised segments), template, purity, shown, expected and near, from pages with host, segs and ruled.
 
-    Branches of a host that
-    have labelled pages and do not differ from the host's share of blocked ones by chance's measure are one branch for
-    counting. Purity is the smoothed share of blocked pages among a branch's labelled ones; shown is whether its own share,
-    without the overall one, reaches REJECT_FROM.
+    Branches of a host that have labelled pages and do not differ from the host's share of blocked ones by chance's measure
+    are one branch for counting. Purity is the share of blocked pages among a branch's labelled ones, smoothed by the overall
+    share; shown is whether its own share, without the overall one, reaches REJECT_FROM. expected and near are expected_of's,
+    whose prior is the mean over hosts, so that a hot host counts once, and at most PRIOR_MOST.
     """
     counted = written(ruled.groupBy("host", "segs").agg(F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("b")), "counted")
     tree = tree_of(counted)
@@ -113,20 +143,26 @@ def templates(ruled: DataFrame) -> DataFrame:
     total = counted.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
     prior = (total["b"] or 0) / total["n"] if total["n"] else 0.0
     shown = F.coalesce(F.col("b") >= REJECT_FROM * F.col("n"), F.lit(False)) & (F.col("n") > 0)
+    fair = hosts.where("hn > 0").agg(F.avg(F.col("hb") / F.col("hn")).alias("p")).first()["p"]
+    own = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    judged = expected_of(own, F.lit(min(fair or 0.0, PRIOR_MOST)))
     leaves = leaves.select("host", "template", ((F.col("b") + PRIOR_PAGES * prior) / (F.col("n") + PRIOR_PAGES)).alias("purity"), shown.alias("shown"))
-    return tree.select("host", "segs", "template").join(leaves, ["host", "template"])
+    return tree.select("host", "segs", "template").join(leaves.join(judged, ["host", "template"]), ["host", "template"])
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, host, path, rule, verdict, template and purity of every page.
+    """key, host, path, rule, verdict, template, purity and expected of every page.
 
-    The longest rule that fits decides; of other pages the template, which is rejected from a purity of REJECT_FROM on
-    if its branch's own labelled pages reach that too: other hosts' pages never block it.
+    The longest rule that fits decides; of other pages the template. One with labelled pages is rejected from a purity of
+    REJECT_FROM on if its branch's own labelled pages reach that too. One without is rejected if what the tree above it
+    makes expect reaches REJECT_FROM, and so do the pages that are labelled nearest above: other hosts' pages never block
+    it, nor does one blocked branch beside it, but several do. A host without labelled pages is allowed.
     A url that is null or has no :// has an empty host and path, and no rule but one for that. Rows come back as often
     as they were given; other columns are not read.
     """
     rows = pages.select(quoted(key).alias(key), host_of(quoted(url)).alias("host"), path_of(quoted(url)).alias("path"))
     rows = with_rule(rows, rules).withColumn("segs", segments(F.col("path")))
     found = rows.join(templates(rows), ["host", "segs"])
-    verdict = F.coalesce("ruled", F.when((F.col("purity") >= REJECT_FROM) & F.col("shown"), F.lit("block")).otherwise(F.lit("allow")))
-    return found.select(quoted(key), "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+    above = (F.col("expected") >= REJECT_FROM) & F.coalesce(F.col("near") >= REJECT_FROM, F.lit(False))
+    verdict = F.coalesce("ruled", F.when((F.col("purity") >= REJECT_FROM) & F.col("shown") | above, F.lit("block")).otherwise(F.lit("allow")))
+    return found.select(quoted(key), "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"), F.round("expected", 6).alias("expected"))
