@@ -5,6 +5,11 @@ Equal shingle sets are one class before anything is joined. Each class keeps a p
 number that grows with the sets. Classes that share enough prefix tokens are dealt into groups of similar ones. For each
 group the union of its members' tokens is held, first of their prefixes, then of their sets: a query's overlap with the
 union bounds its overlap with every member, and only groups that reach the bound are sent the query and opened for it.
+
+Groups are opened in two rounds. In the first each links its own members, and a few leaders of every group are its only
+queries to others. What they connect needs no more comparing: in the second round a class is sent to a group only if not
+all of the group's members are in its own component already. So a family of near copies that fills many groups is joined
+through the leaders, and no member of it is sent to all of them.
 """
 
 from __future__ import annotations
@@ -26,6 +31,10 @@ COUNT_AT_ONCE, REPORT_FROM = 1 << 22, 8
 COMMON_FROM, COMMON_SHARE = 64, 2.0**-18
 #: Tokens of the members of one group; larger groups are split by a hash.
 GROUP_TOKENS = 1 << 21
+#: Members of a group that are its queries to other groups in the first round.
+LEADERS = 2
+#: Tokens of the sets that a task of a round is sent, about.
+TASK_TOKENS = 1 << 24
 
 
 def sets_of(texts: list[bytes | None], size: int) -> list[np.ndarray]:
@@ -86,7 +95,7 @@ def signatures(documents: DataFrame, text: str, keep: list[str], size: int, num:
     """keep, n_shingles, class_id (equal for equal sets) and the prefix of the set, null where a task has just given it."""
 
     def factory():
-        given: set[int] = set()
+        given: set[bytes] = set()
 
         def work(texts):
             n, ids, prefixes = [], [], []
@@ -107,17 +116,17 @@ def signatures(documents: DataFrame, text: str, keep: list[str], size: int, num:
 
         return work
 
-    return annotate(documents, text, keep, factory, "n_shingles long, class_id long, prefix array<long>")
+    return annotate(documents, text, keep, factory, "n_shingles long, class_id binary, prefix array<long>")
 
 
-def class_of(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 class Group:
     """The members of one group and the union of their tokens."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int):
+    def __init__(self, ids: list, sets: list[np.ndarray], num: int, den: int):
         self.ids, self.sets, self.num, self.den = ids, sets, num, den
         token = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -174,19 +183,22 @@ class Group:
             if len(few) < 4:
                 few.append(i)
 
-    def outer(self, c: int, s: np.ndarray):
+    def outer(self, c, s: np.ndarray):
         """Pairs of a query with a member of each connected class that it links with."""
         for j in list(self.partners(s)):
             yield c, self.ids[j]
 
 
 def _edges(num: int, den: int):
-    schema = T.StructType.fromDDL("u long, v long")
+    schema = T.StructType.fromDDL("u binary, v binary")
     arrow = to_arrow_schema(schema)
 
+    def pairs(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], arrow.field(i).type) for i in (0, 1)], schema=arrow)
+
     def run(batches):
         at, ids, sets, group = None, [], [], None
-        out: list[tuple[int, int]] = []
+        out: list[tuple[bytes, bytes]] = []
         for batch in batches:
             values, ends = batch.column("set").values.to_numpy(zero_copy_only=False).view(np.uint64), batch.column("set").offsets.to_numpy()
             for row, (g, role, c) in enumerate(zip(batch.column("g").to_pylist(), batch.column("role").to_pylist(), batch.column("c").to_pylist(), strict=True)):
@@ -205,18 +217,18 @@ def _edges(num: int, den: int):
                     out += group.inner()
                 out += group.outer(c, s)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=arrow)
+                yield pairs(out)
                 out = []
         if group is None and len(ids) > 1:
             out += Group(ids, sets, num, den).inner()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=arrow)
+            yield pairs(out)
 
     return run, schema
 
 
 def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
-    """Pairs (u, v) of classes with the similarity, enough of them to connect all classes that links connect.
+    """(node, root) of every class that links connect with another one, root the least class of its component.
 
     known has the key, class_id, n_shingles and prefix of every document that can link.
     """
@@ -233,40 +245,69 @@ def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int
     parts = base.groupBy("h", "band").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
     members = base.join(parts, ["h", "band"]).select("c", "n", F.xxhash64("h", "band", F.pmod(F.xxhash64("c"), "parts")).alias("g"))
     members = written(members, "members")
-    sizes = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    held = shared.select("c", "token").join(members.join(sizes, "g"), "c")
-    # Tokens that the same groups have count together: a class meets each list of groups once, with the tokens it has of it.
-    lists = held.groupBy("token").agg(F.array_sort(F.collect_set(F.struct("g", "least", "most"))).alias("groups")).where(F.size("groups") > 1)
-    lists = written(lists.withColumn("list", F.xxhash64("groups")), "lists")
-    met = held.select("c", "n", "g", "token").join(lists.select("token", "list"), "token").groupBy("c", "n", "g", "list").agg(F.count("*").alias("k"))
-    met = met.join(lists.groupBy("list").agg(F.first("groups").alias("groups")), "list")
-    fits = lambda x: (x["g"] < F.col("g")) & (F.col("n") * num <= x["most"] * den) & (x["least"] * num <= F.col("n") * den)
-    routes = met.select("c", "n", "k", F.explode(F.filter("groups", fits)).alias("x")).groupBy("c", F.col("x.g").alias("g")).agg(F.min("n").alias("n"), F.sum("k").alias("k"))
-    routes = written(routes.where(F.col("k") >= least_overlap).select("c", "g"), "routes")
-    # Only groups that have two members or a query are filled.
-    filled = members.select("g").unionByName(routes.select("g")).groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    own = members.join(filled, "g", "left_semi").select("c", "g", F.lit(0).alias("role"))
-    to = own.unionByName(routes.select("c", "g", F.lit(1).alias("role"))).groupBy("c").agg(F.collect_list(F.struct("g", "role")).alias("to"))
-    reps = known.groupBy(F.col("class_id").alias("c")).agg(F.min(quoted(key)).alias("rep"))
-    wanted = reps.join(to, "c")
-    texts = documents.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t")).join(wanted, F.col("k") == F.col("rep")).select("t", "c", "to")
-    schema = T.StructType.fromDDL("g long, role int, c long, set array<long>")
+    groups = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.min_by("c", F.xxhash64("c")).alias("l0"), F.max_by("c", F.xxhash64("c")).alias("l1"))
+    groups = written(groups, "groups")
+    leaders = groups.select(F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("c")).distinct()
+    # Tokens that the same groups have count together: such a list of groups is known by their number and two sums of hashes.
+    held = shared.select("c", "token").join(members, "c")
+    told = held.select("token", "g").distinct().groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")).where("m > 1")
+    firsts = told.groupBy("m", "x", "y").agg(F.min("token").alias("list"))
+    lists = written(told.join(firsts, ["m", "x", "y"]).select("token", "list"), "lists")
+    met = written(held.join(lists, "token").groupBy("c", "list").agg(F.min("n").alias("n"), F.min("g").alias("g"), F.count("*").alias("k")), "met")
+    listed = held.join(lists.where("token = list"), "token").select("list", "g").distinct().join(groups.select("g", "least", "most"), "g")
+    listed = written(listed.select("list", F.col("g").alias("to"), "least", "most"), "listed")
+    fits = (F.col("to") < F.col("g")) & (F.col("n") * num <= F.col("most") * den) & (F.col("least") * num <= F.col("n") * den)
+
+    def routed(met, listed, more=None):
+        found = met.join(listed, "list").where(fits if more is None else fits & more).groupBy("c", "to").agg(F.min("n").alias("n"), F.sum("k").alias("k"))
+        return found.where(F.col("k") >= least_overlap).select("c", F.col("to").alias("g"), "n", F.lit(1).alias("role"))
+
+    def opened(own, queries, name):
+        """Pairs of classes that groups find among their own members and the queries sent to them."""
+        send = written(own.unionByName(queries), f"sent{name}")
+        reps = known.groupBy(F.col("class_id").alias("c")).agg(F.min(quoted(key)).alias("rep"))
+        to = send.join(reps, "c").select("rep", "c", "g", "role")
+        texts = documents.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t"))
+        tasks = max(parallel, -(-(send.agg(F.sum("n")).first()[0] or 0) // TASK_TOKENS))
+        # A class that goes to several groups is a row for each: no list of them is gathered.
+        sets = texts.join(to, F.col("k") == F.col("rep")).select("t", "c", "g", "role").mapInArrow(dealt, schema)
+        run, out = _edges(num, den)
+        pairs = sets.repartition(tasks, "g").sortWithinPartitions("g", "role", "c").mapInArrow(run, out)
+        return written(pairs, f"pairs{name}")
+
+    schema = T.StructType.fromDDL("g long, role int, c binary, set array<long>")
     arrow = to_arrow_schema(schema)
 
     def dealt(batches):
         for batch in batches:
             for part in chunks(batch, 0):
-                rows = ([], [], [], [])
-                for s, c, to in zip(sets_of(part.column(0).to_pylist(), size), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                rows, last, s = ([], [], [], []), None, None
+                for t, c, g, role in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    if last != (c, t):
+                        s, last = sets_of([t], size)[0], (c, t)
                     if class_of(s) == c:
-                        for x in to:
-                            for column, value in zip(rows, (x["g"], x["role"], c, s.view(np.int64)), strict=True):
-                                column.append(value)
+                        for column, value in zip(rows, (g, role, c, s.view(np.int64)), strict=True):
+                            column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, arrow.field(i).type) for i, v in enumerate(rows)], schema=arrow)
 
-    run, out = _edges(num, den)
-    sets = texts.mapInArrow(dealt, schema).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "role", "c")
-    return sets.mapInArrow(run, out)
+    own = members.select("c", "g", "n", F.lit(0).alias("role"))
+    first = routed(met.join(leaders, "c", "left_semi"), listed)
+    alone = groups.where("members = 1").select("g").join(first.select("g").distinct(), "g", "left_anti")
+    pairs = opened(own.join(alone, "g", "left_anti"), first, 1)
+    stars = connected(pairs)
+    # The component that a group or a list of groups is all of, if it is one.
+    whole = members.join(stars, F.col("c") == F.col("node"), "left").select("c", "g", F.coalesce("root", "c").alias("root"))
+    of_group = whole.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    of_list = listed.join(of_group.withColumnRenamed("g", "to"), "to").groupBy("list").agg(F.min("low").alias("llow"), F.max("high").alias("lhigh"))
+    open_to = listed.join(of_group.withColumnRenamed("g", "to"), "to").join(of_list.where("llow <> lhigh").select("list"), "list")
+    other = met.join(whole.select("c", "root"), "c").join(of_list.where("llow <> lhigh").select("list"), "list", "left_semi")
+    second = routed(other, open_to, (F.col("low") != F.col("high")) | (F.col("low") != F.col("root")))
+    second = written(second.join(leaders, "c", "left_anti"), "second")
+    if second.isEmpty():
+        return stars
+    asked = own.join(second.select("g").distinct(), "g", "left_semi")
+    pairs = opened(asked, second, 2)
+    return connected(pairs.unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v"))))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -303,7 +344,7 @@ def components(documents: DataFrame, text: str = "text", key: str = "doc_id", si
     common = common_shingles(rows, text, size)
     known = written(signatures(rows, text, [key], size, num, den, common), "signatures")
     linked = known.where((F.col("n_shingles") > 0) & quoted(key).isNotNull())
-    stars = connected(written(links(rows, linked, text, key, size, num, den), "links"))
+    stars = links(rows, linked, text, key, size, num, den)
     ids = linked.groupBy("class_id").agg(F.min(quoted(key)).alias("rep"))
     ids = ids.join(stars, F.col("class_id") == F.col("node"), "left").select("class_id", "rep", F.coalesce("root", "class_id").alias("root"))
     least = ids.groupBy("root").agg(F.min("rep").alias("least"))
