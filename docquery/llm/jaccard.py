@@ -31,6 +31,8 @@ COUNT_AT_ONCE, REPORT_FROM = 1 << 22, 8
 COMMON_FROM, COMMON_SHARE = 64, 2.0**-18
 #: Tokens of the members of one group; larger groups are split by a hash.
 GROUP_TOKENS = 1 << 21
+#: Groups to be split whose list is broadcast; a longer list is joined.
+LISTED_GROUPS = 200_000
 #: Members of a group that are its queries to other groups in the first round.
 LEADERS = 2
 #: Tokens of the sets that a task of a round is sent, about.
@@ -235,15 +237,18 @@ def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int
     spark = documents.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     least_overlap = F.floor(F.ceil(F.col("n") * num / den) / 32).cast("long") + 1  # of a partner, which has that size at least
-    tokens = known.select(F.col("class_id").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
+    # Where only candidates are looked for, a class goes by 64 bits of its id: classes that share them are sent together.
+    tokens = known.select(F.xxhash64("class_id").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.explode("prefix").alias("token"))
     tokens = tokens.repartition(parallel, "token").dropDuplicates(["token", "c"])
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = written(tokens.join(shared, "token"), "shared")
     # The group of a class: its most shared prefix token, by which near copies meet, and its size in steps of the similarity.
     base = shared.groupBy("c").agg(F.min("n").alias("n"), F.max(F.struct("df", F.xxhash64("token").alias("h"))).alias("h"), F.count("*").alias("k")).where(F.col("k") >= least_overlap)
     base = base.withColumn("h", F.col("h.h")).withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)) if num < den else F.col("n"))
-    parts = base.groupBy("h", "band").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts"))
-    members = base.join(parts, ["h", "band"]).select("c", "n", F.xxhash64("h", "band", F.pmod(F.xxhash64("c"), "parts")).alias("g"))
+    base = written(base.select("c", "n", F.xxhash64("h", "band").alias("h")), "base")
+    large = base.groupBy("h").agg(F.ceil(F.sum("n") / GROUP_TOKENS).alias("parts")).where("parts > 1")
+    large = F.broadcast(large) if large.count() <= LISTED_GROUPS else large
+    members = base.join(large, "h", "left").select("c", "n", F.xxhash64("h", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1)))).alias("g"))
     members = written(members, "members")
     groups = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"), F.min_by("c", F.xxhash64("c")).alias("l0"), F.max_by("c", F.xxhash64("c")).alias("l1"))
     groups = written(groups, "groups")
@@ -265,8 +270,8 @@ def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int
     def opened(own, queries, name):
         """Pairs of classes that groups find among their own members and the queries sent to them."""
         send = written(own.unionByName(queries), f"sent{name}")
-        reps = known.groupBy(F.col("class_id").alias("c")).agg(F.min(quoted(key)).alias("rep"))
-        to = send.join(reps, "c").select("rep", "c", "g", "role")
+        reps = known.groupBy("class_id").agg(F.min(quoted(key)).alias("rep")).withColumn("c", F.xxhash64("class_id"))
+        to = send.join(reps, "c").select("rep", F.col("class_id").alias("c"), "g", "role")
         texts = documents.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t"))
         tasks = max(parallel, -(-(send.agg(F.sum("n")).first()[0] or 0) // TASK_TOKENS))
         # A class that goes to several groups is a row for each: no list of them is gathered.
@@ -296,7 +301,8 @@ def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int
     pairs = opened(own.join(alone, "g", "left_anti"), first, 1)
     stars = connected(pairs)
     # The component that a group or a list of groups is all of, if it is one.
-    whole = members.join(stars, F.col("c") == F.col("node"), "left").select("c", "g", F.coalesce("root", "c").alias("root"))
+    roots = stars.select(F.xxhash64("node").alias("c"), F.xxhash64("root").alias("root"))
+    whole = members.join(roots, "c", "left").select("c", "g", F.coalesce("root", "c").alias("root"))
     of_group = whole.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     of_list = listed.join(of_group.withColumnRenamed("g", "to"), "to").groupBy("list").agg(F.min("low").alias("llow"), F.max("high").alias("lhigh"))
     open_to = listed.join(of_group.withColumnRenamed("g", "to"), "to").join(of_list.where("llow <> lhigh").select("list"), "list")
