@@ -305,8 +305,11 @@ def links(documents: DataFrame, known: DataFrame, text: str, key: str, size: int
     whole = members.join(roots, "c", "left").select("c", "g", F.coalesce("root", "c").alias("root"))
     of_group = whole.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     of_list = listed.join(of_group.withColumnRenamed("g", "to"), "to").groupBy("list").agg(F.min("low").alias("llow"), F.max("high").alias("lhigh"))
-    open_to = listed.join(of_group.withColumnRenamed("g", "to"), "to").join(of_list.where("llow <> lhigh").select("list"), "list")
-    other = met.join(whole.select("c", "root"), "c").join(of_list.where("llow <> lhigh").select("list"), "list", "left_semi")
+    # Lists that are all of one component need nothing more; most hot ones, which families share, are such lists.
+    mixed = written(of_list.where("llow <> lhigh").select("list"), "mixed")
+    mixed = F.broadcast(mixed) if mixed.count() <= LISTED_GROUPS else mixed
+    open_to = listed.join(mixed, "list", "left_semi").join(of_group.withColumnRenamed("g", "to"), "to")
+    other = met.join(mixed, "list", "left_semi").join(whole.select("c", "root"), "c")
     second = routed(other, open_to, (F.col("low") != F.col("high")) | (F.col("low") != F.col("root")))
     second = written(second.join(leaders, "c", "left_anti"), "second")
     if second.isEmpty():
