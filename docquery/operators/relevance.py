@@ -32,10 +32,19 @@ def _shared(analysed: Column, wanted: Column, boost: float) -> Cond:
     return Cond.of(score.isNotNull(), score)
 
 
-def match_hashed(hashes: Column, query: list[str], boost: float = 1.0) -> Cond:
-    """match() over the hashes of a document's n-grams (text.gram_hashes); a query's n-grams are hashed alike."""
+def match_hashed(hashes: Column, query: list[str], boost: float = 1.0, tokens: Column | None = None) -> Cond:
+    """match() over the hashes of a document's n-grams (text.gram_hashes); a query's n-grams are hashed alike.
+
+    With tokens, the document's own, rows without a word of the query are filtered before any n-gram is made: where each
+    word is also an n-gram of the query, as analysis gives them, that is all the filter there is.
+    """
     wanted = F.array(*[tx.gram_hash(*[F.lit(w) for w in q.split(" ")]) for q in query]) if query else F.array().cast("array<bigint>")
-    return _shared(hashes, wanted, boost)
+    cond = _shared(hashes, wanted, boost)
+    if tokens is None or not query:
+        return cond
+    singles = sorted({w for q in query for w in q.split(" ")})
+    some = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in singles]))
+    return Cond(cond.match, cond.score, some if set(singles) <= set(query) else some & cond.filter)
 
 
 def words(c: Column) -> Column:

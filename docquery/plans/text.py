@@ -44,8 +44,9 @@ def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared n-grams of a three-word query."""
     wanted = r.query_tokens(spark, "Reer, ereaes the onor", stem=False)
-    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.gram_hashes(tx.analysed_phrase(F.col("text"), stem=False)).alias("g"))
-    return s.matched(docs, r.match_hashed(F.col("g"), wanted, 1.5)).select("doc_id", F.round("_score", 8).alias("score"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
+    docs = docs.select("doc_id", "t", tx.gram_hashes(F.col("t")).alias("g"))
+    return s.matched(docs, r.match_hashed(F.col("g"), wanted, 1.5, F.col("t"))).select("doc_id", F.round("_score", 8).alias("score"))
 
 
 @query(
