@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.llm.common import annotate, quoted
+from docquery.llm.common import annotate, quoted, written
 
 #: Bytes to a space where the contract has no word byte, A-Z to a-z: what is left between spaces are words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -101,30 +104,46 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
     and sorted as such. Texts are whole. Null or empty texts have no words, and a document without words no hits; items
     without words or id are never found; equal items count once each id; repeated documents each have their row. A kept
     column named like one of the four is replaced. The benchmark is read in blocks of at most about block_bytes of
-    text, each a broadcast of bounded size and one pass over the stream of documents (a single larger item is a block).
+    text (a single larger item is a block), each a broadcast of that size and one pass over the documents. The driver has
+    one block at a time: the texts that a block is found in are written by their SHA-256 before the next one is read.
     """
     known = benchmark.select(quoted(item).cast("string").alias("item"), quoted(text).cast("binary").alias("t")).where("item is not null and t is not null")
     size = known.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     keep = documents.columns if keep is None else keep
     out = documents.select(*[quoted(c).alias(c) for c in dict.fromkeys([*keep, text])])
-    names = ("n_words", "n_hit", "hits", "item_ids")
     types = "n_words long, n_hit long, hits array<struct<start: long, end: long>>, item_ids array<string>"
+
+    def searched(rows: DataFrame, kept: list[str], block: int) -> DataFrame:
+        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        return annotate(rows, text, kept, _searcher([(r.item, bytes(r.t)) for r in part.collect()], window), types)
+
     if blocks == 1:
-        return annotate(out, text, keep, _searcher([(r.item, bytes(r.t)) for r in known.collect()], window), types)
-    for b in range(blocks):
-        items = [(r.item, bytes(r.t)) for r in known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()]
-        kind = types.replace("n_words long", f"_n{b} long").replace("n_hit long", f"_h{b} long").replace("hits array", f"_s{b} array").replace("item_ids array", f"_i{b} array")
-        out = annotate(out, text, out.columns, _searcher(items, window), kind)
-    runs = F.array_sort(F.concat(*[F.col(f"_s{b}") for b in range(blocks)]))
-    merged = F.aggregate(
-        runs,
-        F.array().cast("array<struct<start: long, end: long>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    out = out.withColumns({"n_words": F.col("_n0"), "hits": merged, "item_ids": F.array_sort(F.array_distinct(F.concat(*[F.col(f"_i{b}") for b in range(blocks)])))})
-    out = out.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]))
-    return out.select(*[c for c in keep if c not in names], *names)
+        return searched(out, keep, 0)
+    taken = {c.lower() for c in out.columns}
+    key, hits, ids = (next(n for n in (f"{stem}{i}" for i in count()) if n not in taken) for stem in ("_key", "_hits", "_ids"))
+    keyed = out.withColumn(key, F.sha2(quoted(text).cast("binary"), 256))
+    earlier = []
+    for b in range(blocks - 1):
+        found = searched(keyed, [key], b).where("n_hit > 0")
+        earlier.append(written(found.groupBy(key).agg(F.first("hits").alias(hits), F.first("item_ids").alias(ids)), f"block{b}"))
+    more = reduce(DataFrame.unionByName, earlier).groupBy(key).agg(F.flatten(F.collect_list(hits)).alias(hits), F.flatten(F.collect_list(ids)).alias(ids))
+    found = searched(keyed, [*keep, key], blocks - 1).join(more, key, "left")
+    runs = F.array_sort(F.when(F.col(hits).isNull(), F.col("hits")).otherwise(F.concat("hits", hits)))
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    merged = F.aggregate(runs, none, _joined)
+    named = F.array_sort(F.array_distinct(F.when(F.col(ids).isNull(), F.col("item_ids")).otherwise(F.concat("item_ids", ids))))
+    found = found.withColumn("hits", merged).withColumn("item_ids", named)
+    found = found.withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"]))
+    names = ("n_words", "n_hit", "hits", "item_ids")
+    return found.select(*[quoted(c) for c in keep if c.lower() not in names], *names)
+
+
+def _joined(acc, x):
+    """The merged ranges with one more, which starts no earlier than the last of them."""
+    last = F.try_element_at(acc, F.lit(-1))
+    longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+    return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
 
 
 def digest(found: DataFrame) -> DataFrame:

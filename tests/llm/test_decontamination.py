@@ -47,3 +47,16 @@ def test_awkward_rows_and_blocks(spark):
     check(spark, docs, bench.limit(0))
     assert d.decontaminate(docs.limit(0), bench).count() == 0
     assert d.decontaminate(docs, bench).columns == ["doc_id", "text", "lang", "source", "n_chars", "spans", "n_words", "n_hit", "hits", "item_ids"]
+
+
+def test_blocks_of_a_large_benchmark(spark):
+    """Runs that touch across blocks merge, copies of one text each have their row, and kept names may clash."""
+    text = " ".join(f"w{i}" for i in range(60))
+    bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 11))) for i in range(16)], "item_id long, text string")
+    docs = documents(spark, [text, text, text[40:], None, "", "w1 w2", "x " + text])
+    check(spark, docs, bench, block_bytes=120)
+    clash = docs.selectExpr("doc_id", "text", "1 as _key0", "2 as _hits0", "'a' as hits", "'b' as N_WORDS")
+    one, many = (d.decontaminate(clash, bench, block_bytes=b) for b in (1 << 20, 120))
+    assert one.columns == many.columns == ["doc_id", "text", "_key0", "_hits0", "n_words", "n_hit", "hits", "item_ids"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert many.count() == docs.count()
