@@ -178,13 +178,60 @@ def _fill(room: int, sizes: list[int], left: list[int]) -> list[int]:
     return use
 
 
-def plan(histogram: dict[int, int], limit: int, groups: int = 40, small: int | None = None) -> _Plan:
+def _dearest(limit: int, sizes: list[int], worth: np.ndarray) -> np.ndarray:
+    """The configuration of the greatest worth: how many of each size, any number of times, fit into the limit."""
+    value, pick = np.zeros(limit + 1), np.full(limit + 1, -1)
+    for i, size in enumerate(sizes):
+        for _ in range(limit // size if worth[i] > 0 else 0):
+            more = value[:-size] + worth[i]
+            better = np.flatnonzero(more > value[size:] + 1e-12)
+            if not len(better):
+                break
+            value[better + size] = more[better]
+            pick[better + size] = i
+    use, at = np.zeros(len(sizes)), int(np.argmax(value))
+    while pick[at] >= 0:
+        use[pick[at]] += 1
+        at -= sizes[pick[at]]
+    return use
+
+
+def configurations(limit: int, sizes: list[int], demand: list[int], rounds: int = 2000) -> list[tuple[list[int], int]]:
+    """(how many of each size, how often): whole parts of the fewest sequences that hold the demand, by the linear programme.
+
+    Its columns are configurations, one basis column a size. The basis begins with sequences of one size; the duals price
+    the sizes, and the configuration that they price highest comes in for the first that it drives out, until none is
+    worth more than the sequence it takes. Every basis on the way holds the demand, so rounds only bounds the time.
+    """
+    m = len(sizes)
+    basis = np.diag([float(limit // s) for s in sizes])
+    wanted, ones = np.array(demand, float), np.ones(m)
+    for _ in range(rounds if m else 0):
+        worth = np.linalg.solve(basis.T, ones)
+        use = _dearest(limit, sizes, worth)
+        if use @ worth <= 1 + 1e-6:
+            break
+        often, change = np.linalg.solve(basis, wanted), np.linalg.solve(basis, use)
+        out = np.flatnonzero(change > 1e-9)
+        basis[:, out[np.argmin(np.maximum(often[out], 0) / change[out])]] = use
+    often, left, found = np.linalg.solve(basis, wanted) if m else [], list(demand), []
+    for column, x in zip(basis.T, often, strict=True):
+        use = [int(u) for u in column]
+        times = min([int(x + 1e-9), *[left[i] // u for i, u in enumerate(use) if u]])
+        if times > 0:
+            found.append((use, times))
+            left = [n - u * times for n, u in zip(left, use, strict=True)]
+    return found
+
+
+def plan(histogram: dict[int, int], limit: int, groups: int = 40, small: int | None = None, optimised: bool = True) -> _Plan:
     """Linear grouping over a histogram of lengths.
 
     Lengths over small, from the largest down, are dealt into groups of equal cardinality and rounded up to each
-    group's largest. Configurations of these few sizes are taken in turn: the largest size left and what fills the rest
-    of its sequence best, as often as the groups allow. Actual lengths then stand in for the sizes, and the small ones
-    go, from the largest down, where they fit best.
+    group's largest. The configurations of these few sizes are those of the linear programme, in whole numbers; what is
+    left over, at most a sequence for each size, and all of it if not optimised, goes the largest size first with what
+    fills the rest of its sequence best, as often as the groups allow. Actual lengths then stand in for the sizes, and the
+    small ones go, from the largest down, where they fit best.
     """
     out, small = _Plan(limit), limit // 10 if small is None else small
     for length in sorted((x for x in histogram if x >= limit), reverse=True):
@@ -202,46 +249,53 @@ def plan(histogram: dict[int, int], limit: int, groups: int = 40, small: int | N
             queues[-1].append([length, used])
             n, space = n - used, space - used
     sizes, left = [q[0][0] for q in queues], [sum(n for _, n in q) for q in queues]
+
+    def lay(use: list[int], times: int) -> None:
+        """A configuration, times over, with the next actual lengths of each group in it."""
+        slots = []
+        for i, u in enumerate(use):
+            for _ in range(u):
+                need, runs = times, []
+                while need:
+                    head = queues[i][0]
+                    used = min(need, head[1])
+                    runs.append([head[0], used])
+                    head[1] -= used
+                    need -= used
+                    if not head[1]:
+                        queues[i].pop(0)
+                slots.append(runs)
+            left[i] -= u * times
+        first, done = out.open(times), 0
+        while done < times:
+            n, offset = min(r[0][1] for r in slots), 0
+            for r in slots:
+                out.put(r[0][0], n, first + done, offset)
+                offset += r[0][0]
+                r[0][1] -= n
+                if not r[0][1]:
+                    r.pop(0)
+            out.leave(first + done, n, limit - offset)
+            done += n
+
+    for use, times in configurations(limit, sizes, left) if optimised else ():
+        lay(use, times)
     for g in range(len(queues)):
         while left[g]:
             rest = list(left)
             rest[g] -= 1
             use = _fill(limit - sizes[g], sizes, rest)
             use[g] += 1
-            times = min(left[i] // u for i, u in enumerate(use) if u)
-            slots = []
-            for i, u in enumerate(use):
-                for _ in range(u):
-                    need, runs = times, []
-                    while need:
-                        head = queues[i][0]
-                        used = min(need, head[1])
-                        runs.append([head[0], used])
-                        head[1] -= used
-                        need -= used
-                        if not head[1]:
-                            queues[i].pop(0)
-                    slots.append(runs)
-                left[i] -= u * times
-            first, done = out.open(times), 0
-            while done < times:
-                n, offset = min(r[0][1] for r in slots), 0
-                for r in slots:
-                    out.put(r[0][0], n, first + done, offset)
-                    offset += r[0][0]
-                    r[0][1] -= n
-                    if not r[0][1]:
-                        r.pop(0)
-                out.leave(first + done, n, limit - offset)
-                done += n
+            lay(use, min(left[i] // u for i, u in enumerate(use) if u))
     for length in sorted((x for x in histogram if x <= small and x < limit), reverse=True):
         out.best_fit(length, histogram[length])
     return out
 
 
 def best_plan(histogram: dict[int, int], limit: int) -> _Plan:
-    """Of a few choices of where small begins, the plan of the fewest sequences."""
-    return min((plan(histogram, limit, groups, small) for groups, small in ((40, limit // 10), (60, limit // 6), (30, limit // 20))), key=lambda p: p.sequences)
+    """Of a few choices of where small begins, with and without the linear programme, the plan of the fewest sequences."""
+    tried = ((40, limit // 10), (60, limit // 6), (30, limit // 20))
+    return min((plan(histogram, limit, groups, small, optimised) for optimised in (True, False) for groups, small in tried), key=lambda p: p.sequences)
 
 
 def pack(documents: DataFrame, text: str = "text", key: str = "doc_id", limit: int = 4096, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 import zlib
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -61,3 +63,36 @@ def test_plan_places_everything_once():
             ends = np.cumsum([x for _, x in sorted(parts)])
             assert ends[-1] <= limit and [o for o, _ in sorted(parts)] == [0, *ends[:-1]]
         assert len(used) == made.sequences <= 1.05 * -(-int(lengths.sum()) // limit) + 1
+
+
+def fewest(limit, sizes, demand):
+    """The fewest sequences for a demand, by trying every first configuration that holds the largest size left."""
+
+    @lru_cache(None)
+    def best(left):
+        if not any(left):
+            return 0
+        first = next(i for i, n in enumerate(left) if n)
+        fits = (u for u in product(*[range(n + 1) for n in left]) if u[first] and sum(k * s for k, s in zip(u, sizes, strict=True)) <= limit)
+        return 1 + min(best(tuple(n - k for n, k in zip(left, u, strict=True))) for u in fits)
+
+    return best(tuple(demand))
+
+
+def test_configurations_against_the_fewest():
+    for limit, sizes in ((10, [5, 4, 3]), (100, [44, 34, 22]), (17, [8, 6, 5]), (12, [7, 7, 5])):
+        demand = [5, 5, 5]
+        found = packing.configurations(limit, sizes, [1000 * n for n in demand])
+        held = [sum(use[i] * times for use, times in found) for i in range(3)]
+        assert all(sum(k * s for k, s in zip(use, sizes, strict=True)) <= limit for use, _ in found)
+        assert all(1000 * n - limit <= h <= 1000 * n for h, n in zip(held, demand, strict=True))
+        assert sum(times for _, times in found) <= 1000 * fewest(limit, sizes, demand)
+        whole = packing.plan({s: 5 * sizes.count(s) for s in sizes}, limit, 3, 0)
+        assert whole.sequences <= fewest(limit, sizes, demand) + 3
+    assert packing.configurations(10, [], []) == []
+
+
+def test_configurations_pack_closer_than_filling_in_turn():
+    lengths = np.random.default_rng(5).integers(1000, 2100, 30000)
+    histogram = {int(x): int(c) for x, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    assert packing.plan(histogram, 4096).sequences < 0.95 * packing.plan(histogram, 4096, optimised=False).sequences
