@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -91,49 +94,106 @@ def _fails(schema: T.StructType, at: Column | None, parts: list[str], check: str
 def contract_errors(doc: Column, contract: dict, path: str = "$") -> Column:
     """Where a VARIANT document breaks a JSON-Schema contract, an empty array if nowhere.
 
-    Of the schema: type, required, properties, additionalProperties false, enum, pattern, format, minLength, maxLength,
-    minimum, maximum, items. No contract passes everything.
+    Of the schema: type (one or several), required, properties, additionalProperties, enum, const, pattern, format,
+    minLength, maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, items, minItems, maxItems,
+    uniqueItems, allOf, anyOf, oneOf, not and $ref within the contract; a reference to itself is refused, as a Column has
+    no recursion. Elements are named [] and other properties * in messages. No contract passes everything.
     """
-    found = _broken(doc, contract, path)
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    found = _broken(doc, contract, path, path, contract, ())
+    return F.array_compact(F.concat(*found)) if found else F.array().cast("array<string>")
 
 
 def _kind(doc: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
 
 
-def _broken(doc: Column, rule: dict, path: str) -> list[Column]:
+def _below(doc: Column, path: str, name: str) -> tuple[Column, str]:
+    """Where a property is: by path, or taken out of the object if its name is none that a path can have."""
+    if re.fullmatch(r"\w+", name):
+        return doc, f"{path}.{name}"
+    return F.try_variant_get(doc, path, "map<string,variant>")[name], "$"
+
+
+def _equals(value, kind: Column, text: Column, number: Column, is_number: Column) -> Column:
+    if value is None:
+        return kind == "VOID"
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (text == str(value).lower())
+    return is_number & (number == float(value)) if isinstance(value, (int, float)) else (kind == "STRING") & (text == str(value))
+
+
+def _referred(root: dict, ref: str) -> dict:
+    rule = root
+    for part in ref.removeprefix("#").split("/")[1:]:
+        rule = rule[part.replace("~1", "/").replace("~0", "~")]
+    return rule
+
+
+def _broken(doc: Column, rule: dict | bool, path: str, shown: str, root: dict, opened: tuple[str, ...]) -> list[Column]:
+    """Arrays of messages, null where nothing is broken, for what the path leads to in the document."""
     kind = _kind(doc, path)
     there = kind.isNotNull()
+    say = lambda bad, what: F.array(F.when(there & F.coalesce(bad, F.lit(False)), F.lit(f"{shown} {what}")))
+    if isinstance(rule, bool):
+        return [] if rule else [say(F.lit(True), "is not allowed")]
+    if "$ref" in rule:
+        if rule["$ref"] in opened:
+            raise ValueError(f"a contract that refers to itself: {rule['$ref']}")
+        return _broken(doc, _referred(root, rule["$ref"]), path, shown, root, (*opened, rule["$ref"]))
+    inner = lambda r, d=doc, p=path, s=shown: _broken(d, r, p, s, root, opened)
+    fits = lambda r: F.size(F.array_compact(F.concat(*inner(r), F.array().cast("array<string>")))) == 0
+    each = lambda values, r, s: F.flatten(F.coalesce(F.transform(values, lambda x: F.concat(*inner(r, x, "$", s))), F.array()))
+
     text, number = F.try_variant_get(doc, path, "string"), F.try_variant_get(doc, path, "double")
-    say = lambda bad, what: F.when(there & F.coalesce(bad, F.lit(False)), F.lit(f"{path} {what}"))
-    is_number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-    kinds = {"string": kind == "STRING", "number": is_number, "integer": is_number & (number == F.floor(number)), "boolean": kind == "BOOLEAN", "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "null": kind == "VOID"}
-    out = [say(~kinds[rule["type"]], f"is no {rule['type']}")] if "type" in rule else []
+    is_number, is_text = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), kind == "STRING"
+    is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+    kinds = {"string": is_text, "number": is_number, "integer": is_number & (number == F.floor(number)), "boolean": kind == "BOOLEAN", "object": is_object, "array": is_array, "null": kind == "VOID"}
+    wanted = [rule["type"]] if isinstance(rule.get("type"), str) else rule.get("type", [])
+    out = [say(~reduce(lambda a, b: a | b, [kinds[k] for k in wanted]), f"is no {' or '.join(wanted)}")] if wanted else []
     for name in rule.get("required", ()):
-        out.append(F.when(there & kind.startswith("OBJECT") & _kind(doc, f"{path}.{name}").isNull(), F.lit(f"{path}.{name} is required")))
-    for name, below in rule.get("properties", {}).items():
-        out += _broken(doc, below, f"{path}.{name}")
-    if rule.get("additionalProperties") is False:
-        names = F.map_keys(F.try_variant_get(doc, path, "map<string,variant>"))
-        out.append(say(F.size(F.array_except(names, F.array(*[F.lit(n) for n in rule.get("properties", {})]))) > 0, "has other properties"))
-    if "enum" in rule:
-        out.append(say(~text.isin([str(v) for v in rule["enum"]]), "is none of the values"))
+        out.append(F.array(F.when(there & is_object & _kind(*_below(doc, path, name)).isNull(), F.lit(f"{shown}.{name} is required"))))
+    named = rule.get("properties", {})
+    for name, below in named.items():
+        out += inner(below, *_below(doc, path, name), f"{shown}.{name}")
+    others = rule.get("additionalProperties", True)
+    if others is not True:
+        rest = F.map_filter(F.try_variant_get(doc, path, "map<string,variant>"), lambda k, _: ~k.isin(*named) if named else F.lit(True))
+        if others is False:
+            out.append(say(F.size(F.map_keys(rest)) > 0, "has other properties"))
+        elif inner(others):
+            out.append(each(F.map_values(rest), others, f"{shown}.*"))
+    if "enum" in rule or "const" in rule:
+        values = rule["enum"] if "enum" in rule else [rule["const"]]
+        out.append(say(~reduce(lambda a, b: a | b, [F.coalesce(_equals(v, kind, text, number, is_number), F.lit(False)) for v in values], F.lit(False)), "is none of the values"))
     if "pattern" in rule:
-        out.append(say((kind == "STRING") & ~text.rlike(rule["pattern"]), "does not fit the pattern"))
-    if "format" in rule and rule["format"] in FORMATS:
-        out.append(say((kind == "STRING") & ~text.rlike(FORMATS[rule["format"]]), f"is no {rule['format']}"))
-    for name, bad in (("minLength", lambda n: F.length(text) < n), ("maxLength", lambda n: F.length(text) > n)):
-        if name in rule:
-            out.append(say((kind == "STRING") & bad(rule[name]), f"breaks {name}"))
-    for name, bad in (("minimum", lambda n: number < n), ("maximum", lambda n: number > n)):
-        if name in rule:
-            out.append(say(is_number & bad(rule[name]), f"breaks {name}"))
-    if "type" in rule.get("items", {}):
-        names = {"string": "string", "number": "double", "integer": "bigint", "boolean": "boolean"}
-        elements = F.try_variant_get(doc, path, "array<variant>")
-        if rule["items"]["type"] in names:
-            out.append(say(F.exists(elements, lambda e: F.try_variant_get(e, "$", names[rule["items"]["type"]]).isNull()), f"has items that are no {rule['items']['type']}"))
+        out.append(say(is_text & ~text.rlike(rule["pattern"]), "does not fit the pattern"))
+    if rule.get("format") in FORMATS:
+        out.append(say(is_text & ~text.rlike(FORMATS[rule["format"]]), f"is no {rule['format']}"))
+    elements = F.try_variant_get(doc, path, "array<variant>")
+    limits = {
+        "minLength": lambda n: is_text & (F.length(text) < n),
+        "maxLength": lambda n: is_text & (F.length(text) > n),
+        "minimum": lambda n: is_number & (number < n),
+        "maximum": lambda n: is_number & (number > n),
+        "exclusiveMinimum": lambda n: is_number & (number <= n),
+        "exclusiveMaximum": lambda n: is_number & (number >= n),
+        "multipleOf": lambda n: is_number & (number / n != F.round(number / n)),
+        "minItems": lambda n: is_array & (F.size(elements) < n),
+        "maxItems": lambda n: is_array & (F.size(elements) > n),
+    }
+    out += [say(bad(rule[name]), f"breaks {name}") for name, bad in limits.items() if name in rule]
+    if rule.get("uniqueItems"):
+        out.append(say(F.size(F.array_distinct(F.transform(elements, lambda x: F.to_json(x)))) < F.size(elements), "has equal items"))
+    if "items" in rule and inner(rule["items"]):
+        out.append(each(elements, rule["items"], f"{shown}[]"))
+    for below in rule.get("allOf", ()):
+        out += inner(below)
+    if "anyOf" in rule:
+        out.append(say(~reduce(lambda a, b: a | b, [fits(r) for r in rule["anyOf"]]), "fits none of the choices"))
+    if "oneOf" in rule:
+        out.append(say(reduce(lambda a, b: a + b, [fits(r).cast("int") for r in rule["oneOf"]]) != 1, "does not fit one of the choices alone"))
+    if "not" in rule:
+        out.append(say(fits(rule["not"]), "fits what it must not"))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from docquery.functions import fields as fx, text as tx
@@ -94,3 +95,41 @@ def test_late_rows_are_counted(spark, tmp_path):
         df = spark.readStream.schema("region string, ts timestamp, rating double").parquet(str(tmp_path / "in"))
         streams.run_available(streams.interval_ratings(df, "1 minute"), str(tmp_path / "out"), str(tmp_path / "state"), on_late=counts.append)
     assert counts == [0, 1]
+
+
+def test_contracts_of_nested_items_choices_and_references(spark):
+    contract = {
+        "type": "object",
+        "definitions": {"tag": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string", "minLength": 2}}}},
+        "properties": {
+            "tags": {"type": "array", "minItems": 1, "uniqueItems": True, "items": {"$ref": "#/definitions/tag"}},
+            "size": {"enum": [1, 2.5, None, True, "1"]},
+            "a.b 'c'": {"type": ["integer", "null"], "multipleOf": 3},
+            "id": {"anyOf": [{"type": "string"}, {"type": "integer", "exclusiveMinimum": 10}]},
+            "one": {"oneOf": [{"minimum": 5}, {"maximum": 7}]},
+            "never": {"not": {"type": "string"}},
+        },
+        "additionalProperties": {"type": "number"},
+    }
+    good = ['{"tags": [{"name": "ab"}, {"name": "cd"}], "size": 2.50, "a.b \'c\'": 9, "id": "x", "one": 4, "never": 1, "other": 0.5}', '{"size": null, "a.b \'c\'": null, "id": 11, "one": 8}', '{"size": true}', "{}", '{"size": "1"}']
+    bad = {
+        '{"tags": [{"name": "ab"}, {"name": "x"}, {}]}': {"$.tags[].name breaks minLength", "$.tags[].name is required"},
+        '{"tags": [3]}': {"$.tags[] is no object"},
+        '{"tags": [{"name": "ab"}, {"name": "ab"}]}': {"$.tags has equal items"},
+        '{"tags": []}': {"$.tags breaks minItems"},
+        '{"size": "2.5"}': {"$.size is none of the values"},
+        '{"size": false}': {"$.size is none of the values"},
+        '{"a.b \'c\'": 4}': {"$.a.b 'c' breaks multipleOf"},
+        '{"a.b \'c\'": "z"}': {"$.a.b 'c' is no integer or null"},
+        '{"id": 10}': {"$.id fits none of the choices"},
+        '{"one": 6}': {"$.one does not fit one of the choices alone"},
+        '{"never": "x"}': {"$.never fits what it must not"},
+        '{"other": "x"}': {"$.* is no number"},
+        "[1]": {"$ is no object"},
+    }
+    docs = spark.createDataFrame([(x,) for x in [*good, *bad]], "t string")
+    found = {r[0]: set(r[1]) for r in docs.select("t", e.contract_errors(F.parse_json("t"), contract)).collect()}
+    assert found == {**dict.fromkeys(good, set()), **bad}
+    assert docs.limit(1).select(e.contract_errors(F.lit(None).cast("variant"), contract)).first()[0] == []
+    with pytest.raises(ValueError):
+        e.contract_errors(F.parse_json("t"), {"definitions": {"n": {"items": {"$ref": "#/definitions/n"}}}, "$ref": "#/definitions/n"})
