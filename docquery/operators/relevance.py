@@ -47,6 +47,15 @@ def match_hashed(hashes: Column, query: list[str], boost: float = 1.0, tokens: C
     return Cond(cond.match, cond.score, some if set(singles) <= set(query) else some & cond.filter)
 
 
+def could_hold(text: Column, wanted: list[str], every: bool = True) -> Column:
+    """Whether raw text can have all, or any, of the words among its tokens without stemming: a filter before analysis.
+
+    Text without such a run of characters, once normalised as analysis does, has no such token.
+    """
+    holds = lambda t: reduce(lambda a, b: a & b if every else a | b, [t.contains(w) for w in wanted])
+    return tx.bound(F.lower(tx.normalised(text)), holds) if wanted else F.lit(True)
+
+
 def words(c: Column) -> Column:
     """Runs of letters and digits of any script, lower case."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")

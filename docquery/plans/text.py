@@ -70,7 +70,8 @@ def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared n-grams of a three-word query."""
     wanted = r.query_tokens(spark, "Reer, ereaes the onor", stem=False)
-    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
+    docs = spread_table(spark, sf_dir, "documents").where(r.could_hold(F.col("text"), [w for w in wanted if " " not in w], every=False))
+    docs = docs.select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
     docs = docs.select("doc_id", "t", tx.gram_hashes(F.col("t")).alias("g"))
     return s.matched(docs, r.match_hashed(F.col("g"), wanted, 1.5, F.col("t"))).select("doc_id", F.round("_score", 8).alias("score"))
 
@@ -94,8 +95,9 @@ def doc_frequency_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def phrase_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T11 without slop: two words next to each other, stop words between them dropped."""
-    docs = spread_table(spark, sf_dir, "documents").select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
-    return s.matched(docs, r.phrase(F.col("t"), r.query_tokens(spark, "attion to thanedble", phrase=True, stem=False))).select("doc_id", F.round("_score", 8).alias("score"))
+    wanted = r.query_tokens(spark, "attion to thanedble", phrase=True, stem=False)
+    docs = spread_table(spark, sf_dir, "documents").where(r.could_hold(F.col("text"), wanted)).select("doc_id", tx.analysed_phrase(F.col("text"), stem=False).alias("t"))
+    return s.matched(docs, r.phrase(F.col("t"), wanted)).select("doc_id", F.round("_score", 8).alias("score"))
 
 
 @query(

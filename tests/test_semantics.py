@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docquery.functions import fields as fx, text as tx
-from docquery.operators import aggregations as a, carbon as c, entities as e, joins, predicates as p, vectors as v
+from docquery.operators import aggregations as a, carbon as c, entities as e, joins, predicates as p, relevance as r, vectors as v
 from docquery.sources import documents as src
 from docquery.streaming import jobs as streams
 
@@ -133,3 +133,13 @@ def test_contracts_of_nested_items_choices_and_references(spark):
     assert docs.limit(1).select(e.contract_errors(F.lit(None).cast("variant"), contract)).first()[0] == []
     with pytest.raises(ValueError):
         e.contract_errors(F.parse_json("t"), {"definitions": {"n": {"items": {"$ref": "#/definitions/n"}}}, "$ref": "#/definitions/n"})
+
+
+def test_filter_before_analysis_loses_no_match(spark):
+    texts = ["At't-Ion THANEDBLE", "at'tion's thaned'ble", "attion", "x at's'tion, thanedble's", "attions thanedble", "", None, "thanedble attion"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.coalesce(tx.analysed_phrase(F.col("t"), stem=False), F.array())
+    for every in (True, False):
+        holds = F.array_contains(words, "attion") & F.array_contains(words, "thanedble") if every else F.arrays_overlap(words, F.array(F.lit("attion"), F.lit("thanedble")))
+        got = df.select(holds.alias("a"), F.coalesce(r.could_hold(F.col("t"), ["attion", "thanedble"], every), F.lit(False)).alias("b")).collect()
+        assert any(x.a for x in got) and all(x.b or not x.a for x in got) and not all(x.b for x in got)
