@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquery.llm import decontamination, html, jaccard, language, negatives, packing, quality, rules, secrets, toxicity, urls
+from docquery.llm import decontamination, html, jaccard, language, negatives, packing, quality, rules, secrets, spelling, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,36 @@ QUALIFY rank <= 5""",
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of other labels that score nearly as much as the first ones of an anchor's label."""
     return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_spelling_variants",
+    """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)),
+per AS (SELECT doc_id, r, count(*) AS c, hex(encode(concat(doc_id, ':', r))) AS b FROM runs WHERE length(r) >= 6 GROUP BY doc_id, r),
+crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), b)) AS t),
+hashed AS (
+  SELECT r, c, xor(4294967295, list_reduce(range(len(b) // 2), lambda h, i: xor(h >> 8, t[xor(h & 255, strpos('0123456789ABCDEF', b[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', b[2 * i + 2]) - 17) + 1]), 4294967295)) AS h
+  FROM per, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN concat(r[1:h % length(r)], r[h % length(r) + 2:]) ELSE r END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+gaps AS (SELECT word, n, length(word) AS k, i, concat(word[1:i - 1], word[i + 1:]) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.k = b.k AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gaps a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gaps a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 5 * v.n THEN best.m END AS form_n,
+    CASE WHEN best.m >= 5 * v.n THEN (SELECT min(other) FROM near x WHERE x.word = v.word AND x.m = best.m) END AS form
+  FROM v LEFT JOIN best USING (word)),
+walk(word, last) AS (SELECT word, word FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.last AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.last AND e.form IS NULL""",
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent ones that they are one edit away from."""
+    return spelling.variants(table(spark, sf_dir, "documents"))

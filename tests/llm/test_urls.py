@@ -143,7 +143,7 @@ def test_sql(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     plain = lambda v: f"{v:.6g}" if isinstance(v, float) else v if isinstance(v, bool) or v is None else str(v)
     found, rel = QUERIES[name](spark, sf), con.sql(ORACLES[name])
