@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docquery.llm import decontamination, html, jaccard, language, negatives, packing, quality, rules, secrets, spelling, toxicity, urls
+from docquery.llm import decontamination, html, jaccard, language, negatives, packing, quality, rules, secrets, spelling, suffixes, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,6 +159,27 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("expected")
 
 
+@query(
+    "op11_suffix_dedup",
+    """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT r, i, md5(b[i:i + 199]) AS w FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+hit AS (SELECT r, i FROM windows WHERE w IN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1)),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+spans AS (SELECT r, min(i) AS a, max(i) + 199 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked) x GROUP BY r, g),
+before AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS y FROM spans),
+cut AS (
+  SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS z, string_agg(CASE WHEN a > y + 1 THEN hex(b[y + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS h
+  FROM before JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN cut.r IS NULL THEN sha256(b) ELSE sha256(unhex(concat(h, CASE WHEN z < octet_length(b) THEN hex(b[z + 1:octet_length(b)]) ELSE '' END))) END AS kept_sha256
+FROM d LEFT JOIN cut USING (r)""",
+)
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that also stand elsewhere."""
+    return suffixes.digested(suffixes.without_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 @query(
     "op12_hard_negatives",
     """
