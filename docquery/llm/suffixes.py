@@ -348,13 +348,16 @@ def repeated(texts: DataFrame, window: int) -> DataFrame:
     wanted = placed.groupBy(F.col("one.t1").alias("t1"), F.col("one.t2").alias("t2")).agg(F.collect_list(F.struct("shard", "a", "s1", "s2", "w", "parts", "one.at", "one.n")).alias("wanted"))
 
     def cut(batches):
+        before = None
         for batch in batches:
-            for text, rows in zip(batch.column(0), batch.column(1), strict=True):
-                text, rows = text.as_py(), rows.as_py()
+            for *name, text, rows in zip(*batch.columns, strict=True):
+                if (name := [x.as_py() for x in name]) == before:
+                    continue  # a copy that another task has handed on: the join brings copies together
+                before, text, rows = name, text.as_py(), rows.as_py()
                 columns = [pa.array([r[c] for r in rows], kind) for c, kind in (("shard", pa.int32()), ("a", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("w", pa.int64()), ("parts", pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([text[r["at"] : r["at"] + r["n"] + window - 1] for r in rows], pa.binary())], ["shard", "a", "s1", "s2", "w", "parts", "piece"])
 
-    pieces = named_once(texts).join(wanted, ["t1", "t2"]).select("t", "wanted").mapInArrow(cut, "shard int, a long, s1 long, s2 long, w long, parts int, piece binary")
+    pieces = named_once(texts).join(wanted, ["t1", "t2"]).select("t1", "t2", "t", "wanted").mapInArrow(cut, "shard int, a long, s1 long, s2 long, w long, parts int, piece binary")
     findings = written(pieces.groupBy("shard").applyInArrow(shard_findings(window), SHARD_ROWS), "findings")
     cells = findings.where("keys is not null").groupBy("a", "cell").applyInArrow(cell_findings, "a long, s1 long, s2 long, offset int")
     across = cells.groupBy("a", "s1", "s2").agg(F.collect_set("offset").alias("froms")).withColumn("tos", F.col("froms"))
