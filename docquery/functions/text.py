@@ -138,6 +138,25 @@ def osa_distance(a: str, b: str) -> int:
     return last[-1]
 
 
+def osa_column(a: Column, b: Column) -> Column:
+    """osa_distance of two short texts as a Column, without Python: rows of the matrix folded over the first text's places."""
+    n, m = F.length(a), F.length(b)
+    at = lambda c, i: F.substr(c, i, F.lit(1))
+
+    def row(held: Column, i: Column) -> Column:
+        def cell(now: Column, j: Column) -> Column:
+            one, two = held["one"], held["two"]
+            swap = F.when((i > 1) & (j > 1) & (at(a, i) == at(b, j - 1)) & (at(a, i - 1) == at(b, j)), F.try_element_at(two, j - 1) + 1)
+            best = F.least(F.element_at(one, j + 1) + 1, F.element_at(now, j) + 1, F.element_at(one, j) + (at(a, i) != at(b, j)).cast("int"), swap)
+            return F.concat(now, F.array(best))
+
+        return F.struct(held["one"].alias("two"), F.aggregate(F.sequence(F.lit(1), m), F.array(i), cell).alias("one"))
+
+    start = F.struct(F.array().cast("array<int>").alias("two"), F.sequence(F.lit(0), m).alias("one"))
+    full = F.aggregate(F.sequence(F.lit(1), n), start, row, lambda held: F.element_at(held["one"], -1))
+    return F.when(n == 0, m).when(m == 0, n).otherwise(full)
+
+
 @F.pandas_udf(T.IntegerType())
 def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     """osa_distance of two text columns; null if either is."""

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from docquery.functions.fields import key_text, numeric, spare
+from docquery.functions.scripts import script
 
 #: Formats of date-histogram keys.
 INTERVALS = {"minute": "yyyy-MM-dd HH:mm", "hour": "yyyy-MM-dd HH", "day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
@@ -90,8 +91,11 @@ def whole(df: DataFrame, *metrics: Column | None) -> DataFrame:
 
 
 def ranges(df: DataFrame, field: str, buckets: list[tuple[str, float, float]], *metrics: Column) -> DataFrame:
-    """(key, from, to) buckets, 0 as an open end; the first that fits counts and empty ones are there with 0 (A2)."""
-    x = F.col(field)
+    """(key, from, to) buckets, 0 as an open end; the first that fits counts and empty ones are there with 0 (A2).
+
+    What is no number, nor the text of one, is in no bucket.
+    """
+    x = numeric(F.col(field))
     which = F.lit(None).cast("int")
     for i, (_, start, end) in reversed(list(enumerate(buckets))):
         which = F.when((x >= start) & (x < end) if end else x >= start, F.lit(i)).otherwise(which)
@@ -115,16 +119,16 @@ def nested(df: DataFrame, array: str, keep: list[str] = ()) -> DataFrame:
 
 
 def nested_metric(df: DataFrame, keys: list[str], array: str, field: str, kind: str, name: str) -> DataFrame:
-    """Sum or average of an array's field over all rows of a group, without exploding them."""
-    values = F.filter(F.transform(F.coalesce(F.col(array), F.array()), lambda x: x[field].cast("double")), lambda v: v.isNotNull())
+    """Sum or average of an array's field over all rows of a group, without exploding them; what is no number is skipped."""
+    values = F.filter(F.transform(F.coalesce(F.col(array), F.array()), lambda x: numeric(x[field])), lambda v: v.isNotNull())
     total, n = F.sum(F.aggregate(values, F.lit(0.0), lambda a, v: a + v)), F.sum(F.size(values))
     out = {"sum": _zero(total), "avg": F.coalesce(F.try_divide(total, n), F.lit(0.0))}[kind]
     return df.groupBy(*keys).agg(out.alias(name))
 
 
 def scripted(code: str, reducer: str, name: str, initial: float = 0.0) -> Column:
-    """Spark SQL per row, folded; rows where it fails, being null, are skipped."""
-    x, start = F.expr(code).cast("double"), F.lit(float(initial))
+    """User code (functions.scripts) per row, folded; rows where it fails or gives no number are skipped."""
+    x, start = numeric(script(code)), F.lit(float(initial))
     made = {
         "sum": start + _zero(F.sum(x)),
         "avg": F.coalesce(F.try_divide(start + F.sum(x), F.count(x)), start),
@@ -136,12 +140,10 @@ def scripted(code: str, reducer: str, name: str, initial: float = 0.0) -> Column
 
 
 def bucket_scripts(buckets: DataFrame, *scripts: tuple[str, str, dict[str, str]]) -> DataFrame:
-    """(name, code, {variable: metric}) over finished buckets, in order, later ones seeing earlier ones; failure is 0."""
+    """(name, code, {variable: metric}) of user code (functions.scripts) over finished buckets, in order, later ones seeing earlier ones; failure is 0."""
     for name, code, paths in scripts:
-        held = buckets.withColumns({v: (F.coalesce(F.col(m).cast("double"), F.lit(0.0)) if m in buckets.columns else F.lit(0.0)) for v, m in paths.items()})
-        made, own = F.coalesce(F.expr(code).cast("double"), F.lit(0.0)), spare("_made", held)
-        others = [c for c in buckets.columns if c != name]
-        buckets = held.withColumn(own, made).select(*others, F.col(own).alias(name))
+        values = {v: (F.coalesce(numeric(F.col(m)), F.lit(0.0)) if m in buckets.columns else F.lit(0.0)) for v, m in paths.items()}
+        buckets = buckets.withColumn(name, F.coalesce(numeric(script(code, values)), F.lit(0.0)))
     return buckets
 
 
@@ -169,8 +171,8 @@ def top_hits(df: DataFrame, keys: list[str], order: list[Column], size: int, sou
 
 
 def facets(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(facet, value, count) of several fields in one pass."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), F.trim(F.col(f).cast("string")).alias("value")) for f in fields])
+    """(facet, value, count) of several fields in one pass; values are trimmed as keys are."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("facet"), key_text(F.col(f).cast("string")).alias("value")) for f in fields])
     return df.select(F.inline(pairs)).where("value is not null").groupBy("facet", "value").agg(F.count("*").alias("count"))
 
 

@@ -47,7 +47,7 @@ def records(lines: DataFrame) -> DataFrame:
     return folded(parsed_lines(lines), ["batch_id"])
 
 
-def folded(parsed: DataFrame, keys: list[str]) -> DataFrame:
+def folded(parsed: DataFrame, keys: list[str | Column]) -> DataFrame:
     """Parsed lines of one key as a record: of each label the last line's value, routed if a region was named."""
     lasts = [F.max_by(n, F.when(F.col(n).isNotNull(), F.col("line_no"))).alias(n) for n in [*TEXTS, *NUMBERS]]
     return parsed.groupBy(*keys).agg(*lasts).withColumns({"routed": F.col("region").isNotNull(), "grid": header_map(F.col("regions"), F.col("intensities"))}).drop("regions", "intensities")

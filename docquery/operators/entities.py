@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from docquery.functions.fields import spare
 from docquery.operators.joins import GRANT_KEYS, with_flag
+from docquery.session import shared_dir
 
 # Attribute kinds.
 NUMBER, TEXT, COMPLEX, FLOAT = 0, 1, 2, 3
@@ -204,9 +205,39 @@ def stamped(df: DataFrame, owner: str, as_of: Column, key: list[str] | None = No
     return df.withColumns({"id": made, "userId": F.lit(owner), "status": F.lit(1), "createdAt": as_of, "entityPermissions": lists})
 
 
+def _ordered(c: Column, kind: T.DataType) -> Column:
+    """The value with the entries of its maps, at any depth, as arrays in the order of their keys: equal maps come out equal."""
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(F.to_json(F.struct(_ordered(e["key"], kind.keyType))).alias("k"), _ordered(e["value"], kind.valueType).alias("v"))), _by_key)
+        return entries
+    if isinstance(kind, T.ArrayType) and _has_map(kind.elementType):
+        return F.transform(c, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.StructType) and _has_map(kind):
+        return F.when(c.isNotNull(), F.struct(*[_ordered(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
+def _by_key(a: Column, b: Column) -> Column:
+    return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return _has_map(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, T.MapType)
+
+
 def row_hash(df: DataFrame, without: list[str] = ()) -> Column:
-    """A hash of all columns by name."""
-    return F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in without)), {"ignoreNullFields": "false"}), 256)
+    """A hash of all columns by name; the order in which a map's entries came does not count."""
+    held = [_ordered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema, key=lambda f: f.name) if f.name not in without]
+    return F.sha2(F.to_json(F.struct(*held), {"ignoreNullFields": "false"}), 256)
+
+
+def latest_of(df: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """One row for each key, that of the largest version, then hash; rows without a key stay as they are."""
+    order = F.struct(*([version] if version else []), row_hash(df))
+    one = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_r")).select("_r.*")
+    return one.unionByName(df.where(F.col(key).isNull()))
 
 
 def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -247,21 +278,30 @@ def read_index(spark: SparkSession, path: str, key: str = "id", schema: T.Struct
         return spark.createDataFrame([], schema)
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that what is read several times is made once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_changed(old: DataFrame, new: DataFrame, key: str, partition: str, path: str, gone: DataFrame | None = None) -> None:
     """Partitions of an index that new, changed, moved or deleted rows touch, written anew; others stay as they are.
 
     The index at path is partitioned by its composite key; a row moves where that changes. gone has keys to delete. Rows
-    without a key or partition are not indexed. Only the keys of the change meet the index, broadcast up to BROADCAST_KEYS,
+    without a key or partition are not indexed, and of rows that repeat a key the one of the largest hash is. Only the keys of the change meet the index, broadcast up to BROADCAST_KEYS,
     and of its rows only touched partitions are read whole. A partition that is left empty holds one row of nulls, which
     read_index leaves out: an overwrite cannot take a folder away. Writing the same change twice changes nothing.
     """
     new = new.where(F.col(key).isNotNull() & F.col(partition).isNotNull() & (F.col(partition) != ""))
+    new = _kept(latest_of(new, key), "new")
+    gone = None if gone is None else _kept(gone, "gone")
     keys = (new.select(key) if gone is None else new.select(key).unionByName(gone.select(key))).distinct()
     small = keys.count() <= BROADCAST_KEYS
     near = F.broadcast if small else lambda d: d
     held = old.join(near(keys), key, "left_semi")
     was, now = held.select(F.col(key), F.col(partition).alias("_was"), row_hash(held).alias("_old")), new.select(F.col(key), F.col(partition).alias("_now"), row_hash(new).alias("_new"))
-    moves = was.join(now, key, "full").where(~F.col("_old").eqNullSafe(F.col("_new")))
+    moves = _kept(was.join(now, key, "full").where(~F.col("_old").eqNullSafe(F.col("_new"))), "moves")
     touched = moves.select(key).distinct()
     parts = moves.select(F.explode(F.array_compact(F.array("_was", "_now"))).alias(partition)).distinct()
     kept = old.join(near(parts), partition, "left_semi").join(near(touched), key, "left_anti")

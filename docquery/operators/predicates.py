@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from docquery.functions.fields import to_date, to_number
+from docquery.functions.scripts import script
 
 
 @dataclass(frozen=True)
@@ -93,8 +94,8 @@ def missing(c: Column) -> Cond:
 
 
 def expression(code: str) -> Cond:
-    """User code in Spark SQL that must be true; null and text that is not true are false."""
-    return Cond.of(F.lower(F.expr(code).cast("string")) == "true")
+    """User code that must be true, as a value or a text; all else is false, also what fails in a row (F10): see functions.scripts."""
+    return Cond.of(F.lower(F.regexp_replace(script(code).cast("string"), r"[\"'\\\\]", "")) == "true")
 
 
 def flag(match: Column) -> Cond:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docquery.functions import text as tx
+from docquery.functions.fields import numeric
+from docquery.functions.scripts import script
 from docquery.operators.predicates import Cond
 
 
@@ -119,13 +121,16 @@ def phrase(tokens: Column, query: list[str], slop: int = 0, fuzz: int = 0, boost
     return Cond.of(used["slop"].isNotNull(), F.greatest(F.lit(1), m - used["slop"] - used["fuzz"]) * length_factor(n) * 2.5 * boost * near)
 
 
-def modified(score: Column, functions: list[tuple[Column, float]], combine: str = "multiply") -> Column:
-    """A score after (value, weight) functions; those that fail, being null, are skipped.
+def modified(score: Column, functions: list[tuple[Column | str, float]], combine: str = "multiply") -> Column:
+    """A score after (value, weight) functions; those that fail or give no number are skipped.
+
+    A text is user code (functions.scripts), which fails without failing the job; a Column is taken as it is.
 
     multiply: times the product, of which a running 0 gives way to the next value. sum: plus 1 and the values. replace:
     the last value, 1 if all failed. Anything else is like multiply.
     """
-    values = [F.when(v.isNotNull() & ~F.isnan(v.cast("double")), v.cast("double") * w) for v, w in functions]
+    numbers = [(numeric(script(v) if isinstance(v, str) else v), w) for v, w in functions]
+    values = [F.when(v.isNotNull() & ~F.isnan(v), v * w) for v, w in numbers]
     if combine == "sum":
         return score + 1 + reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values], F.lit(0.0))
     if combine == "replace":

@@ -45,9 +45,13 @@ def distance(metric: str, a: Column, b: Column) -> Column:
 
 
 def nearest(df: DataFrame, key: str, vector: str, query: list[float], k: int, metric: str = "euclidean") -> DataFrame:
-    """The k rows nearest to one query, ties by key (V4): a top-k, with no sort of all rows."""
+    """The k rows nearest to one query, ties by key (V4): a top-k, with no sort of all rows.
+
+    Rows whose vector is null, has a null in it or another length than the query's take no part.
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    return df.select(key, distance(metric, F.col(vector), q).alias("distance")).orderBy("distance", key).limit(k)
+    sound = F.col(vector).isNotNull() & (F.size(vector) == len(query)) & ~F.exists(vector, lambda x: x.isNull())
+    return df.where(sound).select(key, distance(metric, F.col(vector), q).alias("distance")).orderBy("distance", key).limit(k)
 
 
 def nearest_of_each(df: DataFrame, queries: DataFrame, key: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.operators import aggregations as a, predicates as p, search as s, vectors as v
+from docquery.operators.predicates import expression
+from docquery.operators.relevance import modified
 from docquery.plans.registry import query, table
 from docquery.plans.search import order_documents
 
@@ -271,3 +273,52 @@ def case_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     rows = table(spark, sf_dir, "orders")
     return rows.where(p.one_of(*[p.all_of(p.flag(part == i), c) for i, c in enumerate(cases)]).filter).select("o_orderkey")
+
+
+_MESSY = "CASE WHEN l_linenumber % 4 = 0 THEN 'n/a' ELSE CAST(l_quantity AS VARCHAR) END AS a, l_linenumber % 3 AS b"
+
+
+def _messy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a text field that is a number or none, and one that is 0 in every third line."""
+    text = F.when(F.col("l_linenumber") % 4 == 0, "n/a").otherwise(F.col("l_quantity").cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", text.alias("a"), (F.col("l_linenumber") % 3).alias("b"))
+
+
+@query(
+    "faulty_scripts",
+    f"""WITH m AS (SELECT l_returnflag, TRY_CAST(a AS DOUBLE) / nullif(b, 0) AS r, b, TRY_CAST(a AS DOUBLE) AS x FROM (SELECT l_returnflag, {_MESSY} FROM lineitem) y)
+       SELECT l_returnflag, count(*) AS count, count(*) FILTER (r > 10 OR l_returnflag = 'N') AS n_match, round(10 + sum(r), 4) AS total, round((10 + sum(r)) / count(r), 8) AS mean, round(min(r), 8) AS low, CAST(count(r) AS DOUBLE) AS n,
+         CAST(0 AS DOUBLE) AS nothing, round(count(*) / (10 + sum(r)), 8) AS share, round(sum(3 + coalesce(r, 0) * 0.5 + CASE WHEN b = 2 THEN 7 ELSE 0 END + coalesce(x, 0)), 2) AS score
+       FROM m GROUP BY l_returnflag""",
+)
+def faulty_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User code that fails in some rows, in conditions, scores, metrics and over buckets."""
+    cond = expression("a / b > 10 OR levenshtein(l_returnflag, 'N') = 0")
+    score = modified(F.lit(2.0), [("a / b", 0.5), ("7 + log(b - 1)", 1.0), ("a", 1.0), ("sqrt(0 - 1)", 3.0)], "sum")
+    rows = _messy_lines(spark, sf_dir).withColumns({"hit": cond.match.cast("int"), "score": score})
+    code = "a / b"
+    made = a.terms(rows, ["l_returnflag"], F.sum("hit").alias("n_match"), a.scripted(code, "sum", "total", 10), a.scripted(code, "avg", "mean", 10), a.scripted(code, "min", "low"), a.scripted(code, "count", "n"), F.sum("score").alias("score"))
+    out = a.bucket_scripts(made, ("nothing", "n / (m - m)", {"n": "count", "m": "count"}), ("share", "n / t + gone", {"n": "count", "t": "total", "gone": "none"}))
+    return out.withColumns({c: F.round(c, d) for c, d in (("total", 4), ("mean", 8), ("low", 8), ("share", 8), ("score", 2))})
+
+
+@query(
+    "messy_buckets",
+    f"""WITH m AS (SELECT l_orderkey, {_MESSY} FROM lineitem), x AS (SELECT *, TRY_CAST(a AS DOUBLE) AS v FROM m)
+       SELECT 'range' AS kind, key, count(v) AS count, CAST(coalesce(round(sum(v), 4), 0) AS DOUBLE) AS total FROM (VALUES ('low', 0, 10), ('high', 10, 1e18), ('none', -5, -1)) k(key, f, t) LEFT JOIN x ON v >= f AND v < t GROUP BY key
+       UNION ALL SELECT 'facet', CAST(b AS VARCHAR), count(*), 0 FROM x GROUP BY b
+       UNION ALL SELECT 'nested', CAST(l_orderkey % 10 AS VARCHAR), 0, coalesce(round(sum(v), 4), 0) FROM x GROUP BY l_orderkey % 10""",
+)
+def messy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that is no number, and values with any white space at their ends."""
+    rows = _messy_lines(spark, sf_dir)
+    ranges = a.ranges(rows, "a", [("low", 0, 10), ("high", 10, 0), ("none", -5, -1)], a.metric("sum", "a", "total"))
+    padded = rows.select(F.concat(F.element_at(F.array(F.lit(""), F.lit(" "), F.lit("\t"), F.lit("\n ")), (F.col("l_orderkey") % 4 + 1).cast("int")), F.col("b").cast("string"), F.lit("\t")).alias("b"))
+    held = rows.groupBy("l_orderkey").agg(F.collect_list(F.struct("a")).alias("lines")).withColumn("bucket", (F.col("l_orderkey") % 10).cast("string"))
+    nested = a.nested_metric(held, ["bucket"], "lines", "a", "sum", "total")
+    parts = [
+        ranges.select(F.lit("range").alias("kind"), "key", "count", "total"),
+        a.facets(padded, ["b"]).select(F.lit("facet").alias("kind"), F.col("value").alias("key"), "count", F.lit(0.0).alias("total")),
+        nested.select(F.lit("nested").alias("kind"), F.col("bucket").alias("key"), F.lit(0).cast("long").alias("count"), "total"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("total", F.round("total", 4))

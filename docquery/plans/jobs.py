@@ -9,7 +9,7 @@ from docquery.operators import carbon as c, entities as e, joins, predicates as
 from docquery.operators.search import Hooks
 from docquery.plans.registry import query, table
 from docquery.session import shared_dir
-from docquery.sources import documents as src
+from docquery.sources import documents as src, snapshots as sn
 from docquery.streaming import jobs as streams
 
 #: Regions and intensities that the rendered usage lines carry.
@@ -259,11 +259,13 @@ def stamped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "status", F.col("entityPermissions.writeUserIds")[0].alias("owner"), "id")
 
 
-def streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A table as a file stream: written once in order of time, and read as files."""
+def streamed(spark: SparkSession, *parts: DataFrame, files: int = 8) -> DataFrame:
+    """Tables as a file stream: written one after the other, and read as files, at most so many in a micro-batch."""
     path = f"{shared_dir(spark)}/source"
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    for df in parts:
+        df.write.mode("append").parquet(path)
+    reader = spark.readStream.schema(parts[0].schema)
+    return (reader.option("maxFilesPerTrigger", files) if len(parts) > 1 else reader).parquet(path)
 
 
 @query(
@@ -275,11 +277,15 @@ def streamed(spark: SparkSession, df: DataFrame) -> DataFrame:
 def stream_carbon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lines as a stream, those of a call folded, to one row for each call and region.
 
-    A call is over when a later line comes: the last one's is an empty line a day later.
+    A call's second line comes up to four minutes after its first, or before it for every third call, and in another
+    micro-batch. A call is over when a later line comes: the last one's is an empty line after the watermark's delay.
     """
     place, lines = shared_dir(spark), usage_lines(spark, sf_dir)
-    last = lines.agg(F.lit(-1).cast("long").alias("batch_id"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(0).alias("line_no"), F.lit("REPORT").alias("message"))
-    out = streams.run_available(streams.carbon_records(streamed(spark, lines.unionByName(last)), "0 seconds"), f"{place}/out", f"{place}/state")
+    apart = F.when(F.col("batch_id") % 3 == 0, -1).otherwise(1) * (F.col("batch_id") % 5) * 60 * F.col("line_no")
+    lines = lines.withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1_000_000 + apart))
+    last = lines.agg(F.lit(-1).cast("long").alias("batch_id"), (F.max("ts") + F.expr("interval 32 days")).alias("ts"), F.lit(0).alias("line_no"), F.lit("REPORT").alias("message"))
+    parts = lines.where("line_no = 0"), lines.where("line_no > 0"), last
+    out = streams.run_available(streams.carbon_records(streamed(spark, *parts), "31 days"), f"{place}/out", f"{place}/state")
     return out.select("request_id", "region", "called", F.round("electricity", 10).alias("electricity"), F.round("carbon", 8).alias("carbon"))
 
 
@@ -324,6 +330,28 @@ def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.read_index(spark, f"{place}/index").select("id", F.col("composite_key").cast("string").alias("composite_key"))
 
 
+@query(
+    "stream_versions",
+    """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 14 = 0 THEN 'back' WHEN o_orderkey % 3 = 0 THEN 'late' ELSE o_orderstatus END AS composite_key,
+         CASE WHEN o_orderkey % 14 = 0 THEN 6 WHEN o_orderkey % 3 = 0 THEN 4 ELSE 3 END AS version FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 14 = 0""",
+)
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a key twice in a batch, late, deleted, too late for that, and brought back."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("composite_key"), F.lit(0).alias("version"), F.lit(False).alias("deleted"))
+    put = lambda at, place=None, gone=False: rows.withColumns({"version": F.lit(at), "composite_key": F.lit(place) if place else F.col("composite_key"), "deleted": F.lit(gone)})
+    batches = [
+        put(3).unionByName(put(1, "old")),
+        put(4, "late").where("id % 3 = 0").unionByName(put(2, "older")).unionByName(put(5, gone=True).where("id % 7 = 0")),
+        put(4, "too late").where("id % 7 = 0").unionByName(put(6, "back").where("id % 14 = 0")),
+    ]
+    place = shared_dir(spark)
+    index = sn.SnapshotIndex(f"{place}/index", version="version")
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{place}/in")
+        streams.snapshot_changes(spark.readStream.schema(rows.schema).parquet(f"{place}/in"), index, f"{place}/state", deleted="deleted")
+    return sn.read(spark, index).select("id", "composite_key", "version")
+
+
 @query("recent_events", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20 11:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00' AND event_type IN ('signup', 'view')")
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Within the hour before a given time."""

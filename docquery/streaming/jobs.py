@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.operators.carbon import actual_and_others, folded, parsed_lines
-from docquery.operators.entities import read_index, write_changed
+from docquery.operators.entities import latest_of, read_index, write_changed
+from docquery.sources import snapshots
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", on_late: Callable[[int], None] | None = None) -> DataFrame:
@@ -22,14 +23,17 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def carbon_records(lines: DataFrame, late: str = "10 minutes") -> DataFrame:
+def carbon_records(lines: DataFrame, late: str = "10 minutes", apart: str = "10 minutes") -> DataFrame:
     """Usage lines (ts, batch_id, line_no, message) as one carbon record for each batch and region.
 
-    The lines of one batch, which came at one time, are folded as records() folds them, once that time is over; a line
-    that comes again changes nothing before, and is dropped after.
+    The lines of one batch are folded as records() folds them, in whatever order and micro-batches they come, as long as
+    none is further than apart from the next one in time: a session window of the batch is the state, one row for each,
+    which ends apart after its last line and is given out once the watermark has passed that. A line that comes again
+    changes nothing before, and is dropped after. ts is the first line's time.
     """
     parsed = parsed_lines(lines.withWatermark("ts", late), ("ts", "batch_id", "line_no"))
-    return actual_and_others(folded(parsed, ["ts", "batch_id"]))
+    made = folded(parsed, [F.session_window("ts", apart).alias("session"), "batch_id"])
+    return actual_and_others(made.withColumn("ts", F.col("session.start")).drop("session"))
 
 
 def interval_ratings(readings: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -52,17 +56,32 @@ def delivered(messages: DataFrame, connections: DataFrame, late: str = "5 minute
     return ends.join(live, near).select("id", "user", "conn_id", "created", "ts")
 
 
-def index_changes(changed: DataFrame, path: str, checkpoint: str, key: str, partition: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, deleted: str | None = None) -> None:
-    """A change stream into an index, one upsert for each micro-batch (R5). Of one batch the last row of a key should be alone.
+def index_changes(changed: DataFrame, path: str, checkpoint: str, key: str, partition: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, deleted: str | None = None, version: str | None = None) -> None:
+    """A change stream into an index, one upsert for each micro-batch.
 
-    Rows in which the column deleted is true take their key out of the index; the column itself is not indexed.
+    Of one batch's rows of a key the one of the largest version counts; without a version column that of the largest hash.
+    Rows in which the column deleted is true take their key out of the index; the column itself is not indexed. Versions of
+    different batches are not compared, and readers may see half a write: snapshot_changes does better.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
+        batch = latest_of(batch, key, version)
         gone = batch.where(F.col(deleted)).select(key) if deleted else None
         new = prepare(batch.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted) if deleted else batch)
         old = read_index(spark, path, key, new.schema).select(*new.columns)
         write_changed(old, new, key, partition, path, gone)
 
     changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def snapshot_changes(changed: DataFrame, index: snapshots.SnapshotIndex, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x, deleted: str | None = None) -> None:
+    """A change stream into an index with snapshots, one for each micro-batch that changes anything.
+
+    Versions are merged over all batches, so that a late one changes nothing, and a batch that comes again is known.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        snapshots.commit(batch.sparkSession, index, prepare(batch), deleted, checkpoint, number)
+
+    changed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
