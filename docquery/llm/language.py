@@ -17,7 +17,7 @@ WIDTH, GRAM = 512, 3
 BITS = 21
 #: Documents that the profiles are learned from at most.
 SAMPLE_ROWS = 6000
-#: N-grams whose vectors are made at once.
+#: N-grams of texts whose vectors are made at once.
 AT_ONCE = 4096
 
 #: Code points below this limit that are letters, as themselves, others 0.
@@ -101,19 +101,23 @@ def identify(documents: DataFrame, model, text: str = "text", keep: list[str] |
 
     def factory():
         def work(texts):
-            codes = [grams(t) for t in texts]
-            distinct, at = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_inverse=True)
-            owner = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
+            codes = [np.unique(grams(t), return_counts=True) for t in texts]
             total = np.zeros((len(texts), WIDTH), np.float32)
-            times = np.bincount(owner * max(len(distinct), 1) + at, minlength=len(texts) * len(distinct)).reshape(len(texts), -1) if len(distinct) else None
-            for i in range(0, len(distinct), AT_ONCE):
-                total += times[:, i : i + AT_ONCE].astype(np.float32) @ vectors(distinct[i : i + AT_ONCE]).astype(np.float32)
+            code, times = (np.concatenate([c[i] for c in codes]) if codes else np.zeros(0, np.int64) for i in (0, 1))
+            owner = np.repeat(np.arange(len(texts)), [len(c) for c, _ in codes])
+            # Slices of (text, n-gram) counts, so that memory does not grow with the texts times the n-grams that differ.
+            for i in range(0, len(code), AT_ONCE):
+                distinct, at = np.unique(code[i : i + AT_ONCE], return_inverse=True)
+                of, row = np.unique(owner[i : i + AT_ONCE], return_inverse=True)
+                weights = np.zeros((len(of), len(distinct)), np.float32)
+                weights[row, at] = times[i : i + AT_ONCE]
+                total[of] += weights @ vectors(distinct).astype(np.float32)
             size = np.linalg.norm(total, axis=1)
             if not names:
                 return [unknown] * len(texts), [0.0] * len(texts)
             cosine = total @ profiles.T / np.maximum(size, 1e-9)[:, None]
             best = cosine.argmax(axis=1)
-            some = [len(c) > 0 for c in codes]
+            some = [len(c) > 0 for c, _ in codes]
             return [names[b] if s else unknown for b, s in zip(best, some, strict=True)], [min(1.0, max(0.0, float(cosine[i, b]))) if some[i] else 0.0 for i, b in enumerate(best)]
 
         return work

@@ -156,11 +156,9 @@ def test_cosines_are_brute_force(spark, tables):
         assert not text.strip() or abs(r.score - max(0, cosine.max())) < 1e-4 and r.lang_pred == names[int(cosine.argmax())]
 
 
-def test_toxicity_finds_nine_of_ten():
+def test_toxicity_finds_nine_of_ten(spark, sf):
     """Held-out recall at 0.7 on the largest table; no clean text of it is called toxic."""
-    from docquery.session import local_session
-
-    spark, sf = local_session(), "/root/testdata/sf0.1"
+    sf = sf.replace("sf0.001", "sf0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     _, both = held_out(toxicity.judged(spark.read.parquet(f"{sf}/documents.parquet"), labels), labels, "toxic")
     assert (both[both.toxic == 1].predicted == 1).mean() >= 0.9
@@ -181,3 +179,28 @@ def test_equally_heavy_entries_are_stable(spark):
     model = ({" ab": 1.0, " abc ": 1.0, " abcd": 1.0}, (), 100, 1.0, 0.0)
     got = toxicity.score(documents(spark, ["abc abcd ab"] * 20), model).collect()
     assert {tuple(r.hits) for r in got} == {("ab", "ab", "ab")}
+
+
+def test_many_short_texts_of_a_large_script(spark):
+    """10,000 texts of 34 of 20,000 letters: their table of texts and n-grams would take about 27 GB."""
+    import random
+    import resource
+
+    rng = random.Random(5)
+    texts = ["".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(34)) for _ in range(10_000)]
+    names, profiles = ["x", "y"], np.array([language.vectors(language.grams(t.encode())).sum(0) for t in texts[:2]], np.float32)
+    model = names, profiles / np.linalg.norm(profiles, axis=1, keepdims=True)
+    held = {}
+
+    def stub(df, text, keep, factory, outputs):
+        held["work"] = factory()
+
+    real, language.annotate = language.annotate, stub
+    try:
+        language.identify(documents(spark, []), model)
+    finally:
+        language.annotate = real
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found, score = held["work"]([t.encode() for t in texts])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    assert found[:2] == ["x", "y"] and min(score[:2]) > 0.999 and len(found) == 10_000
