@@ -36,14 +36,20 @@ PLAIN, ARTICLE, MARKED = 0, 1, 2
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _CHROME = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map"}
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
+_FOREIGN = {"svg", "math"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _STACKED = (_BLOCKS | _CHROME) - {"p", "li", "dt", "dd", "hr", "tr", "td", "th", "option", "optgroup", "h1", "h2", "h3", "h4", "h5", "h6", "html"}
 _WORDS = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup popover promo promotion related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar"}
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)(?:>|\Z)|</(?=\Z)|<(?=\Z)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
+_SITE_NAMES = (["site", "header"], ["global", "header"], ["siteheader"])
+# Elements whose start tag ends open ones of the given names, looked for up to an element that holds them apart.
+_ITEMS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+_ITEMS |= {"tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+_ITEMS |= {t: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")}
 # What a name may have beside such words and still be one of them.
 _BESIDE = set("area bar block body bottom box btn button container content copy fixed float group header holder icon id inner item items large left link links list main middle mobile module outer overlay page panel post right row section site slot small sticky text title top unit wrap wrapper zone".split())
 
@@ -51,6 +57,8 @@ _BESIDE = set("area bar block body bottom box btn button container content copy
 def _names_chrome(name: str) -> bool:
     """Whether a class or id says so as a whole: one of its words does, and all others may stand beside it."""
     words = [w.lower() for w in _PARTS.split(name) if w]
+    if words in _SITE_NAMES:
+        return True
     return any(w in _WORDS for w in words) and all(w in _WORDS or w in _BESIDE for w in words)
 
 
@@ -59,7 +67,7 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
         return True
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" and m[2] is None or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
             return True
         if name in ("class", "id") and tag not in ("body", "html", "article", "main") and any(map(_names_chrome, value.split())):
             return True
@@ -81,6 +89,24 @@ def shown(html: str) -> list[tuple[str, int]]:
                 out.append((found, MARKED if chrome else ARTICLE if article else PLAIN))
             text.clear()
 
+    def close_from(i):
+        nonlocal chrome, article
+        end()
+        for name, hides in stack[i:]:
+            chrome -= hides
+            article -= name in ("article", "main")
+        del stack[i:]
+
+    def imply(tag):
+        """Ends what a start tag ends unsaid: an open paragraph, before a block, and the item or cell before this one."""
+        ends, apart = _ITEMS.get(tag, (set(), set()))
+        for i in range(len(stack) - 1, -1, -1):
+            name = stack[i][0]
+            if name in ends or name == "p":
+                close_from(i)
+            elif name in apart or not ends and name in _STACKED or name in ("article", "main", "table") and name not in ends:
+                return
+
     while at < n:
         m = _MARKUP.search(html, at)
         if m is None:
@@ -98,18 +124,18 @@ def shown(html: str) -> list[tuple[str, int]]:
             continue
         if tag == "br":
             text.append(" ")
-        if tag in _BLOCKS:
+        if tag in _BLOCKS or tag in _ITEMS:
             end()
+            if not closing:
+                imply(tag)
+        if m[3].endswith("/") and (tag in _FOREIGN or any(name in _FOREIGN for name, _ in stack)):
+            continue  # only there does a slash end an element
         if tag in _VOID or tag not in _STACKED and not _is_chrome(tag, m[3], article > 0) and not closing:
             continue
         if closing:
             at_stack = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if at_stack is not None:
-                end()
-                for name, hides in stack[at_stack:]:
-                    chrome -= hides
-                    article -= name in ("article", "main")
-                del stack[at_stack:]
+                close_from(at_stack)
         else:
             hides = _is_chrome(tag, m[3], article > 0)
             if hides:
@@ -229,8 +255,8 @@ def unique_runs(pages: list[list[tuple[str, int]]], common: np.ndarray | None =
     """Text and number of removed tokens of each page of one host, from its blocks.
 
     Runs outside articles that enough distinct pages share go; where the pages are only a part of a host's, those of the
-    given hashes. Then an article's page keeps its article, and plain text too if it has more of that than of article:
-    there the article is a teaser. Another page keeps its plain text. Marked text goes, whether repeated or not.
+    given hashes. Then a page with an article keeps that, another one its plain text. Marked text goes, whether repeated
+    or not.
     """
     streams = Streams(pages)
     if common is None:
@@ -253,8 +279,8 @@ def unique_runs(pages: list[list[tuple[str, int]]], common: np.ndarray | None =
                     text = " ".join(w for w, g in zip(words, here, strict=True) if not g)
             if text and kind != MARKED:
                 left.append((text, kind))
-        size = [sum(len(t) for t, k in left if k == kind) for kind in (PLAIN, ARTICLE)]
-        out.append(("\n".join(t for t, k in left if k == ARTICLE or size[0] > size[1]), removed))
+        named = any(k == ARTICLE for _, k in left)
+        out.append(("\n".join(t for t, k in left if k == ARTICLE or not named), removed))
     return out
 
 
