@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 
@@ -13,6 +14,9 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bytes hashed at once; the cut is at white space, so that no word is split.
 SEGMENT = 1 << 21
 
+#: Bytes of a word up to which its hash is a polynomial.
+SHORT = 32
+
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -39,13 +43,20 @@ def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; equal bytes give equal hashes wherever they are."""
+    """A hash of the bytes of each span; equal bytes give equal hashes wherever they are.
+
+    Spans of up to SHORT bytes go by a polynomial modulo 2**64, which long ones can be made to fool (the Thue-Morse word of
+    1,024 bytes and its complement come out equal for any base); those go by a cryptographic hash.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
     up, down = _up_to(len(a) + 1)
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    found = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > SHORT).tolist():
+        found[i] = int.from_bytes(blake2b(a[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return found
 
 
 @dataclass

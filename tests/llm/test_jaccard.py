@@ -3,7 +3,7 @@ import re
 
 from hypothesis import given, settings, strategies as st
 
-from docquery.llm import jaccard as j
+from docquery.llm import jaccard as j, textkernels as kernels
 from tests.llm.helpers import AWKWARD, documents
 
 
@@ -106,3 +106,13 @@ def test_connected_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (200, 200)], "u long, v long")
     got = {tuple(r) for r in j.connected(edges).collect()}
     assert got == {(i, 0) for i in range(1, n + 1)} | {(101, 100)}
+
+
+def test_long_words_do_not_collide(spark):
+    """The Thue-Morse word and its complement have equal polynomials modulo 2**64, whatever the base."""
+    for size in (1024, 2048, 4096, 8192):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        other = one.translate(str.maketrans("ab", "ba"))
+        assert len(set(kernels.words([f"{one} {other}".encode()]).hash.tolist())) == 2
+    rows = [f"{w} and some words that both texts share here" for w in (one, other)]
+    assert [r.component_id for r in j.components(documents(spark, rows), num=80, den=100).orderBy("doc_id").collect()] == [0, 1]
