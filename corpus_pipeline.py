@@ -20,12 +20,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that links connect (five words, 0.8 or more), the row of the least doc_id.
 
-    Of rows that repeat this doc_id one stays, the first by its text; rows without a doc_id link with nothing and stay.
+    Rows that repeat a doc_id with different texts are documents of their own, which link or do not; of rows that repeat
+    both one stays. Rows without a doc_id link with nothing and stay.
     """
-    classes = jaccard.components(docs, size=5, num=80, den=100).select(F.col("doc_id").alias(_ID), "component_id").where(F.col(_ID) == F.col("component_id")).select(_ID).distinct()
-    kept = docs.join(classes, quoted("doc_id") == F.col(_ID)).select(*[quoted(c).alias(c) for c in docs.columns])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")]))
-    kept = kept.withColumn(_SCORE, first).where(F.col(_SCORE) == 1).drop(_SCORE)
+    row = F.when(quoted("doc_id").isNotNull(), F.struct(quoted("doc_id").alias("doc_id"), F.unhex(F.md5(F.coalesce(quoted("text"), F.lit("")).cast("binary"))).alias("text")))
+    classes = jaccard.components(docs.select(row.alias(_ID), "text"), key=_ID, size=5, num=80, den=100).where(F.col(_ID) == F.col("component_id")).select(_ID).distinct()
+    kept = docs.withColumn(_ID, row).join(classes, _ID)
+    first = F.row_number().over(Window.partitionBy(_ID).orderBy(*[c for c in docs.columns if c != "text"]))
+    kept = kept.withColumn(_SCORE, first).where(F.col(_SCORE) == 1).select(*[quoted(c) for c in docs.columns])
     return kept.unionByName(docs.where(quoted("doc_id").isNull()))
 
 
