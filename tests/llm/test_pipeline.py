@@ -50,3 +50,11 @@ def test_awkward_rows(spark, sf):
         if name == "ngram_jaccard_join":
             assert sorted(ids(out.where("doc_id is not null"))) == [0, 1, 2, 3, 4, 5, 7, 8] and out.where("doc_id is null").count() == 2
         out.count()
+
+
+def test_rows_of_one_id_with_other_texts_stay(spark, sf):
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(7, "alpha beta gamma delta epsilon zeta"), (7, near), (7, near), (8, near + " more"), (7, near + " more"), (9, "quite another text with words of its own")]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    out = sorted((r.doc_id, r.text) for r in dict(cp.STAGES)["ngram_jaccard_join"](spark, docs, sf).collect())
+    assert len(out) == 3 and out[0] == rows[0] and out[2] == rows[5] and out[1][0] == 7 and out[1][1] in (near, near + " more")
