@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from docquery.functions.fields import spare
 from docquery.operators.joins import GRANT_KEYS, with_flag
-from docquery.session import shared_dir
+from docquery.session import kept
 
 # Attribute kinds.
 NUMBER, TEXT, COMPLEX, FLOAT = 0, 1, 2, 3
@@ -278,13 +278,6 @@ def read_index(spark: SparkSession, path: str, key: str = "id", schema: T.Struct
         return spark.createDataFrame([], schema)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder, so that what is read several times is made once."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def write_changed(old: DataFrame, new: DataFrame, key: str, partition: str, path: str, gone: DataFrame | None = None) -> None:
     """Partitions of an index that new, changed, moved or deleted rows touch, written anew; others stay as they are.
 
@@ -294,14 +287,14 @@ def write_changed(old: DataFrame, new: DataFrame, key: str, partition: str, path
     read_index leaves out: an overwrite cannot take a folder away. Writing the same change twice changes nothing.
     """
     new = new.where(F.col(key).isNotNull() & F.col(partition).isNotNull() & (F.col(partition) != ""))
-    new = _kept(latest_of(new, key), "new")
-    gone = None if gone is None else _kept(gone, "gone")
+    new = kept(latest_of(new, key), "new")
+    gone = None if gone is None else kept(gone, "gone")
     keys = (new.select(key) if gone is None else new.select(key).unionByName(gone.select(key))).distinct()
     small = keys.count() <= BROADCAST_KEYS
     near = F.broadcast if small else lambda d: d
     held = old.join(near(keys), key, "left_semi")
     was, now = held.select(F.col(key), F.col(partition).alias("_was"), row_hash(held).alias("_old")), new.select(F.col(key), F.col(partition).alias("_now"), row_hash(new).alias("_new"))
-    moves = _kept(was.join(now, key, "full").where(~F.col("_old").eqNullSafe(F.col("_new"))), "moves")
+    moves = kept(was.join(now, key, "full").where(~F.col("_old").eqNullSafe(F.col("_new"))), "moves")
     touched = moves.select(key).distinct()
     parts = moves.select(F.explode(F.array_compact(F.array("_was", "_now"))).alias(partition)).distinct()
     kept = old.join(near(parts), partition, "left_semi").join(near(touched), key, "left_anti")

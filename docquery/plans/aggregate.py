@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.operators import aggregations as a, predicates as p, search as s, vectors as v
 from docquery.operators.predicates import expression
+from docquery.operators.ranks import percentiles
 from docquery.operators.relevance import modified
 from docquery.plans.registry import query, table
 from docquery.plans.search import order_documents
@@ -322,3 +323,14 @@ def messy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
         nested.select(F.lit("nested").alias("kind"), F.col("bucket").alias("key"), F.lit(0).cast("long").alias("count"), "total"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "rank_metrics",
+    """SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 6) AS middle, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, round(quantile_cont(l_extendedprice, 0.001), 6) AS low,
+       max(l_extendedprice) AS top FROM lineitem GROUP BY l_returnflag""",
+)
+def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ranks of groups that are no one task's."""
+    out = percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"middle": 50, "p90": 90, "low": 0.1, "top": 100})
+    return out.withColumns({c: F.round(c, 6) for c in ("middle", "p90", "low")})

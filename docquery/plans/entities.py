@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.functions import fields as fx
 from docquery.operators import aggregations as a, carbon as c, entities as e, joins, predicates as p, search as s
+from docquery.operators import trees
 from docquery.plans.registry import query, table
 from docquery.session import shared_dir
 from docquery.sources import documents as src
@@ -146,3 +147,37 @@ def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row with the first match of a small table."""
     lookup = table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
     return joins.first_match(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), lookup, "c_nationkey", "n_name").select("c_custkey", "n_name", "n_regionkey")
+
+
+_CHAIN = "o_orderkey % 9"
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trees of up to nine levels: each level has a leaf and the next level, named by its depth and the order."""
+    depth = (F.col("o_orderkey") % 9).cast("int")
+    opened = F.transform(F.sequence(F.lit(0), depth), lambda i: F.concat(F.lit('{"name": "n'), i.cast("string"), F.lit('", "value": '), (F.col("o_orderkey") % 4 + i).cast("string"), F.lit(', "attributes": [{"name": "leaf'), i.cast("string"), F.lit('", "value": 1}, ')))
+    text = F.concat(F.array_join(opened, ""), F.lit('{"name": "end", "value": "none"}'), F.repeat(F.lit("]}"), depth + 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(text).alias("tree"))
+
+
+@query(
+    "deep_leaves",
+    f"""SELECT o_orderkey, '0' || repeat('.1', CAST(i AS INT)) || '.0' AS path, 'leaf' || CAST(i AS VARCHAR) AS name FROM (SELECT o_orderkey, unnest(range(0, {_CHAIN} + 1)) AS i FROM orders)
+        UNION ALL SELECT o_orderkey, '0' || repeat('.1', CAST({_CHAIN} + 1 AS INT)), 'end' FROM orders""",
+)
+def deep_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 L3: leaves of trees whose depth is in the data, not in the type."""
+    found = trees.leaves(_chains(spark, sf_dir), "o_orderkey", F.col("tree"), "attributes")
+    return found.select("o_orderkey", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"), F.try_variant_get("node", "$.name", "string").alias("name"))
+
+
+@query(
+    "deep_contract",
+    f"""WITH n AS (SELECT o_orderkey, i, o_orderkey % 4 + i AS v FROM (SELECT o_orderkey, unnest(range(0, {_CHAIN} + 1)) AS i FROM orders))
+        SELECT o_orderkey, '0' || repeat('.1', CAST(i AS INT)) AS path FROM n WHERE v > 7
+        UNION ALL SELECT o_orderkey, '0' || repeat('.1', CAST({_CHAIN} + 1 AS INT)) FROM orders""",
+)
+def deep_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A contract that refers to itself, broken at any depth by a number that is too large or is none."""
+    contract = {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "value": {"type": "number", "maximum": 7}}}
+    return trees.tree_errors(_chains(spark, sf_dir), "o_orderkey", F.col("tree"), "attributes", lambda n: e.contract_errors(n, contract)).select("o_orderkey", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))

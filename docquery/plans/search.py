@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.functions import fields as fx, geo
 from docquery.operators import joins, predicates as p, search as s
+from docquery.operators import places
 from docquery.plans.registry import query, table
 
 
@@ -256,3 +257,29 @@ def mixed_text_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = s.order_by(rows, [("k", "asc")], ["event_id"])
     top = s.page(rows, order, limit=500)
     return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+_FAR = "12742 * atan2(sqrt(h), sqrt(1 - h))"
+
+
+@query(
+    "geo_shapes",
+    f"""WITH pts AS (SELECT event_id, {_POINT} FROM events), s AS (SELECT s_suppkey AS k, CAST(s_suppkey * 7 % 140 - 70 AS DOUBLE) AS a, CAST(s_suppkey * 37 % 330 - 165 AS DOUBLE) AS b FROM supplier),
+        met AS (SELECT event_id, k, lat, lon, a, b, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - b) / 2), 2) AS h FROM pts, s)
+        SELECT event_id, 'c' || CAST(k AS VARCHAR) AS shape FROM met WHERE {_FAR} <= 250 + k % 5 * 100 AND lat BETWEEN a - 8 AND a + 8
+        UNION ALL SELECT event_id, 'p' || CAST(k AS VARCHAR) FROM met WHERE abs(lat - a) / 5.3 + abs(lon - b) / 7.7 < 1
+        UNION ALL SELECT event_id, 'l' || CAST(k AS VARCHAR) FROM met WHERE k % 3 = 0 AND {_FAR} <= 333""",
+)
+def geo_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points in a table of circles, polygons and lines; two vertices make no polygon."""
+    k, a, b = F.col("s_suppkey"), (F.col("s_suppkey") * 7 % 140 - 70).cast("double"), (F.col("s_suppkey") * 37 % 330 - 165).cast("double")
+    at = lambda north, east: F.struct((a + north).alias("lat"), (b + east).alias("lon"))
+    shape = lambda letter, kind, points, km: F.struct(F.concat(F.lit(letter), k).alias("shape"), F.lit(kind).alias("kind"), F.array(*points).alias("points"), km.cast("double").alias("km"))
+    made = [
+        shape("c", "circle", [at(0, 0)], 250 + k % 5 * 100),
+        shape("p", "polygon", [at(5.3, 0), at(0, 7.7), at(-5.3, 0), at(0, -7.7)], F.lit(None)),
+        shape("q", "polygon", [at(50, 0), at(0, 90)], F.lit(None)),
+        F.when(k % 3 == 0, shape("l", "line", [at(0, 0), at(3, 4)], F.lit(333))),
+    ]
+    shapes = table(spark, sf_dir, "supplier").select(F.inline(F.array_compact(F.array(*made))))
+    return places.located(_points(spark, sf_dir), "event_id", "lat", "lon", shapes)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.functions import text as tx
-from docquery.operators import relevance as r, search as s
-from docquery.plans.registry import query, spread_table
+from docquery.operators import fuzzy, postings as ix, relevance as r, search as s
+from docquery.plans.registry import ORACLES, query, spread_table
+from docquery.session import shared_dir
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 #: Analysis without stemming, as SQL over documents.
@@ -139,6 +140,56 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.fuzzy_frame(spread_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), "Thanedble", 2)
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> ix.PostingIndex:
+    """An index of all documents, a tenth of which came with other texts at first, beside some that have gone since."""
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(2).alias("version"), F.lit(False).alias("gone"))
+    some = docs.where("doc_id % 10 = 0")
+    stale = some.withColumns({"text": F.concat(F.reverse("text"), F.lit(" reer attion thanedble")), "version": F.lit(1)})
+    lost = some.withColumns({"doc_id": -1 - F.col("doc_id")})
+    index = ix.PostingIndex(shared_dir(spark), version="version", stem=False)
+    ix.update(spark, index, docs.where("doc_id % 10 <> 0").unionByName(stale).unionByName(lost), "gone")
+    ix.update(spark, index, some.unionByName(lost.withColumns({"version": F.lit(3), "gone": F.lit(True)})), "gone")
+    return index
+
+
+@query("indexed_match", ORACLES["match_score"])
+def indexed_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_score from the postings of the query's terms."""
+    wanted = r.query_tokens(spark, "Reer, ereaes the onor", stem=False)
+    return ix.match(spark, _indexed(spark, sf_dir), wanted, 1.5).withColumn("score", F.round("score", 8))
+
+
+@query("indexed_phrase", ORACLES["phrase_exact"])
+def indexed_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phrase_exact from the positions of the query's terms."""
+    wanted = r.query_tokens(spark, "attion to thanedble", phrase=True, stem=False)
+    return ix.phrase(spark, _indexed(spark, sf_dir), wanted).withColumn("score", F.round("score", 8))
+
+
+@query(
+    "indexed_frequency",
+    rf"""WITH {_TOKENS}, d AS (SELECT v.term, greatest(1, (SELECT count(*) FROM toks WHERE list_contains(t, v.term))) AS df FROM (VALUES ('attion'), ('reer'), ('nosuchword')) v(term))
+       SELECT term, df, round(ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)), 8) AS idf FROM d""",
+)
+def indexed_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of a few terms, an unknown one among them."""
+    return ix.document_frequency(spark, _indexed(spark, sf_dir), ["attion", "reer", "nosuchword"]).withColumn("idf", F.round("idf", 8))
+
+
+_FUZZY = ORACLES["fuzzy_match"]
+_VALUES = ("thanedble", "eauxereai", "ciondelos")
+
+
+@query(
+    "fuzzy_values",
+    " UNION ALL ".join(f"SELECT doc_id, '{v}' AS value, fuzzy_score FROM ({_FUZZY.replace('thanedble', v)}) q{i}" for i, v in enumerate(_VALUES)),
+)
+def fuzzy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words within two edits of any of several values, met by what deletions leave of both."""
+    values = spark.createDataFrame([(v,) for v in _VALUES], "v string")
+    return fuzzy.fuzzy_matches(spread_table(spark, sf_dir, "documents"), "doc_id", F.col("text"), values, "v", 2)
+
+
 @query(
     "full_search",
     rf"""WITH {_TOKENS},

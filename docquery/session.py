@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -40,3 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="docquery-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docquery-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that what is read several times is made once."""
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
