@@ -120,7 +120,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op7_url_filter",
     r"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 ruled AS (
@@ -149,10 +149,26 @@ close AS (SELECT leaves.*, n > 0 AND abs(b - n * share) <= 1.96 * sqrt(n * share
 merged AS (SELECT host, sum(n) AS mn, sum(b) AS mb FROM close WHERE alike GROUP BY host),
 prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS p FROM counted),
 judged AS (
-  SELECT host, template, (CASE WHEN alike THEN mb ELSE b END + 4.0::DOUBLE * p) / (CASE WHEN alike THEN mn ELSE n END + 4.0::DOUBLE) AS purity
-  FROM close LEFT JOIN merged USING (host), prior)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
-FROM segs JOIN tree USING (host, s0, s1, s2, s3, s4) JOIN judged USING (host, template)""",
+  SELECT host, template, (CASE WHEN alike THEN mb ELSE b END + 4.0::DOUBLE * p) / (CASE WHEN alike THEN mn ELSE n END + 4.0::DOUBLE) AS purity,
+    CASE WHEN alike THEN mn ELSE n END > 0 AND CASE WHEN alike THEN mb ELSE b END >= 0.6 * CASE WHEN alike THEN mn ELSE n END AS shown
+  FROM close LEFT JOIN merged USING (host), prior),
+ways AS (
+  SELECT host, template, n, b, depth, i, array_to_string(step[1:i], '/') AS node, array_to_string(step[1:i - 1], '/') AS above
+  FROM (SELECT *, len(step) AS depth, unnest(range(0, len(step) + 1)) AS i FROM (SELECT *, list_filter(string_split(template, '/'), lambda x: x <> '') AS step FROM leaves) x) y),
+nodes AS (SELECT host, node, any_value(above) AS above, i, sum(n) AS n, sum(b) AS b FROM ways GROUP BY host, node, i),
+branches AS (SELECT host, above AS node, sum(b / n) AS shares, count(*) AS branches FROM nodes WHERE i > 0 AND n > 0 GROUP BY host, above),
+fair AS (SELECT least(coalesce(avg(share), 0), PRIOR_MOST) AS p FROM hosts WHERE hn > 0),
+walk(host, template, depth, i, m) AS (
+  SELECT host, template, depth, 0::BIGINT, CAST(p AS DOUBLE) FROM ways, fair WHERE i = 0
+  UNION ALL
+  SELECT w.host, w.template, w.depth, w.i + 1, (coalesce(shares, 0) + PRIOR_BRANCHES * m) / (coalesce(branches, 0) + PRIOR_BRANCHES)
+  FROM walk w JOIN ways y ON y.host = w.host AND y.template = w.template AND y.i = w.i LEFT JOIN branches r ON r.host = w.host AND r.node = y.node WHERE w.i < w.depth),
+near AS (SELECT host, template, arg_max(o.b / o.n, o.i) FILTER (o.n > 0) AS near FROM ways JOIN nodes o USING (host, node, i) GROUP BY host, template),
+above AS (
+  SELECT host, template, (b + 4.0::DOUBLE * m) / (n + 4.0::DOUBLE) >= 0.6 AND coalesce(near >= 0.6, false) AS above
+  FROM walk JOIN leaves USING (host, template) JOIN near USING (host, template) WHERE i = depth)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.6 AND shown OR above THEN 'block' ELSE 'allow' END) AS verdict, template, round(purity, 6) AS purity
+FROM segs JOIN tree USING (host, s0, s1, s2, s3, s4) JOIN judged USING (host, template) JOIN above USING (host, template)""".replace("PRIOR_MOST", str(urls.PRIOR_MOST)).replace("PRIOR_BRANCHES", f"{float(urls.PRIOR_BRANCHES)}::DOUBLE"),
 )
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url by rules and by path templates."""

@@ -151,3 +151,16 @@ def test_sql(spark, name):
     assert sorted(found.columns) == columns
     got = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=str)
     assert got == sorted((tuple(plain(r[rel.columns.index(c)]) for c in columns) for r in rel.fetchall()), key=str)
+
+
+def test_sql_has_the_verdict_of_the_operator(spark):
+    """Also where purity alone would block: blocked pages of other hosts make the unlabelled page's purity 0.98."""
+    rows = [f"http://{h}.net/p{i}/{i}" for h in "xyz" for i in range(20)] + ["http://b.org/en/1", "http://example.com/de/1", "http://example.com/new/1", "http://b.org/fr/2", "http://b.org/fr/3/4", None]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    got = {r.page_id: (r.verdict, r.template, r.purity) for r in urls.judge(pages).collect()}
+    assert got[60][0] == "allow" and got[60][2] > 0.9
+    rel = con.sql(ORACLES["op7_url_filter"])
+    at = [rel.columns.index(c) for c in ("page_id", "verdict", "template", "purity")]
+    assert {r[at[0]]: tuple(r[i] for i in at[1:]) for r in rel.fetchall()} == got
