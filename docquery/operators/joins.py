@@ -40,12 +40,17 @@ def first_match(df: DataFrame, lookup: DataFrame, on: str, order: str) -> DataFr
     return df.join(first, on, "left").select(*df.columns, *[F.col(f"{name}.{c}").alias(c) for c in others])
 
 
+#: Rows of one key, both sides together, that one task of an as-of join sorts.
+AS_OF_ROWS = 5_000_000
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], bucket: str | float = "hour") -> DataFrame:
     """Each left row with the values of the last right row of its key at or before its time.
 
-    Rows are dealt by key and bucket of time (a unit of date_trunc, or a width where times are numbers), so that a key of
-    very many rows is no single task: each bucket is sorted once, and what was last before it is carried over from one row
-    a bucket. No pairs are made. Of right rows at one time the greatest values count. A null key or time has no values.
+    Where no key has more than AS_OF_ROWS rows, which is counted first, each key is sorted once. Else rows are dealt by key
+    and bucket of time (a unit of date_trunc, or a width where times are numbers), so that a key of very many rows is no
+    single task: each bucket is sorted once, and what was last before it is carried over from one row a bucket. No pairs are
+    made. Of right rows at one time the greatest values count. A null key or time has no values.
     """
     numbers = isinstance(left.schema[left_time].dataType, T.NumericType)
     width = 1.0 if isinstance(bucket, str) else float(bucket)
@@ -54,13 +59,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     a = left.select(F.col(key).alias("_k"), slot(left_time).alias("_b"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(kind.alias("v")).schema["v"].dataType).alias("_v"))
     known = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull())
     b = known.select(F.col(key).alias("_k"), slot(right_time).alias("_b"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), kind.alias("_v"))
+    by, rows = ["_k"], a.unionByName(b)
+    if (a.select("_k").unionByName(b.select("_k")).groupBy("_k").count().agg(F.max("count")).first()[0] or 0) > AS_OF_ROWS:
+        by, rows = ["_k", "_b"], rows.unionByName(_carried(a, b))
+    last = F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_last", last).where("_side = 1")
+    return rows.select("_row.*", *[F.when(F.col("_t").isNotNull(), F.col(f"_last.{v}")).alias(v) for v in values])
+
+
+def _carried(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each key and bucket of the rows of both sides a right row that was last before it, at its own time."""
     ends = a.select("_k", "_b", F.lit(None).cast(b.schema["_v"].dataType).alias("_v"), F.lit(None).cast(b.schema["_t"].dataType).alias("_t")).unionByName(b.select("_k", "_b", "_v", "_t"))
     ends = ends.groupBy("_k", "_b").agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_t", "_v"))).alias("_end"))
     carried = F.last("_end", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    before = ends.withColumn("_from", carried).where("_from is not null").select("_k", "_b", F.col("_from._t").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col("_from._v").alias("_v"))
-    last = F.last("_v", ignorenulls=True).over(Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = a.unionByName(b).unionByName(before).withColumn("_last", last).where("_side = 1")
-    return rows.select("_row.*", *[F.when(F.col("_t").isNotNull(), F.col(f"_last.{v}")).alias(v) for v in values])
+    return ends.withColumn("_from", carried).where("_from is not null").select("_k", "_b", F.col("_from._t").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col("_from._v").alias("_v"))
 
 
 def counterfactuals(records: DataFrame, intensities: str, region: str) -> DataFrame:
