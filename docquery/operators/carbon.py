@@ -100,18 +100,28 @@ def best_regions(services: DataFrame, calls: DataFrame, grid: DataFrame, default
     0 and less count for nothing.
     """
     offers = services.select(F.col("name").alias("service"), F.explode("regions").alias("r")).select("service", F.col("r.region").alias("region"), F.col("r.paths").alias("paths"))
-    wanted = calls.select("service", "path").distinct().join(offers, "service", "left")
-    serves = (F.size(F.coalesce("paths", F.array().cast("array<string>"))) == 0) | F.exists("paths", lambda p: F.rlike(F.col("path"), glob_regex(p)))
-    ranked = wanted.withColumn("serves", F.coalesce(serves, F.lit(False))).join(grid.where("intensity > 0"), "region", "left")
-    best = F.min(F.when(F.col("serves") & F.col("intensity").isNotNull(), F.struct("intensity", "region")))["region"]
-    return ranked.groupBy("service", "path").agg(F.coalesce(best, F.lit(default)).alias("region"))
+    rated = offers.join(grid.where("intensity > 0"), "region")
+    best = F.min(F.struct("intensity", "region"))
+    wanted = calls.select("service", "path").distinct()
+    # Regions for all paths, and for each glob the best of those that have it: paths never meet the regions themselves.
+    anywhere = rated.where(F.size(F.coalesce("paths", F.array().cast("array<string>"))) == 0).groupBy("service").agg(best.alias("anywhere"))
+    globs = rated.select("service", "region", "intensity", F.explode("paths").alias("glob")).groupBy("service", "glob").agg(best.alias("best"))
+    # A path meets the globs whose literal beginning is its own: an equi-join for each length of a beginning, then the glob.
+    globs = globs.withColumn("head", F.regexp_extract("glob", r"^[^*?]*", 0)).withColumn("length", F.length("head"))
+    lengths = F.array(*[F.lit(r[0]) for r in globs.select("length").distinct().orderBy("length").collect()]).cast("array<int>")
+    heads = wanted.select("service", "path", F.explode(F.filter(lengths, lambda n: n <= F.length("path"))).alias("length")).withColumn("head", F.expr("left(path, length)"))
+    met = heads.join(globs, ["service", "length", "head"]).where(F.rlike(F.col("path"), glob_regex(F.col("glob"))))
+    here = met.groupBy("service", "path").agg(F.min("best").alias("here"))
+    found = wanted.join(here, ["service", "path"], "left").join(anywhere, "service", "left")
+    return found.select("service", "path", F.coalesce(F.least("here", "anywhere")["region"], F.lit(default)).alias("region"))
 
 
 def savings(choices: DataFrame, grid: DataFrame) -> DataFrame:
     """Chosen intensity against the least of the report, and what it says (K7).
 
-    choices: report, region; grid: report, region, intensity.
+    choices: report, region; grid: report, region, intensity. A region that a report has twice counts with its least one.
     """
+    grid = grid.groupBy("report", "region").agg(F.min("intensity").alias("intensity"))
     least = grid.where("intensity > 0").groupBy("report").agg(F.min(F.struct("intensity", "region")).alias("b"))
     out = choices.join(grid, ["report", "region"], "left").join(least, "report", "left")
     gap = F.coalesce("intensity", F.lit(0.0)) - F.coalesce("b.intensity", F.lit(0.0))

@@ -283,3 +283,10 @@ def geo_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     shapes = table(spark, sf_dir, "supplier").select(F.inline(F.array_compact(F.array(*made))))
     return places.located(_points(spark, sf_dir), "event_id", "lat", "lon", shapes)
+
+
+@query("piped_listing", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
+def piped_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each step of a listing gets what the one before it left, and one that gives nothing is skipped."""
+    steps = [lambda d: d.where("o_orderstatus <> 'P'"), lambda d: None, lambda d: d.where("o_totalprice > 100000"), lambda d: s.listed(d, [F.desc("o_totalprice"), F.col("o_orderkey")])]
+    return s.piped(table(spark, sf_dir, "orders"), *steps).select("o_orderkey", "o_orderstatus")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,30 @@ def test_trees_of_any_depth(spark):
     bad = {(x.id, tuple(x.path)) for x in trees.tree_errors(df, "id", F.col("t"), "attributes", lambda n: e.contract_errors(n, contract)).collect()}
     assert bad == {(i, tuple(p)) for i, p, n, _ in want if n[0] not in "nd"}
     assert trees.leaves(df.where("id > 93"), "id", F.col("t"), "attributes").count() == 0
+
+
+def test_best_regions_by_beginnings_of_globs(spark):
+    """Against every glob of every region for every path."""
+    from docquery.operators import carbon as c
+
+    rng = random.Random(6)
+    part = lambda: rng.choice(["a", "b", "ab", "*", "**", "?", "a?", "x.y"])
+    offers = {s: [(f"r{i}", None if rng.random() < 0.1 else ["/" + "/".join(part() for _ in range(rng.randint(0, 3))) for _ in range(rng.randint(0, 3))]) for i in range(6)] for s in "stu"}
+    offers["u"] = [(r, p or ["/zzz"]) for r, p in offers["u"]]
+    rated = {f"r{i}": rng.randint(-2, 20) for i in range(5)}
+    calls = [(s, "/" + "/".join(rng.choice(["a", "b", "ab", "x.y", "xzy", ""]) for _ in range(rng.randint(0, 3)))) for s in "stuv" for _ in range(40)]
+    regex = lambda g: "^" + "".join({"\1": ".*", "*": "[^/]*", "?": "."}.get(x, re.escape(x)) for x in g.replace("**", "\1")) + "$"
+    want = {}
+    for s_, path in calls:
+        fit = [(rated[r_], r_) for r_, ps in offers.get(s_, []) if rated.get(r_, 0) > 0 and (not ps or any(re.match(regex(g), path) for g in ps))]
+        want[s_, path] = min(fit)[1] if fit else "eastus"
+    services = spark.createDataFrame(list(offers.items()), "name string, regions array<struct<region: string, paths: array<string>>>")
+    got = c.best_regions(services, spark.createDataFrame(calls, "service string, path string"), spark.createDataFrame(list(rated.items()), "region string, intensity int"))
+    assert {(x.service, x.path): x.region for x in got.collect()} == want and len(set(want.values())) > 3
+
+
+def test_savings_with_a_region_twice(spark):
+    from docquery.operators import carbon as c
+
+    grid = spark.createDataFrame([(1, "a", 5.0), (1, "a", 4.0), (1, "b", 2.0)], "report int, region string, intensity double")
+    assert [tuple(x)[2:5] for x in c.savings(spark.createDataFrame([(1, "a")], "report int, region string"), grid).collect()] == [(4.0, "b", 2.0)]
