@@ -23,7 +23,7 @@ from docquery.llm.textkernels import mix
 #: Bytes of the strings whose hashes choose anchors, for windows of at least twice as much; smaller windows take half of theirs.
 GRAM = 48
 #: Bytes of text that one call works on, and of stretches that make a shard.
-PIECE, SHARD = 1 << 20, 2 << 20
+PIECE, SHARD = 1 << 19, 1 << 20
 #: Different stretches of one anchor that go to one shard.
 CROWD = 256
 
@@ -337,7 +337,8 @@ def cell_findings(table: pa.Table) -> pa.Table:
 
 def repeated(texts: DataFrame, window: int) -> DataFrame:
     """(t1, t2, spans): of texts with repeated windows, by digest, a set of (at, froms, tos): windows from at + from to at + to."""
-    shared = anchors(texts, window).groupBy("a").count().where("count > 1").select("a")
+    # Written, so that the join is one of two plain shuffles, of which Spark can split an anchor's rows that are very many.
+    shared = written(anchors(texts, window).groupBy("a").count().where("count > 1").select("a"), "shared")
     all_marks = written(marks(texts, window).join(shared, "a", "left_semi"), "marks")
     kinds = written(all_marks.groupBy("a", "s1", "s2").agg(F.count("*").alias("w"), F.min(F.struct("t1", "t2", "at", "n")).alias("one")), "stretches")
     size = kinds.agg(F.sum(F.col("one.n") + window - 1).alias("size")).first()["size"]
