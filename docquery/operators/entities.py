@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -178,7 +179,7 @@ def _broken(doc: Column, rule: dict | bool, path: str, shown: str, root: dict, o
         "maximum": lambda n: is_number & (number > n),
         "exclusiveMinimum": lambda n: is_number & (number <= n),
         "exclusiveMaximum": lambda n: is_number & (number >= n),
-        "multipleOf": lambda n: is_number & (number / n != F.round(number / n)),
+        "multipleOf": lambda n: is_number & F.coalesce(F.try_mod(number.try_cast("decimal(38,12)"), F.lit(Decimal(str(n)))) != 0, number / n != F.round(number / n)),
         "minItems": lambda n: is_array & (F.size(elements) < n),
         "maxItems": lambda n: is_array & (F.size(elements) > n),
     }

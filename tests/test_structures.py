@@ -147,3 +147,8 @@ def test_savings_with_a_region_twice(spark):
 
     grid = spark.createDataFrame([(1, "a", 5.0), (1, "a", 4.0), (1, "b", 2.0)], "report int, region string, intensity double")
     assert [tuple(x)[2:5] for x in c.savings(spark.createDataFrame([(1, "a")], "report int, region string"), grid).collect()] == [(4.0, "b", 2.0)]
+
+
+def test_multiples_of_decimals(spark):
+    docs = spark.createDataFrame([("0.3",), ("0.35",), ("1e30",), ("-0.7",)], "t string").select("t", F.parse_json("t").alias("d"))
+    assert {x.t for x in docs.where(F.size(e.contract_errors(F.col("d"), {"multipleOf": 0.1})) == 0).collect()} == {"0.3", "-0.7", "1e30"}
