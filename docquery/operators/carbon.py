@@ -35,11 +35,24 @@ NUMBERS = {
 }
 
 
+#: All labels of texts, and of numbers, in one pattern each, with the value as the second group. A text's value is only looked at,
+#: as a label can stand where a value is missing.
+_TEXT_LABELS = rf"(?<!\S)({'|'.join(TEXTS.values())})(?=\s+(\S+))"
+_NUMBER_LABELS = rf"({'|'.join(NUMBERS.values())})\s+([0-9.]+)"
+
+
 def parsed_lines(lines: DataFrame, keep: tuple[str, ...] = ("batch_id", "line_no")) -> DataFrame:
-    """Labelled values of each usage line (batch_id, line_no, message); null, the word, is no value (K1)."""
-    value = lambda label: F.nullif(F.nullif(F.regexp_extract("message", rf"(?:^|\s){label}\s+(\S+)", 1), F.lit("")), F.lit("null"))
-    number = lambda label: F.round(F.nullif(F.regexp_extract("message", rf"{label}\s+([0-9.]+)", 1), F.lit("")).try_cast("double")).cast("int")
-    return lines.select(*keep, *[value(x).alias(k) for k, x in TEXTS.items()], *[number(x).alias(k) for k, x in NUMBERS.items()])
+    """Labelled values of each usage line (batch_id, line_no, message), the first of each; null, the word, is no value (K1).
+
+    A line is searched for all labels of a kind at once.
+    """
+    found = {f"_{kind}{group}": F.regexp_extract_all("message", F.lit(pattern), F.lit(group)) for kind, pattern in (("t", _TEXT_LABELS), ("n", _NUMBER_LABELS)) for group in (1, 2)}
+    plain = F.transform("_t1", lambda x: F.regexp_replace(x, r"^X-\w+-", "X-"))
+    rows = lines.select(*keep, *[c.alias(n) for n, c in found.items()]).withColumn("_t1", plain)
+    at = lambda kind, label: F.get(f"_{kind}2", F.array_position(f"_{kind}1", F.lit(label)).cast("int") - 1)
+    value = lambda label: F.nullif(at("t", label.replace(r"X-\w+-", "X-")), F.lit("null"))
+    number = lambda label: F.round(at("n", label.split(r"\b")[-1]).try_cast("double")).cast("int")
+    return rows.select(*keep, *[value(x).alias(k) for k, x in TEXTS.items()], *[number(x).alias(k) for k, x in NUMBERS.items()])
 
 
 def records(lines: DataFrame) -> DataFrame:

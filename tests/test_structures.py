@@ -152,3 +152,15 @@ def test_savings_with_a_region_twice(spark):
 def test_multiples_of_decimals(spark):
     docs = spark.createDataFrame([("0.3",), ("0.35",), ("1e30",), ("-0.7",)], "t string").select("t", F.parse_json("t").alias("d"))
     assert {x.t for x in docs.where(F.size(e.contract_errors(F.col("d"), {"multipleOf": 0.1})) == 0).collect()} == {"0.3", "-0.7", "1e30"}
+
+
+def test_lines_parse_as_by_a_pattern_for_each_label(spark):
+    from docquery.operators import carbon as c
+
+    pool = ["RequestId:", "Function:", "Path:", "X-A-SERVICE:", "X-Grid-REGION:", "X-Q-REGIONS:", "X-Q-INTENSITIES:", "UserId:", "null", "abc", "12.5", "Duration:", "Billed", "Init", "Billed Duration:", "Memory Size:", "Max Memory Used:", "4..5", "7ms", "xDuration:", "\n", "X-A-B-SERVICE:"]
+    rng = random.Random(7)
+    rows = [(i, 0, rng.choice(["", " "]) + rng.choice([" ", "\t", "  "]).join(rng.choice(pool) for _ in range(rng.randint(0, 14)))) for i in range(500)] + [(500, 0, None)]
+    df = spark.createDataFrame(rows, "batch_id int, line_no int, message string")
+    value = lambda label: F.nullif(F.nullif(F.regexp_extract("message", rf"(?:^|\s){label}\s+(\S+)", 1), F.lit("")), F.lit("null"))
+    number = lambda label: F.round(F.nullif(F.regexp_extract("message", rf"{label}\s+([0-9.]+)", 1), F.lit("")).try_cast("double")).cast("int")
+    assert rows_of(c.parsed_lines(df)) == rows_of(df.select("batch_id", "line_no", *[value(x) for x in c.TEXTS.values()], *[number(x) for x in c.NUMBERS.values()]))
