@@ -1,12 +1,16 @@
 """Held-out accuracy of what is learned, brute force for what is counted, and the awkward rows."""
 
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docquery.llm import language, quality, rules, toxicity
+from docquery.llm.common import labelled_sample
 from tests.llm.helpers import AWKWARD, documents
 
 SF = "/root/testdata/sf0.01"
@@ -204,3 +208,122 @@ def test_many_short_texts_of_a_large_script(spark):
     found, score = held["work"]([t.encode() for t in texts])
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
     assert found[:2] == ["x", "y"] and min(score[:2]) > 0.999 and len(found) == 10_000
+
+
+def plain_follow(rows, alpha=0.3, beta=1.0, l1=0.02, l2=0.5):
+    """Follow-the-regularised-leader an n-gram at a time, in dictionaries."""
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(quality.PASSES):
+        for dims, values, label in rows:
+            x = {**dict(zip(dims, values, strict=True)), "bias": 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[i] * x[i] for i in x)))))
+            for i, v in x.items():
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_scores_are_brute_force(spark, tables):
+    """What is learned and scored, against dictionaries over the same sparse vectors."""
+    docs, labels = tables
+    sample = [(r.label, r.text) for r in labelled_sample(docs, labels, "quality", (3, 1), 150).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    dims, values = quality.sparse([(t or "").encode() for _, t in sample])
+    weights = plain_follow([(d.tolist(), np.float32(v).tolist(), y) for (y, _), d, v in zip(sample, dims, values, strict=True)])
+    assert 100 < len(sample) <= 150 and len(weights) > 1000
+    got = {r.doc_id: r for r in quality.judged(docs, labels, rows=150).collect()}
+    rows = docs.collect()
+    dims, values = quality.sparse([(r.text or "").encode() for r in rows])
+    for r, d, v in zip(rows, dims, values, strict=True):
+        p = 1 / (1 + math.exp(-sum(weights.get(i, 0.0) * x for i, x in zip(d.tolist(), v.tolist(), strict=True)) - weights["bias"]))
+        assert got[r.doc_id].score == pytest.approx(p, abs=1e-4)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+
+
+def test_quality_vectors_know_their_n_grams():
+    """Words and pairs of words as they are, in the text's share of its words; no n-gram over two texts; repeats add up."""
+    dims, values = quality.sparse([b"one two one two", b"two one", b"", b"one"])
+    of = lambda i: dict(zip(dims[i].tolist(), values[i].tolist(), strict=True))
+    assert len(dims[2]) == 0 and sum(values[0]) == pytest.approx(quality.SCALE / 4 * (4 + 3 + 4 + 3 + 2 + 4)) and sum(values[3]) == pytest.approx(quality.SCALE * 3)
+    words_of = set(of(1)) & set(of(0))
+    assert set(of(3)) - words_of <= set(of(3)) and len(words_of) >= 3
+
+
+def plain_verdict(text, learned):
+    """The decision list on one text: 0 for the base rules, else the first rule whose conditions all hold, None if none does."""
+    t = text or ""
+    n, chars, symbols, dup, repeat = base(t)
+    if n < 10 or 100 * repeat > 20 * n:
+        return 0
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+    marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    x = {
+        "symbol_share": symbols / max(chars, 1), "mark_share": marks / max(chars, 1), "upper_share": sum("A" <= c <= "Z" for c in t) / max(chars, 1), "digit_share": sum("0" <= c <= "9" for c in t) / max(chars, 1),
+        "word_length": chars / max(n, 1), "repeat_share": repeat / max(n, 1), "same_share": sum(a == b for a, b in zip(w, w[1:], strict=False)) / max(n, 1), "distinct_share": len(set(w)) / max(n, 1),
+        "long_share": sum(len(v.encode()) > 20 for v in w) / max(n, 1), "dup_line_share": dup / max(len(lines), 1), "words": n,
+    }
+    return next((i for i, rule in enumerate(learned, 1) if all((x[c.name] > c.threshold) == c.above for c in rule)), None)
+
+
+def test_verdicts_are_brute_force(spark, tables):
+    """Learned lists and one that uses every share, over all texts of the table."""
+    docs, labels = tables
+    condition = rules.Condition
+    every = [[condition(name, above, t), condition("words", True, 20.0)] for name, above, t in (("symbol_share", True, 0.02), ("mark_share", True, 0.2), ("upper_share", True, 0.3), ("digit_share", True, 0.2), ("same_share", True, 0.05), ("long_share", True, 0.3), ("dup_line_share", True, 0.4), ("distinct_share", False, 0.2), ("repeat_share", True, 0.1), ("word_length", False, 3.5))]
+    for learned in (rules.fit(docs, labels), every):
+        for r in rules.apply(docs, learned).collect():
+            want = plain_verdict(r.text, learned)
+            assert r.rule == want and r.kept == (want is None), (r.doc_id, r.rule, want)
+    assert {plain_verdict(r.text, every) for r in docs.collect()} > {0, 1, None}
+
+
+def test_covering_is_plain_sequential_covering():
+    """The list against loops over single rows: thresholds, gains, pruning rows and the end of the list."""
+    rng = np.random.default_rng(8)
+    x = {k: rng.integers(0, 12, 400) / 10 for k in ("a", "b", "c")}
+    bad = ((x["a"] > 0.8) | ((x["b"] > 0.5) & (x["c"] <= 0.3))) ^ (rng.random(400) < 0.03)
+
+    def holds(rule, i):
+        return all((x[c.name][i] > c.threshold) == c.above for c in rule)
+
+    def grow(rows):
+        rule = []
+        while len(rule) < rules.CONDITIONS and rows and not all(bad[i] for i in rows):
+            p0, n0, best, gain = sum(bad[i] for i in rows), len(rows), None, 1e-9
+            for name in sorted(x):
+                values = sorted(x[name][i] for i in rows)
+                for t in sorted({values[int(math.floor(q / 32 * (len(values) - 1)))] for q in range(33)}):
+                    for above in (True, False):
+                        inside = [i for i in rows if (x[name][i] > t) == above]
+                        p, n = sum(bad[i] for i in inside), len(inside)
+                        if p >= rules.LEAST_ROWS and n < n0 and p * (np.log2(p / n) - np.log2(p0 / n0)) > gain:
+                            best, gain = rules.Condition(name, above, float(t)), p * (np.log2(p / n) - np.log2(p0 / n0))
+            if best is None:
+                break
+            rule.append(best)
+            rows = [i for i in rows if holds([best], i)]
+        return rule
+
+    def worth(rule, rows):
+        inside = [bool(bad[i]) for i in rows if holds(rule, i)]
+        return (2 * sum(inside) - len(inside)) / len(inside) if inside else -1.0
+
+    left, want = list(range(400)), []
+    while len(want) < rules.RULES and sum(bad[i] for i in left) >= rules.LEAST_ROWS:
+        prune = [i for i in left if i % 3 == 2]
+        grown = grow([i for i in left if i % 3 != 2])
+        rule = max((grown[:k] for k in range(len(grown), 0, -1)), key=lambda r: (worth(r, prune), -len(r)), default=[])
+        inside = [bool(bad[i]) for i in prune if holds(rule, i)]
+        if not rule or (sum(inside) + 1) / (len(inside) + 2) < rules.LEAST_SHARE - 0.5 / math.sqrt(len(inside) + 1):
+            break
+        want.append(rule)
+        left = [i for i in left if not holds(rule, i)]
+    assert len(want) >= 2 and rules.cover(x, bad) == want
