@@ -44,10 +44,10 @@ def repeated(w: Words, owner: np.ndarray) -> np.ndarray:
     """Whether the three words from each one on are found more than once in its text."""
     runs = sequences(w.hash, 3)
     out = np.zeros(len(w.hash), bool)
-    if len(runs):
-        key = mix(runs + owner[: len(runs)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
-        out[: len(runs)] = (n[at] > 1) & (owner[: len(runs)] == owner[2:])
+    inside = np.flatnonzero(owner[: len(runs)] == owner[2:]) if len(runs) else np.zeros(0, np.int64)
+    key = mix(runs[inside] + owner[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    out[inside] = n[at] > 1  # runs over the end of a text are none of its own, whatever text comes after it
     return out
 
 
