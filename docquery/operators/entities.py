@@ -298,8 +298,8 @@ def write_changed(old: DataFrame, new: DataFrame, key: str, partition: str, path
     moves = kept(was.join(now, key, "full").where(~F.col("_old").eqNullSafe(F.col("_new"))), "moves")
     touched = moves.select(key).distinct()
     parts = moves.select(F.explode(F.array_compact(F.array("_was", "_now"))).alias(partition)).distinct()
-    kept = old.join(near(parts), partition, "left_semi").join(near(touched), key, "left_anti")
-    rows = kept.unionByName(new.join(near(touched), key, "left_semi"))
+    others = old.join(near(parts), partition, "left_semi").join(near(touched), key, "left_anti")
+    rows = others.unionByName(new.join(near(touched), key, "left_semi"))
     empty = parts.join(rows.select(partition).distinct(), partition, "left_anti")
     nulls = empty.select(*[F.col(c) if c == partition else F.lit(None).cast(new.schema[c].dataType).alias(c) for c in rows.columns])
     rows.unionByName(nulls).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
