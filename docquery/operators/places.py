@@ -13,6 +13,8 @@ from docquery.functions.geo import RADIUS_KM, haversine
 
 #: Cells of level n are 180 / 2 ** n degrees wide; a box is about CELLS of them wide at its shape's level.
 LEVELS, CELLS = 20, 3
+#: What makes two shapes one figure.
+_FIGURE = ["kind", "points", "km"]
 
 
 def _box(points: Column, km: Column) -> Column:
@@ -74,17 +76,28 @@ def _holds(lat: Column, lon: Column) -> Column:
     return F.coalesce(F.when(F.col("kind") == "circle", circle).when(F.col("kind") == "polygon", polygon).otherwise(line), F.lit(False))
 
 
-def located(points: DataFrame, key: str, lat: str, lon: str, shapes: DataFrame) -> DataFrame:
-    """(key, shape) of every point and every shape that holds it, by the tests of functions.geo (lines by the original formula).
+def figures_at(spots: DataFrame, figures: DataFrame) -> DataFrame:
+    """(_lat, _lon, kind, points, km) of places and figures that hold them, all of them distinct.
 
-    Points without a place are in none. Only the few grid levels that the shapes have come to the driver.
+    Only the few grid levels that the figures have come to the driver.
     """
-    cells = covered(shapes.select("shape", "kind", F.transform("points", lambda p: F.struct(p["lat"].cast("double").alias("lat"), p["lon"].cast("double").alias("lon"))).alias("points"), "km"))
+    cells = covered(figures.withColumn("shape", F.lit(""))).drop("shape")
     levels = sorted(r[0] for r in cells.select("level").distinct().collect())
-    if not levels:
-        return points.select(key).limit(0).join(shapes.select("shape").limit(0), F.lit(True))
-    at = points.select(F.col(key).alias("_key"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).where("_lat is not null and _lon is not null")
-    at = at.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    at = spots.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     y, x = F.floor((F.col("_lat") + 90.0) / _size(F.col("level"))), F.pmod(F.floor((F.col("_lon") + 180.0) / _size(F.col("level"))), _ring(F.col("level")))
     met = at.withColumns({"y": y, "x": x}).join(cells, ["level", "y", "x"])
-    return met.where(_holds(F.col("_lat"), F.col("_lon"))).select(F.col("_key").alias(key), "shape")
+    return met.where(_holds(F.col("_lat"), F.col("_lon"))).select("_lat", "_lon", *_FIGURE)
+
+
+def located(points: DataFrame, key: str, lat: str, lon: str, shapes: DataFrame) -> DataFrame:
+    """(key, shape) of every point and every shape that holds it, by the tests of functions.geo (lines by the original formula).
+
+    Points without a place are in none. Equal places and equal figures are tested once, and their points and shapes joined to
+    what was found.
+    """
+    typed = F.transform("points", lambda p: F.struct(p["lat"].cast("double").alias("lat"), p["lon"].cast("double").alias("lon")))
+    km = F.when(F.col("kind") == "polygon", 0.0).otherwise(F.col("km").cast("double"))
+    named = shapes.select("shape", "kind", typed.alias("points"), km.alias("km"))
+    at = points.select(F.col(key).alias("_key"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).where("_lat is not null and _lon is not null")
+    found = figures_at(at.select("_lat", "_lon").distinct(), named.select(*_FIGURE).distinct())
+    return at.join(found.join(named, _FIGURE).select("_lat", "_lon", "shape"), ["_lat", "_lon"]).select(F.col("_key").alias(key), "shape")

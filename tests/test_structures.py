@@ -164,3 +164,13 @@ def test_lines_parse_as_by_a_pattern_for_each_label(spark):
     value = lambda label: F.nullif(F.nullif(F.regexp_extract("message", rf"(?:^|\s){label}\s+(\S+)", 1), F.lit("")), F.lit("null"))
     number = lambda label: F.round(F.nullif(F.regexp_extract("message", rf"{label}\s+([0-9.]+)", 1), F.lit("")).try_cast("double")).cast("int")
     assert rows_of(c.parsed_lines(df)) == rows_of(df.select("batch_id", "line_no", *[value(x) for x in c.TEXTS.values()], *[number(x) for x in c.NUMBERS.values()]))
+
+
+def test_equal_places_and_figures_are_tested_once(spark):
+    points = spark.range(300).select("id", F.lit(10.0).alias("lat"), (F.col("id") % 2 * 90.0).alias("lon"))
+    at = F.array(F.struct(F.lit(10.5).alias("lat"), F.lit(0.0).alias("lon")))
+    shapes = spark.range(200).select(F.concat(F.lit("s"), F.col("id") % 199).alias("shape"), F.lit("circle").alias("kind"), at.alias("points"), (100.0 + F.col("id") % 2).alias("km"))
+    spots = points.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).distinct()
+    assert places.figures_at(spots, shapes.drop("shape").distinct()).count() == 2
+    found = places.located(points, "id", "lat", "lon", shapes)
+    assert found.count() == 150 * 200 and found.distinct().count() == 150 * 199 and found.where("id % 2 = 1").isEmpty()
