@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from docquery.functions.fields import spare
+from docquery.functions.text import bound
 from docquery.operators.joins import GRANT_KEYS, with_flag
 from docquery.session import kept
 
@@ -106,7 +107,9 @@ def contract_errors(doc: Column, contract: dict, path: str = "$") -> Column:
 
 
 def _kind(doc: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    """The schema of a plain value, OBJECT or ARRAY: what is in these is not walked through."""
+    got = lambda kind: F.try_variant_get(doc, path, kind)
+    return F.when(got("struct<>").isNotNull(), "OBJECT").when(got("array<variant>").isNotNull(), "ARRAY").otherwise(F.schema_of_variant(got("variant")))
 
 
 def _below(doc: Column, path: str, name: str) -> tuple[Column, str]:
@@ -132,8 +135,18 @@ def _referred(root: dict, ref: str) -> dict:
 
 
 def _broken(doc: Column, rule: dict | bool, path: str, shown: str, root: dict, opened: tuple[str, ...]) -> list[Column]:
-    """Arrays of messages, null where nothing is broken, for what the path leads to in the document."""
-    kind = _kind(doc, path)
+    """Arrays of messages, null where nothing is broken, for what the path leads to in the document; its kind is found once."""
+    held: list[Column] = []
+
+    def messages(kind: Column) -> Column:
+        held.extend(_messages(doc, kind, rule, path, shown, root, opened))
+        return F.concat(*held) if held else F.array().cast("array<string>")
+
+    found = bound(_kind(doc, path), messages)
+    return [found] if held else []
+
+
+def _messages(doc: Column, kind: Column, rule: dict | bool, path: str, shown: str, root: dict, opened: tuple[str, ...]) -> list[Column]:
     there = kind.isNotNull()
     say = lambda bad, what: F.array(F.when(there & F.coalesce(bad, F.lit(False)), F.lit(f"{shown} {what}")))
     if isinstance(rule, bool):

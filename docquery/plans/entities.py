@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from docquery.functions import fields as fx
 from docquery.operators import aggregations as a, carbon as c, entities as e, joins, predicates as p, search as s
 from docquery.operators import trees
-from docquery.plans.registry import query, table
+from docquery.plans.registry import query, spread_table, table
 from docquery.session import shared_dir
 from docquery.sources import documents as src
 
@@ -157,7 +157,7 @@ def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     depth = (F.col("o_orderkey") % 9).cast("int")
     opened = F.transform(F.sequence(F.lit(0), depth), lambda i: F.concat(F.lit('{"name": "n'), i.cast("string"), F.lit('", "value": '), (F.col("o_orderkey") % 4 + i).cast("string"), F.lit(', "attributes": [{"name": "leaf'), i.cast("string"), F.lit('", "value": 1}, ')))
     text = F.concat(F.array_join(opened, ""), F.lit('{"name": "end", "value": "none"}'), F.repeat(F.lit("]}"), depth + 1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(text).alias("tree"))
+    return spread_table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(text).alias("tree"))
 
 
 @query(

@@ -174,3 +174,12 @@ def test_equal_places_and_figures_are_tested_once(spark):
     assert places.figures_at(spots, shapes.drop("shape").distinct()).count() == 2
     found = places.located(points, "id", "lat", "lon", shapes)
     assert found.count() == 150 * 200 and found.distinct().count() == 150 * 199 and found.where("id % 2 = 1").isEmpty()
+
+
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    text = '{"attributes": [{"a": 1}, ' * 14 + '{"a": 0}' + "]}" * 14
+    df = spark.createDataFrame([(1, text)], "id int, t string").select("id", F.parse_json("t").alias("t"))
+    rounds, kept = [], trees.kept
+    monkeypatch.setattr(trees, "kept", lambda d, name: (rounds.append(name), kept(d, name))[1])
+    assert rows_of(trees.leaves(df, "id", F.col("t"), "attributes"), F.size("path")) == sorted([(i,) for i in range(2, 16)] + [(15,)], key=str)
+    assert len(rounds) == 2
