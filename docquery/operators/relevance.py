@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -76,19 +76,24 @@ def fuzzy_frame(df: DataFrame, key: str, c: Column, value: str, fuzziness: int,
     return near.join(vocabulary, "w").groupBy(key).agg(F.max(score).alias("fuzzy_score"))
 
 
+#: Distances of words that come again in other documents, a bounded number of them.
+_distance = lru_cache(1 << 17)(tx.osa_distance)
+
+
 def best_phrase(doc: list[str], query: list[str], slop: int, fuzz: int) -> tuple[int, int] | None:
     """(slop used, fuzziness used) of the first start that uses the least slop, each next word taken where it first fits."""
     best = None
-    distance = tx.osa_distance if fuzz else lambda a, b: 0 if a == b else 1
-    for start in range(len(doc)):
-        used, edits, at = 0, distance(doc[start], query[0]), start
-        if edits > fuzz:
-            continue
-        for q in query[1:]:
-            found = next(((i, d) for i in range(at + 1, len(doc)) if (d := distance(doc[i], q)) <= fuzz), None)
-            if found is None or (used := used + found[0] - at - 1) > slop:
+    distance = _distance if fuzz else lambda a, b: 0 if a == b else 1
+    near = [{w: d for w in set(doc) if abs(len(w) - len(q)) <= fuzz and (d := distance(w, q)) <= fuzz} for q in query]
+    if not all(near):
+        return None
+    for start in (i for i, w in enumerate(doc) if w in near[0]):
+        used, edits, at = 0, near[0][doc[start]], start
+        for held in near[1:]:
+            found = next((i for i in range(at + 1, min(len(doc), at + 2 + slop - used)) if doc[i] in held), None)
+            if found is None:
                 break
-            at, edits = found[0], edits + found[1]
+            used, at, edits = used + found - at - 1, found, edits + held[doc[found]]
         else:
             if best is None or used < best[0]:
                 best = (used, edits)

@@ -183,3 +183,32 @@ def test_deep_trees_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(trees, "kept", lambda d, name: (rounds.append(name), kept(d, name))[1])
     assert rows_of(trees.leaves(df, "id", F.col("t"), "attributes"), F.size("path")) == sorted([(i,) for i in range(2, 16)] + [(15,)], key=str)
     assert len(rounds) == 2
+
+
+def test_a_phrase_meets_each_word_of_a_text_once(monkeypatch):
+    """Against the plain search of every start, with the distances that it needs counted."""
+    def plain(doc, query, slop, fuzz):
+        best = None
+        for start in range(len(doc)):
+            used, edits, at = 0, tx.osa_distance(doc[start], query[0]), start
+            if edits > fuzz:
+                continue
+            for q in query[1:]:
+                found = next(((i, d) for i in range(at + 1, len(doc)) if (d := tx.osa_distance(doc[i], q)) <= fuzz), None)
+                if found is None or (used := used + found[0] - at - 1) > slop:
+                    break
+                at, edits = found[0], edits + found[1]
+            else:
+                if best is None or used < best[0]:
+                    best = (used, edits)
+        return best
+
+    rng = random.Random(8)
+    for _ in range(400):
+        doc, query = [["".join(rng.choice("ab") for _ in range(rng.randint(1, 4))) for _ in range(n)] for n in (rng.randint(0, 25), rng.randint(1, 4))]
+        slop, fuzz = rng.randint(0, 5), rng.randint(0, 2)
+        assert r.best_phrase(doc, query, slop, fuzz) == plain(doc, query, slop, fuzz)
+    asked, distance = [], tx.osa_distance
+    monkeypatch.setattr(tx, "osa_distance", lambda a, b: (asked.append(a), distance(a, b))[1])
+    r.best_phrase(["attion", "anea", "other"] * 500, ["attion", "anea", "eriner"], 3, 1)
+    assert len(asked) <= 9
