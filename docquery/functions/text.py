@@ -32,7 +32,7 @@ def normalised(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of ASCII letters, digits and underscores."""
-    return F.filter(F.split(F.regexp_replace(c, "[^0-9A-Za-z_]+", " "), " "), lambda t: t != "")
+    return F.regexp_extract_all(c, F.lit("[0-9A-Za-z_]+"), F.lit(0))
 
 
 def without_stop_words(t: Column) -> Column:

@@ -1,6 +1,6 @@
 """A positional inverted index: each term's documents and places, dealt by term, and searches that read only a query's terms.
 
-    path/postings/segment=<n>/part=<p>/*.parquet    term, key, positions of one change's documents
+    path/postings/segment=<n>/part=<p>/*.parquet    term, and of some of one change's documents with it arrays of keys, of positions
     path/docs                                       an index with snapshots: key, segment, tokens, grams of each live document
 
 A change adds a segment and then moves its documents to it in one switch of snapshots, so a document's old postings no longer
@@ -9,16 +9,23 @@ count, nor do a deleted one's. Searches give the scores that the operators of re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from docquery.functions import text as tx
 from docquery.operators.relevance import length_factor
+from docquery.session import kept
 from docquery.sources import snapshots as sn
 
-#: Parts that terms are dealt to by hash, those of the documents, and postings of a term that one file's task holds.
+#: Parts that terms are dealt to by hash, those of the documents, and rows of a file.
 PARTS, DOC_PARTS, FILE_ROWS = 64, 64, 5_000_000
+#: Tokens that a task puts in order at once, so that a row's arrays are bounded (a longer text is put in order alone).
+CHUNK_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -40,21 +47,57 @@ def part_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most limit tokens together; never less than a row."""
+    total, start = 0, 0
+    for row, size in enumerate(pa.compute.list_value_length(batch.column("t")).to_pylist()):
+        if total and total + size > limit:
+            yield batch.slice(start, row - start)
+            total, start = 0, row
+        total += size
+    yield batch.slice(start)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, .., t) to rows of a term and the documents of a piece that have it: term, doc, .., positions, each an array by document."""
+    for piece in (p for batch in batches for p in _pieces(batch, CHUNK_TOKENS)):
+        t = piece.column("t")
+        words = t.flatten().dictionary_encode()
+        if not len(words):
+            continue
+        row = t.value_parent_indices().to_numpy()
+        at = np.arange(len(row)) - np.searchsorted(row, row)
+        term = words.indices.to_numpy().astype("int64")
+        order = np.argsort(term * piece.num_rows + row, kind="stable")
+        term, row = term[order], row[order]
+        lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype("int32")), values)
+        fresh = np.diff(term, prepend=-1) != 0
+        starts = np.flatnonzero(fresh | (np.diff(row, prepend=-1) != 0))
+        firsts = np.flatnonzero(fresh[starts])
+        of = pa.array(row[starts])
+        own = [n for n in piece.schema.names if n != "t"]
+        columns = [*[piece.column(n).take(of) for n in own], lists(starts, pa.array(at[order].astype("int32")))]
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[starts[firsts]])), *[lists(firsts, c) for c in columns]], names=["term", *own, "positions"])
+
+
 def update(spark: SparkSession, index: PostingIndex, changes: DataFrame, deleted: str | None = None) -> int:
     """The snapshot after new, changed and deleted documents; of the rows of a key the latest counts, as sn.commit has it.
 
-    A null text has no terms. Texts are analysed once; a term that very many documents have is written by several tasks.
+    A null text has no terms. Texts are analysed once, those that go not at all; a document's places are put in order beside
+    its text, so that only postings are shuffled, once; a term that very many documents have is written by several tasks.
     """
     segment = len(sn.versions(spark, index.docs)) + 1
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    version = [c for c in ("version",) if index.version]
     own = [F.col(index.key).alias("doc"), gone.alias("deleted"), *([F.col(index.version).alias("version")] if index.version else [])]
-    rows = changes.where(F.col(index.key).isNotNull()).select(*own, tx.analysed_phrase(F.coalesce(index.text, F.lit("")), index.stem).alias("t"))
+    t = F.when(gone, F.array().cast("array<string>")).otherwise(tx.analysed_phrase(F.coalesce(index.text, F.lit("")), index.stem))
+    rows = changes.where(F.col(index.key).isNotNull()).select(*own, t.alias("t"))
     stage = f"{index.path}/staged/{segment}-{len(sn.versions(spark, index.docs))}"
     rows.select("*", F.size("t").alias("tokens"), F.size(tx.gram_hashes(F.col("t"))).alias("grams")).write.mode("overwrite").parquet(stage)
-    rows = spark.read.parquet(stage)
-    version = [c for c in ("version",) if index.version]
-    places = rows.where("not deleted").select("doc", *version, F.posexplode("t").alias("at", "term"))
-    found = places.groupBy("term", "doc", *version).agg(F.sort_array(F.collect_list("at")).alias("positions")).withColumn("part", part_of(F.col("term")))
+    rows = _latest(spark.read.parquet(stage), version)
+    texts = rows.where("not deleted").select("doc", *version, "t")
+    lists = [T.StructField(f.name, T.ArrayType(f.dataType)) for f in texts.drop("t").schema] + [T.StructField("positions", T.ArrayType(T.ArrayType(T.IntegerType())))]
+    found = texts.mapInArrow(_postings, T.StructType([T.StructField("term", T.StringType()), *lists])).withColumn("part", part_of(F.col("term")))
     found = found.hint("rebalance", F.col("part")).sortWithinPartitions("part", "term")
     found.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("part").parquet(f"{index.path}/postings/segment={segment}")
     bucket = F.pmod(F.xxhash64("doc"), F.lit(DOC_PARTS)).cast("string")
@@ -62,6 +105,16 @@ def update(spark: SparkSession, index: PostingIndex, changes: DataFrame, deleted
     return sn.commit(spark, index.docs, live, "deleted")
 
 
+def _latest(rows: DataFrame, version: list[str]) -> DataFrame:
+    """One row for each document: of rows that repeat a key the latest, as sn.commit has it. Only these are shuffled whole."""
+    twice = kept(rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "twice")
+    if twice.isEmpty():
+        return rows
+    last = F.max_by(F.struct(*rows.columns), F.struct(*version, "deleted", F.xxhash64("t")))
+    one = rows.join(twice, "doc", "left_semi").groupBy(F.col("doc").alias("_k")).agg(last.alias("_r")).select("_r.*")
+    return kept(rows.join(twice, "doc", "left_anti").unionByName(one), "latest")
+
+
 def read(spark: SparkSession, index: PostingIndex, terms: list[str]) -> DataFrame:
     """(doc, term, positions, tokens, grams) of the live documents with any of the terms: only these terms' parts are read."""
     if not terms:
@@ -69,6 +122,8 @@ def read(spark: SparkSession, index: PostingIndex, terms: list[str]) -> DataFram
     places = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(part_of(F.col("term"))).distinct().collect()]
     found = spark.read.parquet(f"{index.path}/postings").where(F.col("part").isin(places) & F.col("term").isin(terms))
     live = sn.read(spark, index.docs)
+    lists = [c for c in ("doc", "version", "positions") if c in found.columns]
+    found = found.select("term", "segment", F.explode(F.arrays_zip(*lists)).alias("p")).select("term", "segment", "p.*")
     return found.join(live, [c for c in ("doc", "segment", "version") if c in live.columns]).select("doc", "term", "positions", "tokens", "grams")
 
 

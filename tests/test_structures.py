@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,29 @@ def test_postings_equal_analysed_texts_after_changes(spark, tmp_path):
     assert ix.match(spark, index, []).count() == 0 and ix.phrase(spark, index, []).count() == 0
 
 
+def test_one_of_the_rows_of_a_key_makes_its_postings(spark, tmp_path):
+    """Equal versions, other texts: places are those of one text, not of both; a document that goes has none."""
+    index = ix.PostingIndex(str(tmp_path / "i"), "id", "t", "v", stem=False)
+    texts = {"apple banana", "cherry grape banana"}
+    rows = [(1, t, 1, False) for t in sorted(texts)] + [(2, "apple banana", 1, False)] * 2 + [(3, "apple", 1, False), (3, "apple", 2, True)]
+    ix.update(spark, index, spark.createDataFrame(rows, "id int, t string, v int, gone boolean"), "gone")
+    found = {}
+    for x in ix.read(spark, index, ["apple", "banana", "cherry", "grape"]).collect():
+        found.setdefault(x.doc, {}).update({i: x.term for i in x.positions} | {"n": x.tokens})
+    text = lambda at: " ".join(at[i] for i in range(at["n"]))
+    assert set(found) == {1, 2} and text(found[1]) in texts and text(found[2]) == "apple banana" and len(found[2]) == 3
+    assert {x.term: x.df for x in ix.document_frequency(spark, index, ["banana"]).collect()} == {"banana": 2}
+
+
+def test_postings_of_pieces():
+    rng = random.Random(2)
+    docs = [[rng.choice("abcd") for _ in range(rng.choice([0, 1, 3, 9]))] for _ in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array(docs, pa.list_(pa.string()))], names=["doc", "t"])
+    assert max(p.num_rows for p in ix._pieces(batch, 5)) > 1 and [d for p in ix._pieces(batch, 5) for d in p.column("doc").to_pylist()] == list(range(30))
+    got = [(x["term"], d, at) for out in ix._postings(ix._pieces(batch, 5)) for x in out.to_pylist() for d, at in zip(x["doc"], x["positions"], strict=True)]
+    assert sorted(got) == sorted((w, d, [i for i, v in enumerate(t) if v == w]) for d, t in enumerate(docs) for w in set(t))
+
+
 @pytest.mark.parametrize("edits", [0, 1, 2, 3])
 def test_deletion_keys_find_all_near_words(spark, edits):
     rng = random.Random(edits)
