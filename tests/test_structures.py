@@ -101,6 +101,22 @@ def test_ranks_of_a_hot_group(spark):
     assert ranks.percentiles(numbers.limit(0), ["k"], "x", {"m": 50}).count() == 0
 
 
+@pytest.mark.parametrize("margin", [2, 0, -40])
+def test_ranks_in_brackets_of_large_groups(spark, monkeypatch, margin):
+    """Only what the brackets hold is counted by value; brackets that miss their rank, as with a margin below 0, change nothing."""
+    monkeypatch.setattr(ranks, "MARGIN", margin)
+    tables = []
+    monkeypatch.setattr(ranks, "kept", lambda df, name, keep=ranks.kept: tables.append((name, keep(df, name))) or tables[-1][1])
+    rows = spark.range(30000).select(F.when(F.col("id") % 3 < 2, "a").otherwise("b").alias("k"), F.when(F.col("id") % 7 == 0, 0.5).otherwise(F.rand(1)).alias("x"))
+    rows = ranks.kept(rows, "rows")
+    names = {"p50": 50, "p90": 90, "low": 0.1, "top": 100}
+    got = {x.k: x for x in ranks.percentiles(rows, ["k"], "x", names, in_order=100, accuracy=500).collect()}
+    for x in rows.groupBy("k").agg(*[F.percentile("x", p / 100).alias(n) for n, p in names.items()]).collect():
+        assert [got[x.k][n] for n in names] == pytest.approx([x[n] for n in names], abs=1e-12)
+    counted = {name: df for name, df in tables if name in ("counts", "inside")}
+    assert margin < 2 or next(iter(counted.values())).count() < 30000 / 20
+
+
 def test_cells_find_what_each_test_finds(spark):
     rng = random.Random(4)
     spots = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(400)] + [(400, 10.0, 179.9), (401, 10.0, -179.9), (402, 89.9, 0.0), (403, None, 1.0), (404, 0.0, 190.0)]
