@@ -15,7 +15,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docquery.operators.entities import row_hash
 
@@ -93,8 +93,13 @@ def _staged(index: SnapshotIndex, changes: DataFrame, deleted: str | None, numbe
     version = F.col(index.version) if index.version else F.lit(number).cast("long")
     rows = changes.select(*columns, version.alias(_VERSION), gone.alias(_DELETED), place.alias(_PART), row_hash(changes.drop(deleted) if deleted else changes).alias(_HASH))
     rows = rows.where(F.col(index.key).isNotNull() & F.col(_PART).isNotNull() & F.col(_VERSION).isNotNull())
-    one = F.max_by(F.struct(*rows.columns), F.struct(_VERSION, _DELETED, _HASH))
-    return rows.groupBy(F.col(index.key).alias("_k")).agg(one.alias("_r")).select("_r.*")
+    one = rows.groupBy(F.col(index.key).alias("_k")).agg(F.max_by(F.struct(*rows.drop(_HASH).columns), _later()).alias("_r")).select("_r.*")
+    return one.withColumn(_HASH, row_hash(one.select(*columns)))  # again, as what is shuffled has it once, as 32 bytes
+
+
+def _later() -> Column:
+    """What says which of two rows of a key is later."""
+    return F.struct(_VERSION, _DELETED, F.unhex(_HASH).alias(_HASH))
 
 
 def commit(spark: SparkSession, index: SnapshotIndex, changes: DataFrame, deleted: str | None = None, source: str = "", batch: int | None = None) -> int:
@@ -120,11 +125,11 @@ def commit(spark: SparkSession, index: SnapshotIndex, changes: DataFrame, delete
     rows = spark.read.parquet(f"{stage}/rows")
     near = F.broadcast if rows.count() <= BROADCAST_KEYS else lambda d: d
     old = _held(spark, index, at) if known else None
-    now = rows.select(index.key, F.col(_PART).alias("_now"), F.struct(_VERSION, _DELETED, _HASH).alias("_new"))
+    now = rows.select(index.key, F.col(_PART).alias("_now"), _later().alias("_new"))
     if old is None:
         moves = now.select(index.key, F.lit(None).cast("string").alias("_was"), "_now")
     else:
-        was = old.join(near(rows.select(index.key)), index.key, "left_semi").select(index.key, F.col(_PART).alias("_was"), F.struct(_VERSION, _DELETED, _HASH).alias("_old"))
+        was = old.join(near(rows.select(index.key)), index.key, "left_semi").select(index.key, F.col(_PART).alias("_was"), _later().alias("_old"))
         moves = now.join(was, index.key, "left").where(F.col("_old").isNull() | (F.col("_new") > F.col("_old"))).select(index.key, "_was", "_now")
     moves.write.parquet(f"{stage}/moves")
     moves = spark.read.parquet(f"{stage}/moves")
@@ -134,7 +139,9 @@ def commit(spark: SparkSession, index: SnapshotIndex, changes: DataFrame, delete
     keys = near(moves.select(index.key))
     out = rows.join(keys, index.key, "left_semi")
     if old is not None:
-        out = old.join(near(parts), _PART, "left_semi").join(keys, index.key, "left_anti").drop("commit").unionByName(out)
+        # Parts can be few though keys are many: by a shuffle all rows of a part would be one task's.
+        few = F.broadcast(parts) if parts.count() <= BROADCAST_KEYS else parts
+        out = old.join(few, _PART, "left_semi").join(keys, index.key, "left_anti").drop("commit").unionByName(out)
     place = f"{index.path}/data/commit={name}"
     out.hint("rebalance", F.col(_PART)).write.partitionBy(_PART).parquet(place)
     fresh = spark.read.parquet(place).groupBy(_PART).agg(F.count("*").alias("rows")).select(_PART, F.lit(name).alias("commit"), "rows")

@@ -72,6 +72,20 @@ def test_without_versions_later_changes_count(spark, tmp_path):
     assert rows_of(sn.read(spark, index), "id", "v") == [(1, 4), (2, 3)]
 
 
+def test_few_parts_of_many_keys_are_broadcast(spark, tmp_path, monkeypatch):
+    """By a shuffle on the part all rows of a part would be one task's; the hash that is kept is the row's own."""
+    monkeypatch.setattr(sn, "BROADCAST_KEYS", 4)
+    sent = []
+    monkeypatch.setattr(sn.F, "broadcast", lambda df, keep=F.broadcast: sent.append(df.columns) or keep(df))
+    index = sn.SnapshotIndex(str(tmp_path / "i"), partition="k", version="v")
+    put(spark, index, [(i, "ab"[i % 2], 1, False) for i in range(20)])
+    put(spark, index, [(i, "a", 2, False) for i in range(10)])
+    assert ["_part"] in sent and ["id"] not in sent
+    assert rows_of(sn.read(spark, index), "id", "k", "v") == sorted([(i, "a", 2) if i < 10 else (i, "ab"[i % 2], 1) for i in range(20)], key=str)
+    kept = spark.read.parquet(f"{index.path}/data").select("id", "k", "v", "_hash")
+    assert kept.where(F.col("_hash") != e.row_hash(kept.drop("_hash"))).count() == 0 and kept.where("_hash is null").count() == 0
+
+
 def test_stream_of_versions(spark, tmp_path):
     index = sn.SnapshotIndex(str(tmp_path / "i"), partition="k", version="v")
     for rows in ([(1, "a", 1, False), (1, "b", 2, False)], [(1, None, 5, True)], [(1, "a", 4, False), (2, "a", 1, False)]):
