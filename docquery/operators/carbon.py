@@ -35,23 +35,29 @@ NUMBERS = {
 }
 
 
-#: All labels of texts, and of numbers, in one pattern each, with the value as the second group. A text's value is only looked at,
-#: as a label can stand where a value is missing.
-_TEXT_LABELS = rf"(?<!\S)({'|'.join(TEXTS.values())})(?=\s+(\S+))"
-_NUMBER_LABELS = rf"({'|'.join(NUMBERS.values())})\s+([0-9.]+)"
+#: What is before the name in a header's label, a label's beginning that stands for all, and all labels of numbers in one pattern
+#: with their values.
+_HEADER = rf"(?<!\S)X-\w+-(?=(?:{'|'.join(x.removeprefix(r'X-\w+-') for x in TEXTS.values() if x.startswith('X-'))})(?!\S))"
+_ANY_HEADER = "X-H-"
+_NUMBER_LABELS = rf"(?:{'|'.join(NUMBERS.values())})\s+[0-9.]+"
 
 
 def parsed_lines(lines: DataFrame, keep: tuple[str, ...] = ("batch_id", "line_no")) -> DataFrame:
     """Labelled values of each usage line (batch_id, line_no, message), the first of each; null, the word, is no value (K1).
 
-    A line is searched for all labels of a kind at once.
+    A line is cut into words once: a text's label is a word, and its value the next one, which can be a label itself.
+    Numbers are found by one pattern, each with its label.
     """
-    found = {f"_{kind}{group}": F.regexp_extract_all("message", F.lit(pattern), F.lit(group)) for kind, pattern in (("t", _TEXT_LABELS), ("n", _NUMBER_LABELS)) for group in (1, 2)}
-    plain = F.transform("_t1", lambda x: F.regexp_replace(x, r"^X-\w+-", "X-"))
-    rows = lines.select(*keep, *[c.alias(n) for n, c in found.items()]).withColumn("_t1", plain)
-    at = lambda kind, label: F.get(f"_{kind}2", F.array_position(f"_{kind}1", F.lit(label)).cast("int") - 1)
-    value = lambda label: F.nullif(at("t", label.replace(r"X-\w+-", "X-")), F.lit("null"))
-    number = lambda label: F.round(at("n", label.split(r"\b")[-1]).try_cast("double")).cast("int")
+    message = F.when(F.col("message").contains("X-"), F.regexp_replace("message", _HEADER, _ANY_HEADER)).otherwise(F.col("message"))
+    words = {"_w": F.split("message", r"\s+"), "_l": F.split(message, r"\s+"), "_n": F.regexp_extract_all("message", F.lit(_NUMBER_LABELS), F.lit(0))}
+    beside = lambda i: F.transform("_n", lambda x: F.substring_index(x, ":", i))
+    rows = lines.select(*keep, *[c.alias(n) for n, c in words.items()]).select(*keep, "_w", "_l", beside(1).alias("_n1"), beside(-1).alias("_n2"))
+
+    def value(label):
+        found = F.get("_w", F.nullif(F.array_position("_l", F.lit(label.replace(r"X-\w+-", _ANY_HEADER))), F.lit(0).cast("long")).cast("int"))
+        return F.nullif(F.nullif(found, F.lit("")), F.lit("null"))
+
+    number = lambda label: F.round(F.get("_n2", F.array_position("_n1", F.lit(label.split(r"\b")[-1].removesuffix(":"))).cast("int") - 1).try_cast("double")).cast("int")
     return rows.select(*keep, *[value(x).alias(k) for k, x in TEXTS.items()], *[number(x).alias(k) for k, x in NUMBERS.items()])
 
 

@@ -252,3 +252,14 @@ def test_a_phrase_meets_each_word_of_a_text_once(monkeypatch):
     monkeypatch.setattr(tx, "osa_distance", lambda a, b: (asked.append(a), distance(a, b))[1])
     r.best_phrase(["attion", "anea", "other"] * 500, ["attion", "anea", "eriner"], 3, 1)
     assert len(asked) <= 9
+
+
+def test_usage_lines_are_cut_into_words_once(spark):
+    """A text's label is a word whose value is the next one, a label or a header's too; one search a line finds all numbers."""
+    from docquery.operators import carbon as c
+
+    lines = ["X-REGION: a X-H_1-REGION: b", "Function: X-A-REGION: c", "X-A-SERVICE: Path: RequestId:", "Duration: 7.6ms Billed Duration:\t8 Path: null", " UserId: ", None]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "batch_id int, line_no int, message string")
+    got = {x.batch_id: {k: v for k, v in x.asDict().items() if v is not None and k not in ("batch_id", "line_no")} for x in c.parsed_lines(df).collect()}
+    assert got == {0: {"region": "b"}, 1: {"function": "X-A-REGION:", "region": "c"}, 2: {"service": "Path:", "path": "RequestId:"}, 3: {"duration": 8, "billed_duration": 8}, 4: {}, 5: {}}
+    assert c.parsed_lines(df)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
