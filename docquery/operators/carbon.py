@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docquery.functions.text import bound
+
 # Watts of an idle and a busy unit, its share of use, megabytes of a unit, and the regions' other names.
 WATTS = 0.74 + 0.5 * (3.5 - 0.74)
 UNIT_MB = 1792
@@ -35,30 +39,32 @@ NUMBERS = {
 }
 
 
-#: What is before the name in a header's label, a label's beginning that stands for all, and all labels of numbers in one pattern
-#: with their values.
-_HEADER = rf"(?<!\S)X-\w+-(?=(?:{'|'.join(x.removeprefix(r'X-\w+-') for x in TEXTS.values() if x.startswith('X-'))})(?!\S))"
-_ANY_HEADER = "X-H-"
-_NUMBER_LABELS = rf"(?:{'|'.join(NUMBERS.values())})\s+[0-9.]+"
+#: All labels of numbers with their values; what no label begins with is passed at once.
+_NUMBER_LABELS = rf"(?=[BDIM])(?:{'|'.join(NUMBERS.values())})\s+[0-9.]+"
+
+
+def _text(label: str) -> Column:
+    """What follows a text's label where it is a word. The pattern looks back from the label's own characters, so that it fails fast elsewhere."""
+    part = label.removeprefix(r"X-\w+")
+    pattern = rf"{part}(?<!\S{part})" if part == label else rf"X-(?<!\SX-)\w+{part}"
+    return F.nullif(F.when(F.col("message").contains(part), F.regexp_extract("message", rf"{pattern}\s+(?:null(?!\S)|(\S+))", 1)), F.lit(""))
 
 
 def parsed_lines(lines: DataFrame, keep: tuple[str, ...] = ("batch_id", "line_no")) -> DataFrame:
     """Labelled values of each usage line (batch_id, line_no, message), the first of each; null, the word, is no value (K1).
 
-    A line is cut into words once: a text's label is a word, and its value the next one, which can be a label itself.
-    Numbers are found by one pattern, each with its label.
+    A text's label is a word, and its value the next one, which can be a label itself. Numbers are found by one pattern, each
+    with its label. Patterns are only tried on lines that have their labels, and only those of columns that are used.
     """
-    message = F.when(F.col("message").contains("X-"), F.regexp_replace("message", _HEADER, _ANY_HEADER)).otherwise(F.col("message"))
-    words = {"_w": F.split("message", r"\s+"), "_l": F.split(message, r"\s+"), "_n": F.regexp_extract_all("message", F.lit(_NUMBER_LABELS), F.lit(0))}
-    beside = lambda i: F.transform("_n", lambda x: F.substring_index(x, ":", i))
-    rows = lines.select(*keep, *[c.alias(n) for n, c in words.items()]).select(*keep, "_w", "_l", beside(1).alias("_n1"), beside(-1).alias("_n2"))
-
-    def value(label):
-        found = F.get("_w", F.nullif(F.array_position("_l", F.lit(label.replace(r"X-\w+-", _ANY_HEADER))), F.lit(0).cast("long")).cast("int"))
-        return F.nullif(F.nullif(found, F.lit("")), F.lit("null"))
-
-    number = lambda label: F.round(F.get("_n2", F.array_position("_n1", F.lit(label.split(r"\b")[-1].removesuffix(":"))).cast("int") - 1).try_cast("double")).cast("int")
-    return rows.select(*keep, *[value(x).alias(k) for k, x in TEXTS.items()], *[number(x).alias(k) for k, x in NUMBERS.items()])
+    has = reduce(Column.__or__, [F.col("message").contains(x) for x in ("Duration:", "Memory Size:", "Max Memory Used:")])
+    # The word null, then each label and its value: a label that is not there is at place 0, and so is the null.
+    found = F.array_join(F.regexp_extract_all("message", F.lit(_NUMBER_LABELS), F.lit(0)), "|")
+    pairs = F.when(has, F.split(F.concat(F.lit("null|"), F.replace(found, F.lit(":"), F.lit("|"))), r"\|"))
+    names = F.array(*[F.lit(x.split(r"\b")[-1].removesuffix(":")) for x in NUMBERS.values()])
+    beside = bound(pairs, lambda p: F.transform(names, lambda x: F.get(p, F.array_position(p, x).cast("int"))))
+    numbers = F.transform(beside, lambda x: F.round(F.when(x != "null", x).try_cast("double")).cast("int"))
+    rows = lines.select(*keep, *[_text(x).alias(k) for k, x in TEXTS.items()], numbers.alias("_n"))
+    return rows.select(*keep, *TEXTS, *[F.get("_n", F.lit(i)).alias(k) for i, k in enumerate(NUMBERS)])
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -74,11 +80,15 @@ def folded(parsed: DataFrame, keys: list[str | Column]) -> DataFrame:
 
 def header_map(regions: Column, intensities: Column) -> Column:
     """Regions to rounded intensities, zipped by place; the first of a repeated region counts (K2)."""
-    names = F.split(regions, ",")
-    values = F.transform(F.split(intensities, ","), lambda x: F.round(F.coalesce(x.try_cast("double"), F.lit(0.0))).cast("int"))
-    n = F.least(F.size(names), F.size(values))
-    first = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_position(names, F.element_at(names, i)) == i)
-    return F.when(n > 0, F.map_from_arrays(F.transform(first, lambda i: F.element_at(names, i)), F.transform(first, lambda i: F.element_at(values, i))))
+
+    def made(names, values):
+        n = F.least(F.size(names), F.size(values))
+        known = F.array_distinct(F.slice(names, F.lit(1), F.greatest(n, F.lit(0))))
+        rated = F.transform(known, lambda x: F.element_at(values, F.array_position(names, x).cast("int")))
+        return F.when(n > 0, F.coalesce(F.map_from_arrays(known, rated), F.create_map().cast("map<string,int>")))
+
+    rounded = F.transform(F.split(intensities, ","), lambda x: F.round(F.coalesce(x.try_cast("double"), F.lit(0.0))).cast("int"))
+    return bound(F.split(regions, ","), lambda names: bound(rounded, lambda values: made(names, values)))
 
 
 def with_region(df: DataFrame, cloud_region: str) -> DataFrame:

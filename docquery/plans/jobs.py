@@ -285,8 +285,9 @@ def stream_carbon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.withColumn("ts", F.timestamp_seconds(F.unix_micros("ts") / 1_000_000 + apart))
     last = lines.agg(F.lit(-1).cast("long").alias("batch_id"), (F.max("ts") + F.expr("interval 32 days")).alias("ts"), F.lit(0).alias("line_no"), F.lit("REPORT").alias("message"))
     parts = lines.where("line_no = 0"), lines.where("line_no > 0"), last
-    out = streams.run_available(streams.carbon_records(streamed(spark, *parts), "31 days"), f"{place}/out", f"{place}/state")
-    return out.select("request_id", "region", "called", F.round("electricity", 10).alias("electricity"), F.round("carbon", 8).alias("carbon"))
+    made = streams.carbon_records(streamed(spark, *parts), "31 days")
+    made = made.select("request_id", "region", "called", F.round("electricity", 10).alias("electricity"), F.round("carbon", 8).alias("carbon"))
+    return streams.run_available(made, f"{place}/out", f"{place}/state", on_disk=True)
 
 
 @query(

@@ -128,3 +128,22 @@ def test_lines_of_a_batch_make_one_record(spark, tmp_path):
         out = streams.run_available(streams.carbon_records(lines, "1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert rows_of(out, "request_id", "region", "called", "duration", "intensity") == sorted([(n, r, r == "r", 3000, i) for n in ("one", "two", "three") for r, i in (("r", 10), ("q", 20))], key=str)
     assert rows_of(out.select("request_id", "ts").distinct()) == [("one", at(0)), ("three", at(5)), ("two", at(2))]
+
+
+def test_open_calls_are_kept_on_disk_and_only_what_is_returned_is_looked_for(spark, sf, tmp_path, monkeypatch):
+    """A stream of many open calls has its state in RocksDB; the session's settings stay, and columns that no one uses are not made."""
+    from docquery.operators import carbon as c
+    from docquery.plans.catalogue import QUERIES
+
+    lines = spark.createDataFrame([("REPORT",)], "message string").selectExpr("1 as batch_id", "0 as line_no", "message")
+    plan = c.parsed_lines(lines).select("region")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 1 and "regexp_extract_all(" not in plan
+    key, ran, run = "spark.sql.streaming.stateStore.providerClass", [], streams.run_available
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(streams, "run_available", lambda df, path, state, **kw: (ran.append((df.columns, state)), run(df, path, state, **kw))[1])
+    out = QUERIES["stream_carbon_records"](spark, sf)
+    (columns, state), = ran
+    assert columns == out.columns == ["request_id", "region", "called", "electricity", "carbon"]
+    kept = [x.name for x in Path(state).glob("state/0/*/*")]
+    assert any(x.endswith(".zip") for x in kept) and not any(x.endswith(".delta") for x in kept)
+    assert spark.conf.get(key, None) == before
